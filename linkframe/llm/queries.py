@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkframe.functions.canon import canon_fields_sql, canon_sql
 from linkframe.llm.duplicates import collapse, link_key
+from linkframe.llm.encoding import encode_corpus
 from linkframe.schema import table
 
 
@@ -19,7 +20,11 @@ def p2_links(spark: SparkSession, d: str) -> DataFrame:
     return collapse(table(spark, d, "relationship"), link_key(), "rawid").where("rawid = first_id").select("rawid", "origin", "rel", "target", "n_copies")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_links)}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p6_ids)}
 
 _LIST = f"{canon_sql('rel')} LIKE '%extent' OR {canon_sql('rel')} LIKE '%imprint'"
 _P2 = f"""WITH k AS (SELECT *, {canon_sql("origin")} AS o, {canon_sql("rel")} AS p,
