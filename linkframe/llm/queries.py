@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linkframe.functions.canon import canon_fields_sql, canon_sql
 from linkframe.llm.duplicates import collapse, link_key
 from linkframe.llm.encoding import encode_corpus
+from linkframe.llm.mixing import mix
 from linkframe.schema import table
 
 
@@ -24,7 +25,15 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_links, p6_ids)}
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p6_ids, p7_mix, p7_shares)}
 
 _LIST = f"{canon_sql('rel')} LIKE '%extent' OR {canon_sql('rel')} LIKE '%imprint'"
 _P2 = f"""WITH k AS (SELECT *, {canon_sql("origin")} AS o, {canon_sql("rel")} AS p,
