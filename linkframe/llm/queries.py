@@ -9,6 +9,7 @@ from linkframe.functions.canon import canon_fields_sql, canon_sql
 from linkframe.llm.duplicates import collapse, link_key
 from linkframe.llm.encoding import encode_corpus
 from linkframe.llm.mixing import mix
+from linkframe.llm.names import link_names, same_entity_pairs
 from linkframe.schema import table
 
 
@@ -21,6 +22,14 @@ def p2_links(spark: SparkSession, d: str) -> DataFrame:
     return collapse(table(spark, d, "relationship"), link_key(), "rawid").where("rawid = first_id").select("rawid", "origin", "rel", "target", "n_copies")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    books, out = table(spark, d, "books"), None
+    for field, column in (("author", "author"), ("publisher", "publisher")):
+        pairs = same_entity_pairs(link_names(books, field, column)).select(F.lit(field).alias("field"), "name_a", "name_b")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -33,7 +42,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_links, p6_ids, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p6_ids, p7_mix, p7_shares)}
 
 _LIST = f"{canon_sql('rel')} LIKE '%extent' OR {canon_sql('rel')} LIKE '%imprint'"
 _P2 = f"""WITH k AS (SELECT *, {canon_sql("origin")} AS o, {canon_sql("rel")} AS p,
