@@ -24,17 +24,18 @@ def trimmed(c: Column) -> Column:
 
 
 def as_number(t: Column, pattern: str, kind: str) -> Column:
-    return F.when(t.rlike(pattern), F.regexp_replace(t, r"[+,]", "")).try_cast(kind)
+    return F.when(t.rlike(pattern), F.translate(t, "+,", "")).try_cast(kind)
 
 
 def as_date(t: Column) -> Column:
+    """One form is made of the four, by their lengths and separators, and cast; other text fails the pattern or the cast."""
     ymd, dmy, packed, spelled = DATES
-    month = F.lpad(sum((F.when(F.regexp_extract(t, spelled, 2) == m, i + 1).otherwise(0) for i, m in enumerate(MONTHS)), F.lit(0)).cast("string"), 2, "0")
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.split_part(t, F.lit(" "), F.lit(2))).cast("string")
     iso = (
         F.when(t.rlike(ymd), t)
-        .when(t.rlike(dmy), F.regexp_replace(t, dmy, "$3-$2-$1"))
         .when(t.rlike(packed), F.regexp_replace(t, packed, "$1-$2-$3"))
-        .when(t.rlike(spelled), F.concat_ws("-", F.regexp_extract(t, spelled, 3), month, F.lpad(F.regexp_extract(t, spelled, 1), 2, "0")))
+        .when(t.rlike(dmy), F.regexp_replace(t, dmy, "$3-$2-$1"))
+        .when(t.rlike(spelled), F.concat_ws("-", F.split_part(t, F.lit(" "), F.lit(3)), F.lpad(month, 2, "0"), F.lpad(F.split_part(t, F.lit(" "), F.lit(1)), 2, "0")))
     )
     return iso.try_cast("date")
 
@@ -43,10 +44,9 @@ def as_boolean(t: Column) -> Column:
     return F.when(t.isin([k for k, v in BOOLEANS.items() if v]), True).when(t.isin([k for k, v in BOOLEANS.items() if not v]), False)
 
 
-def readable(c: Column, kind: Column) -> Column:
-    """Whether the text can be read as ``kind`` (any other kind: always). A readable number may still be too long for
+def readable(t: Column, kind: Column) -> Column:
+    """Whether trimmed text can be read as ``kind`` (any other kind: always). A readable number may still be too long for
     its column. Null for null text."""
-    t = trimmed(c)
     return (
         F.when(kind == "integer", t.rlike(INTEGER))
         .when(kind == "decimal", t.rlike(DECIMAL))

@@ -11,14 +11,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from linkframe.functions.canon import canon
-from linkframe.functions.typed import DECIMAL, INTEGER, as_boolean, as_date, as_number, readable, trimmed
-from linkframe.schema import shuffle_partitions
+from linkframe.functions.typed import DECIMAL, INTEGER, TYPES, as_boolean, as_date, as_number, readable, trimmed
+from linkframe.schema import cut, shuffle_partitions
 
 #: Type of a declared value -> (cell it is carried in, Spark type of its column).
 COLUMNS = {
@@ -58,62 +59,80 @@ def read_terms(vocabulary: DataFrame) -> list[Term]:
     return terms
 
 
-def _term_number(raw: Column, spark_terms: DataFrame, kind: str, df: DataFrame, name: str) -> DataFrame:
-    """Attach ``_t`` (number of the term): by the exact spelling where it is the declared one, else by canonical form."""
-    exact = F.map_from_entries(F.array(*[F.struct(F.lit(t), F.lit(i)) for t, i in spark_terms[kind][0]]))
-    loose = F.map_from_entries(F.array(*[F.struct(F.lit(t), F.lit(i)) for t, i in spark_terms[kind][1]]))
-    return df.withColumn(name, F.coalesce(F.try_element_at(exact, raw), F.try_element_at(loose, canon(raw)))) if spark_terms[kind][0] else df.withColumn(name, F.lit(None).cast("int"))
+def _numbered(df: DataFrame, terms: list[Term], kind: str, name: str) -> DataFrame:
+    """``df`` with ``_t``, the number of the term its column ``name`` names, and ``_type`` and ``_multi`` of that term; rows of
+    undeclared terms go. By the exact spelling where it is the declared one, else by canonical form. The terms are
+    at most MOST_TERMS, so they are broadcast."""
+    spark = df.sparkSession
+    known: dict[str, tuple[int, str, bool]] = {}
+    for i, t in enumerate(terms):
+        if t.kind == kind:
+            known.setdefault(canon_text(t.term), (i, t.type, t.multi))
+            known[t.term] = (i, t.type, t.multi)
+    side = F.broadcast(spark.createDataFrame([(k, *v) for k, v in known.items()], "_name string, _t int, _type string, _multi boolean"))
+    loose = F.broadcast(spark.createDataFrame([(k, *v) for k, v in known.items()], "_name2 string, _t2 int, _type2 string, _multi2 boolean"))
+    out = df.join(side, F.col(name) == F.col("_name"), "left").join(loose, F.when(F.col("_name").isNull(), canon(name)) == F.col("_name2"), "left")
+    return out.withColumns({c: F.coalesce(c, c + "2") for c in ("_t", "_type", "_multi")}).drop("_name", "_name2", "_t2", "_type2", "_multi2").where("_t is not null")
 
 
 def wide_schema(terms: list[Term]) -> T.StructType:
-    """kind is 'row', 'unread' (a value that fits no type), 'too_long' (a number beyond its column) or 'more' (a value of a
-    column with too many values for one row)."""
+    """kind is 'row', 'unread' (a value that fits no type), 'too_long' (a number that can be read but is beyond its column) or 'more' (a
+    value of a column with too many values for one row). Reports have no ordinal."""
     fixed = [("kind", T.StringType()), ("ordinal", T.LongType()), ("entity", T.StringType()), ("src_table", T.StringType()), ("row_id", T.LongType()), ("column", T.StringType()), ("value", T.StringType())]
     cols = [("w_" + t.column if t.column in dict(fixed) else t.column, T.ArrayType(COLUMNS[t.type][1]) if t.multi else COLUMNS[t.type][1]) for t in terms]
     return T.StructType([T.StructField(n, k) for n, k in fixed + cols])
 
 
-def _stitch(terms: list[Term], schema: T.StructType, span: int):
-    """Arrow batches of cells, sorted by ordinal within the partition -> batches of wide rows, a range at a time."""
-    fields, n_fixed = to_arrow_schema(schema), 7
-
-    def column(f: pa.Field, t: Term, cells: pa.Table, at: np.ndarray, which: np.ndarray, n: int) -> pa.Array:
-        values = cells.column(COLUMNS[t.type][0]).combine_chunks()
-        where = np.flatnonzero(which)
-        if t.multi:
-            counts = np.bincount(at[where], minlength=n)
-            bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            offsets = pa.array(bounds, mask=np.concatenate([counts == 0, [False]]))
-            return pa.ListArray.from_arrays(offsets, values.take(pa.array(where[np.argsort(at[where], kind="stable")])), type=f.type)
-        take = np.zeros(n, np.int64)
-        take[at[where]] = where
-        there = np.zeros(n, bool)
+def _stitch(terms: list[Term], schema: T.StructType, span: int, bits: int):
+    """Arrow batches of cells, sorted by entity within the partition -> batches of wide rows, a range of ordinals at a time.
+
+    An entity's ordinal is its bucket (the upper bits of its key) and its rank there, counted as the entities pass."""
+    fields, n_fixed = list(to_arrow_schema(schema)), 7
+    names = np.array([x.column for x in terms] or [""], object)
+
+    def column(f: pa.Field, t: Term, cells: dict, at: np.ndarray, where: np.ndarray, n: int) -> pa.Array:
+        if not len(where):
+            return pa.nulls(n, f.type)
+        values = cells[COLUMNS[t.type][0]].take(pa.array(where))
+        codes = values.dictionary_encode()
+        place = np.empty(len(codes.dictionary), np.int64)
+        place[pa.compute.sort_indices(codes.dictionary).to_numpy()] = np.arange(len(place))
+        rank = place[codes.indices.to_numpy()]
+        if t.multi:  # each value once, in order
+            _, first = np.unique(at[where] * len(place) + rank, return_index=True)
+            counts = np.bincount(at[where[first]], minlength=n)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.concatenate([counts == 0, [False]]))
+            return pa.ListArray.from_arrays(offsets, values.take(pa.array(first)), type=f.type)
+        order = np.lexsort((rank, cells["_at"][where]))  # the latest, then the greatest, is written last and stays
+        take, there = np.zeros(n, np.int64), np.zeros(n, bool)
+        take[at[where[order]]] = order
         there[at[where]] = True
         return values.take(pa.array(take, mask=~there)).cast(f.type)
 
-    def assemble(cells: pa.Table) -> pa.RecordBatch:
-        ordinals = cells.column("_ord").to_numpy()
-        rows, at = np.unique(ordinals, return_inverse=True)
-        n, term = len(rows), cells.column("_t").to_numpy()
-        own = np.flatnonzero(term == -1)  # one such cell per entity, with its iri
-        names = np.zeros(n, np.int64)
-        names[at[own]] = own
-        null = lambda f: pa.nulls(n, f.type)
-        cols = [pa.array(["row"] * n), pa.array(rows), cells.column("_str").combine_chunks().take(pa.array(names)).cast(pa.string()), *[null(f) for f in list(fields)[3:n_fixed]]]
-        cols += [column(f, t, cells, at, term == i, n) for i, (f, t) in enumerate(zip(list(fields)[n_fixed:], terms))]
-        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], schema=fields)
+    def assemble(parts: list[tuple[pa.Table, np.ndarray]]) -> pa.RecordBatch:
+        table = pa.concat_tables([t for t, _ in parts])
+        rows, at = np.unique(np.concatenate([o for _, o in parts]), return_inverse=True)
+        cells = {c: table.column(c).combine_chunks() for c in CELLS} | {"_at": table.column("_at").to_numpy()}
+        n, term = len(rows), table.column("_t").to_numpy()
+        own = np.flatnonzero(term == -1)
+        entity = np.zeros(n, np.int64)
+        entity[at[own]] = own
+        cols = [pa.array(["row"] * n), pa.array(rows), cells["_str"].take(pa.array(entity)).cast(pa.string()), *[pa.nulls(n, f.type) for f in fields[3:n_fixed]]]
+        by_term = np.argsort(term, kind="stable")
+        bounds = np.searchsorted(term[by_term], np.arange(len(terms) + 1))
+        cols += [column(f, t, cells, at, by_term[bounds[i] : bounds[i + 1]], n) for i, (f, t) in enumerate(zip(fields[n_fixed:], terms))]
+        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], schema=pa.schema(fields))
 
     def passed(t: pa.Table) -> pa.RecordBatch:
-        """Cells that are reports rather than values keep their place beside the rows."""
+        """Cells that are reports rather than values."""
         n = t.num_rows
-        names = np.array([x.column for x in terms] or [""], object)
         cols = [t.column("_kind"), pa.nulls(n, pa.int64()), t.column("_entity"), t.column("_src"), t.column("_row"), pa.array(names[t.column("_t").to_numpy()]), t.column("_str")]
-        cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols] + [pa.nulls(n, f.type) for f in list(fields)[n_fixed:]]
-        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, fields)], schema=fields)
+        cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols] + [pa.nulls(n, f.type) for f in fields[n_fixed:]]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, fields)], schema=pa.schema(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        current = None
+        held: list[tuple[pa.Table, np.ndarray]] = []
+        last, ordinal = None, -1  # of the entity that passed last
         for batch in batches:
             t = pa.Table.from_batches([batch])
             reports = pa.compute.is_valid(t.column("_kind"))
@@ -122,91 +141,130 @@ def _stitch(terms: list[Term], schema: T.StructType, span: int):
             t = t.filter(pa.compute.invert(reports))
             if not t.num_rows:
                 continue
-            ranges = t.column("_ord").to_numpy() // span
+            e1, e2 = t.column("_e1").to_numpy(), t.column("_e2").to_numpy()
+            new = np.concatenate([[last != (e1[0], e2[0])], (e1[1:] != e1[:-1]) | (e2[1:] != e2[:-1])])
+            base = ((e1 >> (64 - bits)) + (1 << (bits - 1))) << RANGE_BITS
+            # Count from the first entity of each bucket; the bucket of the entity before goes on.
+            count = np.cumsum(new)
+            starts = np.concatenate([[True], base[1:] != base[:-1]])
+            offset = np.maximum.accumulate(np.where(starts, count, 0))
+            ordinals = base + count - offset
+            if ordinal >= 0 and ordinal >> RANGE_BITS == base[0] >> RANGE_BITS:
+                ordinals[base == base[0]] += (ordinal & ((1 << RANGE_BITS) - 1)) + int(new[0])
+            ranges = ordinals // span
             cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1), t.num_rows]
             for a, b in zip(cuts, cuts[1:]):
-                if held and ranges[a] != current:
-                    yield assemble(pa.concat_tables(held))
+                if held and ranges[a] != held[-1][1][-1] // span:
+                    yield assemble(held)
                     held = []
-                current = ranges[a]
-                held.append(t.slice(a, b - a))
+                held.append((t.slice(a, b - a), ordinals[a:b]))
+            last, ordinal = (e1[-1], e2[-1]), int(ordinals[-1])
         if held:
-            yield assemble(pa.concat_tables(held))
+            yield assemble(held)
 
     return run
 
 
+def _key(c: Column) -> list[Column]:
+    """An entity in 128 bits: two hashes of its canonical form."""
+    return [F.xxhash64(c).alias("_e1"), F.xxhash64(F.lit(7), c).alias("_e2")]
+
+
+#: So many large entities are known by name in the plan; with more of them they are joined.
+MOST_NAMED = 5_000
+
+
 def eav_to_wide(links: DataFrame, attributes: DataFrame, terms: list[Term], most_inline: int = 1000, span: int = 2048, buckets: int | None = None) -> DataFrame:
     """One row (kind 'row') per distinct ``links.origin`` (canonical form), with a typed column per declared term, from the
     rels of its links (``rawid, origin, rel, target, recorded_at, deleted_at``) and the attributes of those links
     (``attr_id, rawid, name, value, recorded_at``). The further kinds report what is not in a row; see ``wide_schema``.
 
-    A column of one value has that of the latest row (greatest time, then greatest id); a column of several has each
-    different value once, in order. Withdrawn links (``deleted_at`` given) and their attributes give no values, but
-    what cannot be read is reported for every row, also for attributes of no link. A null or blank value of a typed
-    column is no value; null is not reported, blank is. Undeclared terms give nothing. Extra columns are ignored.
+    A column of one value has that of the latest row (of equal times the greatest value, as text); a column of several
+    has each different value once, in order. Withdrawn links (``deleted_at`` given) and their attributes give no values,
+    but what cannot be read is reported for every row, also for attributes of no link; these have no entity. A null
+    value is no value and not reported; a blank one is, in a typed column. Undeclared terms give nothing, a null origin
+    has no row. Extra columns are ignored. Empty tables give an empty result.
 
-    A column of one entity with more than ``most_inline`` values is null in the row and stands whole, a value a row, under
-    kind 'more', so no task ever holds more than ``span * len(terms) * most_inline`` cells, however large an entity is.
+    An entity with more than ``most_inline`` links, or a link with more attributes than that, is large: its columns of
+    several values are null in the row and stand whole, a value a row, under kind 'more'. So no task holds an entity's
+    values beyond a bound, however many it has, and none is lost.
     """
     spark = links.sparkSession
     schema = wide_schema(terms)
-    buckets = buckets or shuffle_partitions(spark)
-    declared = {kind: ([(t.term, i) for i, t in enumerate(terms) if t.kind == kind], list({canon_text(t.term): i for i, t in reversed(list(enumerate(terms))) if t.kind == kind}.items())) for kind in ("rel", "attr")}
-    links = links.select("rawid", "origin", "rel", "target", "recorded_at", "deleted_at").withColumn("_entity", canon("origin"))
-    rel_rows = _term_number(F.col("rel"), declared, "rel", links, "_t").where("_t is not null").select("_entity", "_t", F.col("target").alias("_raw"), F.lit("relationship").alias("_src"), F.col("rawid").alias("_row"), F.col("recorded_at").alias("_at"), F.col("deleted_at").isNull().alias("_live"))
-    own = attributes.select("attr_id", F.col("rawid").alias("_of"), "name", F.col("value").alias("_raw"), F.col("recorded_at").alias("_at"))
-    own = _term_number(F.col("name"), declared, "attr", own, "_t").where("_t is not null and _raw is not null")
+    bits = max(2, (4 * (buckets or shuffle_partitions(spark)) - 1).bit_length())
+    keyed = links.select("rawid", "rel", "target", "recorded_at", (F.col("deleted_at").isNull() & F.col("origin").isNotNull()).alias("_live"), "origin", *_key(canon("origin")))
+    # Every origin has a row, values or not; its name is the shortest of its spellings.
+    entities = cut(keyed.where("origin is not null").groupBy("_e1", "_e2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.length("origin"), "origin")).alias("m")).select("_e1", "_e2", "n", F.col("m.origin").alias("origin")))
+    heavy = attributes.where("rawid is not null").groupBy("rawid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_inline).select("rawid")
+    ids = [r[0] for r in heavy.limit(MOST_NAMED + 1).collect()]
+    of_heavy = keyed.where(F.col("rawid").isin(ids)) if len(ids) <= MOST_NAMED else keyed.join(heavy, "rawid", "left_semi")
+    large_rows = entities.where(F.col("n") > most_inline).select("_e1", "_e2").unionByName(of_heavy.where("origin is not null").select("_e1", "_e2")).distinct()
+    large = [(r[0], r[1]) for r in large_rows.limit(MOST_NAMED + 1).collect()]
+
+    micros = lambda c: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(-(1 << 62)))
+    rel_rows = _numbered(keyed, terms, "rel", "rel").select("_e1", "_e2", "_t", "_type", "_multi", F.col("target").alias("_raw"), F.lit("relationship").alias("_src"), F.col("rawid").alias("_row"), micros("recorded_at").alias("_at"), "_live")
+    own = attributes.select("attr_id", F.col("rawid").alias("_of"), "name", F.col("value").alias("_raw"), micros("recorded_at").alias("_at")).where("_raw is not null")
+    own = _numbered(own, terms, "attr", "name").drop("name")
     # A null rawid refers to no link: it takes no part in the shuffle of the join.
-    of_links = own.where("_of is not null").join(links.where("rawid is not null").select("rawid", "_entity", F.col("deleted_at").isNull().alias("_live")), F.col("_of") == F.col("rawid"), "left")
-    att_cols = [F.col("_entity"), F.col("_t"), F.col("_raw"), F.lit("attribute").alias("_src"), F.col("attr_id").alias("_row"), F.col("_at"), F.coalesce("_live", F.lit(False)).alias("_live")]
-    loose = own.where("_of is null").withColumns({"_entity": F.lit(None).cast("string"), "_live": F.lit(False)})
-    rows = rel_rows.unionByName(of_links.select(*att_cols)).unionByName(loose.select(*att_cols)).where("_raw is not null")
-
-    kinds = F.array(*[F.lit(t.type) for t in terms])
-    multi = F.array(*[F.lit(t.multi) for t in terms])
-    rows = rows.withColumn("_type", F.get(kinds, F.col("_t")))
-    typed = F.col("_type").isin("integer", "decimal", "date", "boolean")
-    text = F.when(typed, trimmed(F.col("_raw"))).otherwise(F.col("_raw"))
-    rows = rows.withColumn("_text", text).withColumn("_read", readable(F.col("_raw"), F.col("_type")))
+    of_links = own.where("_of is not null").join(keyed.where("rawid is not null").select("rawid", "_e1", "_e2", "_live"), F.col("_of") == F.col("rawid"), "left")
+    order = ["_e1", "_e2", "_t", "_type", "_multi", "_raw", F.lit("attribute").alias("_src"), F.col("attr_id").alias("_row"), "_at", F.coalesce("_live", F.lit(False)).alias("_live")]
+    loose = own.where("_of is null").withColumns({"_e1": F.lit(None).cast("bigint"), "_e2": F.lit(None).cast("bigint"), "_live": F.lit(False)})
+    rows = rel_rows.unionByName(of_links.select(*order)).unionByName(loose.select(*order)).where("_raw is not null")
+
+    # A value that cannot be read stays a cell of its own, with its row; others lose their rows and are combined by value.
+    typed = F.col("_type").isin(*TYPES)
+    rows = rows.withColumn("_value", F.when(typed, trimmed(F.col("_raw"))).otherwise(F.col("_raw")))
+    long = (F.length("_value") > 24) & F.col("_type").isin("integer", "decimal")
+    fits = F.when(long, F.when(F.col("_type") == "integer", as_number(F.col("_value"), INTEGER, "decimal(38,0)").isNotNull()).otherwise(as_number(F.col("_value"), DECIMAL, "decimal(38,10)").isNotNull())).otherwise(True)
+    rows = rows.withColumn("_kind", F.when(typed, F.when(~readable(F.col("_value"), F.col("_type")), "unread").when(~fits, "too_long")))
+    # Read once, written once: what follows takes the rows apart by plain columns.
+    rows = cut(rows.select("_e1", "_e2", "_t", "_multi", "_kind", "_src", "_row", "_raw", F.when(typed, F.col("_value")).alias("_value"), "_at", "_live"))
+    rows = rows.where("_kind is not null or _live")
+    report = F.col("_kind").isNotNull()
+    rows = rows.select("_e1", "_e2", "_t", "_multi", "_kind", F.when(report, F.col("_src")).alias("_src"), F.when(report, F.col("_row")).alias("_row"), F.when(report, F.col("_raw")).otherwise(F.coalesce("_value", "_raw")).alias("_value"), "_at")
+    is_large = F.lit(False)
+    if 0 < len(large) <= MOST_NAMED:
+        is_large = F.coalesce(F.col("_e1").isin([e for e, _ in large]), F.lit(False))
+    elif large:
+        rows = rows.join(large_rows.select("_e1", "_e2", F.lit(True).alias("_is")), ["_e1", "_e2"], "left")
+        is_large = F.coalesce("_is", F.lit(False))
+    order = ["_e1", "_e2", "_t", "_kind", "_src", "_row", "_value", "_at"]
+    names = entities.select("_e1", "_e2", F.lit(-1).alias("_t"), *[F.lit(None).cast(k).alias(c) for c, k in (("_kind", "string"), ("_src", "string"), ("_row", "bigint"))], F.col("origin").alias("_value"), F.lit(0).cast("bigint").alias("_at"))
+    inline = rows.where(report | ~is_large).select(*order).unionByName(names)
+    if large:
+        # A large entity's values are combined before any shuffle by entity: the latest, or each different one.
+        values = rows.where(~report & is_large)
+        latest = values.where("not _multi").groupBy("_e1", "_e2", "_t").agg(F.max(F.struct("_at", "_value")).alias("_m"))
+        latest = latest.select("_e1", "_e2", "_t", *[F.lit(None).cast(k).alias(c) for c, k in (("_kind", "string"), ("_src", "string"), ("_row", "bigint"))], F.col("_m._value").alias("_value"), F.col("_m._at").alias("_at"))
+        inline = inline.unionByName(latest)
+
+    # Global ordinals: a bucket is a range of keys, so of bounded size; an ordinal is the bucket and the rank in it. All cells
+    # of an entity that are left are few, so none makes a bucket heavy.
+    bucket = F.when(report, F.pmod(F.xxhash64("_row"), F.lit(1 << bits))).otherwise(F.shiftright("_e1", 64 - bits))
+    inline = inline.repartition(bucket).sortWithinPartitions("_e1", "_e2")
+    stitch = _stitch(terms, schema, span, bits)
+    out = _typed(inline, terms, F.lit(None).cast("string")).mapInArrow(stitch, schema)
+    if large:
+        more = values.where("_multi").select("_e1", "_e2", "_t", "_value").distinct()
+        named = entities.where(is_large) if len(large) <= MOST_NAMED else entities
+        more = more.join(named.select("_e1", "_e2", F.col("origin").alias("_entity")), ["_e1", "_e2"], "left")
+        more = more.withColumns({"_kind": F.lit("more"), "_src": F.lit(None).cast("string"), "_row": F.lit(None).cast("bigint"), "_at": F.lit(0).cast("bigint")})
+        out = out.unionByName(_typed(more, terms, F.col("_entity")).mapInArrow(stitch, schema))
+    return out
+
+
+def _typed(cells: DataFrame, terms: list[Term], entity: Column) -> DataFrame:
+    """Each cell's value in the column of its type."""
+    kinds = F.array(*[F.lit(t.type) for t in terms] or [F.lit("string")])
+    kind, text = F.when(F.col("_kind").isNull() & (F.col("_t") >= 0), F.get(kinds, F.col("_t"))).otherwise("string"), F.col("_value")
     value = {
-        "_int": F.when(F.col("_type") == "integer", as_number(F.col("_text"), INTEGER, "decimal(38,0)")),
-        "_dec": F.when(F.col("_type") == "decimal", as_number(F.col("_text"), DECIMAL, "decimal(38,10)")),
-        "_date": F.when(F.col("_type") == "date", as_date(F.col("_text"))),
-        "_bool": F.when(F.col("_type") == "boolean", as_boolean(F.col("_text"))),
-        "_str": F.when(~typed, F.col("_raw")),
+        "_int": F.when(kind == "integer", as_number(text, INTEGER, "decimal(38,0)")),
+        "_dec": F.when(kind == "decimal", as_number(text, DECIMAL, "decimal(38,10)")),
+        "_date": F.when(kind == "date", as_date(text)),
+        "_bool": F.when(kind == "boolean", as_boolean(text)),
+        "_str": text,
     }
-    rows = rows.withColumns(value).withColumn("_fits", F.coalesce(*[F.col(c).cast("string") for c in CELLS]).isNotNull())
-    kind = F.when(~F.col("_read"), "unread").when(~F.col("_fits"), "too_long")
-    cell_cols = ["_t", *CELLS]
-    reports = rows.withColumn("_kind", kind).where("_kind is not null").select("_kind", "_entity", "_src", "_row", "_t", *[F.lit(None).cast(k).alias(c) for c, k in CELLS.items() if c != "_str"], F.col("_raw").alias("_str"))
-
-    # One cell per (entity, column) or, of several values, per (entity, column, value): repeated rows are combined
-    # before the shuffle, also those of an entity that holds a large part of all rows.
-    good = rows.where("_read and _fits and _live and _entity is not null").withColumn("_multi", F.get(multi, F.col("_t")))
-    apart = {c: F.when(F.col("_multi"), F.col(c)).alias("_k" + c) for c in CELLS}
-    latest = F.struct(F.col("_at"), F.col("_row"), *CELLS)
-    cells = good.groupBy("_entity", "_t", *apart.values()).agg(F.max(latest).alias("_v")).select("_entity", "_t", *[F.col(f"_v.{c}").alias(c) for c in CELLS])
-    full = cells.groupBy("_entity", "_t").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most_inline).select("_entity", "_t")
-    more = cells.join(full, ["_entity", "_t"], "left_semi").select(F.lit("more").alias("_kind"), "_entity", F.lit(None).cast("string").alias("_src"), F.lit(None).cast("bigint").alias("_row"), "_t", *[F.lit(None).cast(k).alias(c) for c, k in CELLS.items() if c != "_str"], F.coalesce(*[F.col(c).cast("string") for c in CELLS]).alias("_str"))
-    inline = cells.join(full, ["_entity", "_t"], "left_anti")
-
-    # Every origin has a row, values or not; its name is the shortest of its spellings.
-    named = links.where("_entity is not null").groupBy("_entity").agg(F.min(F.struct(F.length("origin"), "origin")).alias("_v"))
-    named = named.select("_entity", F.lit(-1).alias("_t"), *[F.lit(None).cast(k).alias(c) for c, k in CELLS.items() if c != "_str"], F.col("_v.origin").alias("_str"))
-    cells = named.unionByName(inline.select("_entity", *cell_cols))
-
-    # Global ordinals: entities are spread over buckets by hash, so a bucket is of bounded size; an ordinal is the bucket
-    # and the rank in it. All cells of an entity that are left are few, so none makes a bucket heavy.
-    cells = cells.withColumn("_bucket", F.pmod(F.xxhash64("_entity"), F.lit(buckets)).cast("int"))
-    rank = F.dense_rank().over(Window.partitionBy("_bucket").orderBy("_entity"))
-    cells = cells.withColumn("_ord", F.shiftleft(F.col("_bucket").cast("bigint"), RANGE_BITS) + rank - 1)
-    cells = cells.sortWithinPartitions("_bucket", "_ord", "_t", *CELLS)
-    order = ["_kind", "_ord", "_entity", "_src", "_row", *cell_cols]
-    ready = cells.withColumns({"_kind": F.lit(None).cast("string"), "_src": F.lit(None).cast("string"), "_row": F.lit(None).cast("bigint")}).select(*order)
-    reports = reports.unionByName(more).withColumn("_ord", F.lit(None).cast("bigint")).select(*order)
-    stitch = _stitch(terms, schema, span)
-    return ready.mapInArrow(stitch, schema).unionByName(reports.mapInArrow(stitch, schema))
+    return cells.select("_e1", "_e2", "_at", "_kind", entity.alias("_entity"), "_src", "_row", "_t", *[v.alias(c) for c, v in value.items()])
 
 
 def canon_text(s: str) -> str:
