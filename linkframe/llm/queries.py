@@ -10,6 +10,7 @@ from linkframe.llm.duplicates import collapse, link_key
 from linkframe.llm.encoding import encode_corpus
 from linkframe.llm.mixing import mix
 from linkframe.llm.names import link_names, same_entity_pairs
+from linkframe.llm.pii import find_items, redact
 from linkframe.schema import table
 
 
@@ -42,7 +43,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p6_ids, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_items(table(spark, d, "documents"))
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_links, p4_found, p6_ids, p7_mix, p7_shares, p8_found, p8_redacted)}
 
 _LIST = f"{canon_sql('rel')} LIKE '%extent' OR {canon_sql('rel')} LIKE '%imprint'"
 _P2 = f"""WITH k AS (SELECT *, {canon_sql("origin")} AS o, {canon_sql("rel")} AS p,
