@@ -26,7 +26,7 @@ NICKNAMES = {
     "isabella": "bella", "jacob": "jake", "james": "jim jimmy jamie", "jennifer": "jenny", "johannes": "hannes jan", "john": "johnny jack", "jonathan": "jon", "joseph": "joe", "katherine": "kate kathy", "laurentius": "lars",
     "leocadia": "leo", "leonard": "len lenny", "margaret": "maggie peggy meg", "matthew": "matt", "maximilian": "max", "michael": "mike mick", "nicholas": "nick klaus", "oluwaseun": "seun", "ottilie": "tilly",
     "patricia": "pat patty", "peter": "pete", "philippa": "pippa", "quintus": "quin", "rebecca": "becky", "richard": "dick rick rich", "robert": "rob bob bobby", "rosalind": "roz", "samuel": "sam", "stephen": "steve", "susanna": "sue sanna",
-    "theodore": "theo ted", "thomas": "tom tommy", "ursula": "ulla", "veronica": "ronnie", "victoria": "vicky", "wilhelmina": "mina", "william": "bill will billy", "yevgenia": "zhenya", "zacharias": "zach",
+    "soren": "soeren", "bjorn": "bjoern", "zoe": "zoee", "theodore": "theo ted", "thomas": "tom tommy", "ursula": "ulla", "veronica": "ronnie", "victoria": "vicky", "wilhelmina": "mina", "william": "bill will billy", "yevgenia": "zhenya", "zacharias": "zach",
 }
 # Titles, particles of surnames, names that stand for no one.
 TITLES = set("sir dame lord lady dr prof professor mr mrs ms miss rev hon mme mlle herr frau dipl ing ph d phd md".split())
@@ -290,13 +290,26 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _parents(pairs: DataFrame) -> DataFrame:
+    """(a, b): every name with a better one near it and the nearest of these. A misspelling is made once, on one form of a
+    name, so a spelling that stands in several forms (reordered, abbreviated, in capitals) is no misspelling: two such
+    are two names, however near, and nothing between them joins them, as each name follows one other only."""
+    d = F.expr("levenshtein(a_text, b_text) + levenshtein(a_given, b_given)")
+    both = None
+    for x, y in (("a", "b"), ("b", "a")):
+        side = pairs.select(F.col(x).alias("a"), F.col(y).alias("b"), F.col(f"{x}_forms").alias("fa"), F.col(f"{y}_forms").alias("fb"), d.alias("d"))
+        both = side if both is None else both.unionByName(side)
+    up = both.where("not (fa > 1 and fb > 1) and (fb > fa or (fb = fa and b < a))")
+    return up.groupBy("a").agg(F.min_by("b", F.struct("d", -F.col("fb"), "b")).alias("b"))
+
+
 def link_names(names: DataFrame, kind: str, name_col: str = "name") -> DataFrame:
     """(name, entity): every distinct spelling of ``names`` that can be read, with the entity it means; ``kind`` is 'author'
     or 'publisher'. Spellings of one entity share its id. Null, empty and blank names, names without letters and those
     that stand for no one are left out; repeated rows count once; an empty table gives an empty result.
 
     Authors: two full names are one person if surname and given name (nicknames read as the formal name) are at most two
-    edits apart together, and an initial means the one person of that surname whose given name begins so; where it may
+    edits apart together, second initials do not differ, and not both stand in several forms, and an initial means the one person of that surname whose given name begins so; where it may
     mean several, the second initial decides, or it is an entity of its own. Publishers: the kind of house must agree, and
     its own words, in any order, be at most two edits apart.
     """
@@ -310,21 +323,22 @@ def link_names(names: DataFrame, kind: str, name_col: str = "name") -> DataFrame
         read = read.withColumn("given", to_formal("given"))
     key = F.concat_ws("\x1f", "surname", "given")
     read = cut(read.withColumn("node", F.xxhash64(key)))
-    nodes = cut(read.groupBy("node").agg(F.min("surname").alias("text"), F.min("given").alias("given")))
+    nodes = cut(read.groupBy("node").agg(F.min("surname").alias("text"), F.min("given").alias("given"), F.count(F.lit(1)).alias("forms"), F.max(F.when(F.col("more") != "", F.substring("more", 1, 1))).alias("second")))
     check = _verified(kind)("a_text", "b_text", "a_given", "b_given")
+    own = ["node", "given", "forms", "second"]
     if kind == "author":
         block = F.substring("given", 1, 1)
-        pairs = segment_join(nodes.withColumn("block", block), 2, ["node", "given"]).where("a_node <> b_node and (a_given = b_given or length(a_given) < 2 or length(b_given) < 2 or levenshtein(a_given, b_given, 4) >= 0)")
+        pairs = segment_join(nodes.withColumn("block", block), 2, own).where("a_node <> b_node and (a_given = b_given or length(a_given) < 2 or length(b_given) < 2 or levenshtein(a_given, b_given, 4) >= 0)")
         # The first letter of a given name may be misspelt as well.
         full = nodes.where("length(given) > 3").withColumn("block", F.lit("*"))
-        odd = segment_join(full, 1, ["node", "given"]).where("a_node <> b_node and substring(a_given, 1, 1) <> substring(b_given, 1, 1) and levenshtein(a_given, b_given, 2) >= 0")
+        odd = segment_join(full, 1, own).where("a_node <> b_node and substring(a_given, 1, 1) <> substring(b_given, 1, 1) and levenshtein(a_given, b_given, 2) >= 0")
         pairs = pairs.unionByName(odd)
     else:
-        pairs = segment_join(nodes.withColumn("block", F.col("given")), 2, ["node", "given"]).where("a_node <> b_node")
-    pairs = pairs.dropDuplicates(["a_node", "b_node"]).where(check)
-    pairs = cut(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_text", "b_text", "a_given", "b_given"))
+        pairs = segment_join(nodes.withColumn("block", F.col("given")), 2, own).where("a_node <> b_node")
+    pairs = pairs.where("a_second is null or b_second is null or a_second = b_second").dropDuplicates(["a_node", "b_node"]).where(check)
+    pairs = cut(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_text", "b_text", "a_given", "b_given", "a_forms", "b_forms"))
     whole = pairs.where("length(a_given) <> 1 and length(b_given) <> 1")
-    roots = components(whole.select("a", "b"))
+    roots = components(_parents(whole))
     nodes = nodes.join(roots, "node", "left").select("node", "text", "given", F.coalesce("root", "node").alias("root"))
     if kind == "author":
         nodes = cut(nodes)
