@@ -35,8 +35,33 @@ RDFS_NS = "http://www.w3.org/2000/01/rdf-schema#"
 RDF_TYPE = RDF_NS + "type"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package known to the Python workers, where neither the working folder nor PYTHONPATH does: as a zip that
+    Spark's own file server hands to the executors."""
+    import os
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    known = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + [Path.cwd()]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or root in known or not root.is_dir():
+        return
+    _shipped.add(app)
+    file = Path(tempfile.mkdtemp()) / "linkframe.zip"
+    with zipfile.ZipFile(file, "w") as z:
+        for p in sorted((root / "linkframe").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(file))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables of a folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
