@@ -194,6 +194,26 @@ class Linkset:
         """(origin, rel, target, name, value): a row per attribute, one with nulls for links without."""
         return self.df.select(*PARTS, F.explode_outer("attrs").alias("a")).select(*PARTS, F.col("a.name").alias("name"), F.col("a.value").alias("value"))
 
+    def reified(self, about: str = "urn:link:") -> Linkset:
+        """The same without attributes: each attribute is a link of its own, from a resource that stands for the link and
+        names its origin, rel and target."""
+        from linkframe.schema import RDF_NS
+
+        rid = F.concat(F.lit(about), F.hex(F.xxhash64(*IDENTITY)))
+        noted = self.df.where(F.size("attrs") > 0).withColumn("_rid", rid)
+        parts = F.array(*[F.struct(F.lit(RDF_NS + n).alias("name"), F.col(c).alias("value")) for n, c in (("subject", "origin"), ("predicate", "rel"), ("object", "target"))])
+        own = noted.select("_rid", F.explode(F.concat(parts, "attrs")).alias("a"))
+        plain = Linkset(self.df.withColumn("attrs", F.expr(NO_ATTRS)))
+        return plain.union(Linkset.from_columns(own, F.col("_rid"), F.col("a.name"), F.col("a.value"), None, F.lit(False)), dedup=False)
+
+    def hashed(self) -> DataFrame:
+        """With ``link_hash``, a hash of the link's identity."""
+        return self.df.withColumn("link_hash", F.xxhash64(*IDENTITY))
+
+    def refinements(self, rel: str) -> DataFrame:
+        """(broader, narrower): what refines each target, sorted."""
+        return self.match(None, rel).df.groupBy(F.col("target").alias("broader")).agg(F.array_sort(F.collect_set("origin")).alias("narrower"))
+
     # sets and changes
 
     def numbered(self) -> Linkset:

@@ -605,13 +605,15 @@ def action_template(proto: Action):
 @dataclass
 class Result:
     """``output`` links; ``fingerprints`` (in_rid, out_rid, is_main); ``misses``: links of fingerprinted resources that no
-    rule took; ``blank_labels`` (origin, type); ``complete``: False where the pipeline ended without any entity."""
+    rule took; ``blank_labels`` (origin, type); ``complete``: False where the pipeline ended without any entity;
+    ``firings`` (rule, n): how often each transform rule was run."""
 
     output: Linkset
     fingerprints: DataFrame
     misses: DataFrame
     blank_labels: DataFrame
     complete: bool
+    firings: DataFrame | None = None
 
 
 def run_actions(contexts: Iterable[tuple[DataFrame, Action]], model: Linkset, base: str | None = None, extras: Mapping | None = None) -> Linkset:
@@ -664,18 +666,20 @@ class Pipeline:
         fingerprints = cut(rows.groupBy("in_rid", "out_rid").agg(F.max("is_main").alias("is_main")))
         return Linkset(cut(_collected(env, model).df)), fingerprints
 
-    def transform(self, model: Linkset, made: Linkset, fingerprints: DataFrame) -> tuple[Linkset, DataFrame, DataFrame]:
-        """(links, entities made, misses)."""
+    def transform(self, model: Linkset, made: Linkset, fingerprints: DataFrame) -> tuple[Linkset, DataFrame, DataFrame, DataFrame]:
+        """(links, entities made, misses, firings)."""
         resources = fingerprints.where("is_main").groupBy("in_rid").agg(F.array_sort(F.collect_list("out_rid")).alias("mains"))
         env = Env(model, base=self.base, extras=self.extras, resources=resources)
         types = made.match(None, TYPE).df.select(F.col("origin").alias("_to"), F.col("target").alias("_tt"))
-        taken = None
+        taken = fired = None
         for key, rules in self.transform_rules.items():
             r, kinds = (key, None) if isinstance(key, str) else (key[0], list(key[1:]))
             outs = fingerprints.where("is_main").select("in_rid", "out_rid") if kinds is None else fingerprints.join(types.where(F.col("_tt").isin(kinds)).select("_to").distinct(), F.col("out_rid") == F.col("_to"), "left_semi").select("in_rid", "out_rid")
             ctx = model.match(None, r).df.join(outs, F.col("origin") == F.col("in_rid"))
             hit = ctx.select("in_rid", "rel").distinct()
             taken = hit if taken is None else taken.unionByName(hit)
+            n = ctx.agg((F.count(F.lit(1)) * len(_rules(rules))).alias("n")).select(F.lit(key if isinstance(key, str) else " ".join(key)).alias("rule"), "n")
+            fired = n if fired is None else fired.unionByName(n)
             ctx = ctx.select("in_rid", F.col("out_rid").alias("origin"), "rel", "target", "target_is_iri", "attrs")
             for rule in _rules(rules):
                 first = _contexts(ctx).withColumn("_input", F.array("_in"))
@@ -688,7 +692,9 @@ class Pipeline:
             entities = m if entities is None else entities.unionByName(m)
         if entities is None:
             entities = fingerprints.limit(0).select("in_rid", "out_rid")
-        return _collected(env, model), entities, misses
+        if fired is None:
+            fired = model.df.sparkSession.createDataFrame([], "rule string, n bigint")
+        return _collected(env, model), entities, misses, fired
 
     def labelize(self, output: Linkset) -> tuple[Linkset, DataFrame]:
         env, rows = Env(output, base=self.base, extras=self.extras), None
@@ -713,7 +719,7 @@ class Pipeline:
         none = spark.createDataFrame([], "origin string, type string")
         if not fingerprints.limit(1).count():
             return Result(Linkset.empty(spark), fingerprints, model.df.limit(0), none, False)
-        more, entities, misses = self.transform(model, made, fingerprints)
+        more, entities, misses, firings = self.transform(model, made, fingerprints)
         output = Linkset(cut(made.union(more).df))
         labels, blank = self.labelize(output)
         output = output.union(labels)
@@ -722,7 +728,37 @@ class Pipeline:
             output = output.union(hook(ids))
         if known is not None:
             output = Linkset(output.df.join(known.select(F.col("out_rid").alias("_known")), F.col("origin") == F.col("_known"), "left_anti"))
-        return Result(output, fingerprints, misses, blank, True)
+        return Result(output, fingerprints, misses, blank, True, firings)
+
+
+def stage(key: int):
+    """Marks a method of a ``Definition`` as the stage with that place in the order."""
+
+    def mark(method):
+        method.stage_key = key
+        return method
+
+    return mark
+
+
+class Definition:
+    """A pipeline of one's own: methods marked with ``@stage(n)`` are run in the order of n, each seeing ``self.model`` and
+    adding to ``self.output``. One that returns False ends the run."""
+
+    def __init__(self):
+        self.model: Linkset | None = None
+        self.output: Linkset | None = None
+
+    def stages(self) -> list[Callable]:
+        found = [getattr(self, n) for n in dir(type(self)) if hasattr(getattr(type(self), n), "stage_key")]
+        return sorted(found, key=lambda m: (m.stage_key, m.__name__))
+
+    def run(self, model: Linkset, output: Linkset | None = None) -> Linkset:
+        self.model, self.output = model, output or Linkset.empty(model.df.sparkSession)
+        for method in self.stages():
+            if method() is False:
+                break
+        return self.output
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["resolve"]

@@ -149,6 +149,20 @@ def jsonld(links: Linkset, vocab: str = "", ignore_types: Iterable[str] = (), ty
     return objects(rows).where("n > 0").select("origin", F.concat(F.lit('{"@id":'), _json(F.col("origin")), F.lit(","), "body", F.lit("}")).alias("value"))
 
 
+def unwrapped(objects: DataFrame, column: str = "value") -> DataFrame:
+    """JSON-LD whose ``{"@value": x}`` are plain ``x``."""
+
+    def plain(x):
+        if isinstance(x, dict):
+            return plain(x["@value"]) if "@value" in x else {k: plain(v) for k, v in x.items()}
+        return [plain(v) for v in x] if isinstance(x, list) else x
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else json.dumps(plain(json.loads(t)), ensure_ascii=False))
+
+    return objects.withColumn(column, F.pandas_udf(run, "string")(column))
+
+
 # --- RDFS
 
 

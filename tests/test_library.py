@@ -86,6 +86,17 @@ def test_lookups_and_groups(spark):
     assert m.flatten().where("name is not null").count() == 1 and m.count().collect()[0].n_links == 8
 
 
+def test_reified_hashed_refinements(spark):
+    m = Linkset.of(spark, [("a", "r", "b", {"n": "v", "k": "w"}), ("c", "r", "b"), ("d", "r", "e")])
+    got = m.reified()
+    assert got.size() == 3 + 5 and got.flatten().where("name is not null").count() == 0
+    assert {x.rel.rsplit("#")[-1]: x.target for x in got.df.where("origin like 'urn:link:%'").collect()} == {"subject": "a", "predicate": "r", "object": "b", "n": "v", "k": "w"}
+    assert m.hashed().select("link_hash").distinct().count() == 3
+    assert {r.broader: r.narrower for r in m.refinements("r").collect()} == {"b": ["a", "c"], "e": ["d"]}
+    objects = spark.createDataFrame([('{"a":{"@value":1},"b":[{"@value":"x"},{"c":{"@value":null}}]}',), (None,)], "value string")
+    assert [json.loads(r.value) if r.value else None for r in formats.unwrapped(objects).collect()] == [{"a": 1, "b": ["x", {"c": None}]}, None]
+
+
 def test_graph(spark):
     rng = random.Random(1)
     edges = {(f"n{rng.randint(0, 14)}", f"n{rng.randint(0, 14)}") for _ in range(22)}

@@ -4,7 +4,7 @@ import pytest
 
 from linkframe.functions.hashing import fingerprint_text, id_of, resource_id
 from linkframe.operators.linkset import Linkset
-from linkframe.plans.pipeline import COPY, Pipeline, action_template, attr, column_action, compose, contains, extra, follow, foreach, if_, ifexists, ignore, link, lookup, materialize, origin, regex_match_modify, rel, replace_from, run_actions, target, toiri, values, var
+from linkframe.plans.pipeline import COPY, Definition, Pipeline, action_template, attr, column_action, compose, contains, extra, follow, foreach, if_, ifexists, ignore, link, lookup, materialize, origin, regex_match_modify, rel, replace_from, run_actions, stage, target, toiri, values, var
 from linkframe.schema import LABEL, TYPE
 from linkframe.sources.literate import links_of
 from pyspark.sql import functions as F
@@ -89,6 +89,7 @@ def test_basics(spark):
     assert r.output.match(None, BF + "birthDate", "1919-01-01").size() == 1
     assert {x.out_rid for x in r.fingerprints.collect()} == {resource_id([(BF + "isbn", "0316769487")], BF + "Instance")}
     assert {x.origin for x in r.output.match(None, TYPE, BF + "Person").df.collect()} == {resource_id([(BF + "name", "J. D. Salinger"), (BF + "birthDate", "1919-01-01")], BF + "Person")}
+    assert {(x.rule, x.n) for x in r.firings.collect()} == {(SCH + "name", 1), (SCH + "author", 1)}
     assert {x.rel for x in r.misses.collect()} == {SCH + x for x in ("authorBirthDate", "offers", "inLanguage", "isbn", "review")} | {TYPE}
 
 
@@ -243,3 +244,22 @@ def test_same_ids_every_run_without_fingerprint(spark):
     rules = {SCH + "Book": materialize(BF + "Instance")}
     a, b = (Pipeline(rules).run(links_of(spark, BOOK)).fingerprints.collect() for _ in range(2))
     assert a == b and len(a) == 1
+
+
+def test_own_stages(spark):
+    class Mine(Definition):
+        @stage(2)
+        def second(self):
+            self.output = self.output.union(Linkset.of(spark, [("b", "r", "2")]))
+            return False
+
+        @stage(1)
+        def first(self):
+            self.output = self.output.union(self.model.match("a"))
+
+        @stage(3)
+        def never(self):
+            raise AssertionError
+
+    out = Mine().run(Linkset.of(spark, [("a", "r", "1"), ("x", "r", "0")]))
+    assert {x.target for x in out.df.collect()} == {"1", "2"}
