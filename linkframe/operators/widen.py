@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from linkframe.functions.canon import canon
 from linkframe.functions.typed import DECIMAL, INTEGER, TYPES, as_boolean, as_date, as_number, readable, trimmed
-from linkframe.schema import cut, shuffle_partitions
+from linkframe.schema import cut, shuffle_partitions, splittable
 
 #: Type of a declared value -> (cell it is carried in, Spark type of its column).
 COLUMNS = {
@@ -226,7 +226,7 @@ def eav_to_wide(links: DataFrame, attributes: DataFrame, terms: list[Term], most
     if 0 < len(large) <= MOST_NAMED:
         is_large = F.coalesce(F.col("_e1").isin([e for e, _ in large]), F.lit(False))
     elif large:
-        rows = rows.join(large_rows.select("_e1", "_e2", F.lit(True).alias("_is")), ["_e1", "_e2"], "left")
+        rows = rows.join(splittable(large_rows, "_e1").select("_e1", "_e2", F.lit(True).alias("_is")), ["_e1", "_e2"], "left")
         is_large = F.coalesce("_is", F.lit(False))
     order = ["_e1", "_e2", "_t", "_kind", "_src", "_row", "_value", "_at"]
     names = entities.select("_e1", "_e2", F.lit(-1).alias("_t"), *[F.lit(None).cast(k).alias(c) for c, k in (("_kind", "string"), ("_src", "string"), ("_row", "bigint"))], F.col("origin").alias("_value"), F.lit(0).cast("bigint").alias("_at"))
@@ -246,7 +246,7 @@ def eav_to_wide(links: DataFrame, attributes: DataFrame, terms: list[Term], most
     out = _typed(inline, terms, F.lit(None).cast("string")).mapInArrow(stitch, schema)
     if large:
         more = values.where("_multi").select("_e1", "_e2", "_t", "_value").distinct()
-        named = entities.where(is_large) if len(large) <= MOST_NAMED else entities
+        named = F.broadcast(entities.where(is_large)) if len(large) <= MOST_NAMED else entities  # at most MOST_NAMED rows
         more = more.join(named.select("_e1", "_e2", F.col("origin").alias("_entity")), ["_e1", "_e2"], "left")
         more = more.withColumns({"_kind": F.lit("more"), "_src": F.lit(None).cast("string"), "_row": F.lit(None).cast("bigint"), "_at": F.lit(0).cast("bigint")})
         out = out.unionByName(_typed(more, terms, F.col("_entity")).mapInArrow(stitch, schema))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ATTRS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))
@@ -84,6 +85,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/linkframe-{uuid.uuid4().hex}"
 
 
+def splittable(df: DataFrame, key: str) -> DataFrame:
+    """``df``, an aggregated side of a join on ``key`` (a string or bigint), so that adaptive skew handling can work on the
+    other side. A side that comes from an aggregation by the key is joined where it lies, without a shuffle of its own, and
+    then Spark cannot split the partition of a hot key on the other side; a key that is written anew is shuffled again,
+    which costs little as this side has a row per key."""
+    c = F.col(key)
+    return df.withColumn(key, F.concat(c, F.lit("")) if dict(df.dtypes)[key] == "string" else F.bitwise_not(F.bitwise_not(c)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the plan behind it is not run again, and a lost
     executor loses nothing of it."""

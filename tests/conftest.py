@@ -19,3 +19,20 @@ def spark():
     )
     s.sparkContext.setLogLevel("OFF")
     return s
+
+
+@pytest.fixture
+def skewed(spark, tmp_path):
+    """Links of which a third have one origin, in many files, and a session in which little data counts as skewed."""
+    from pyspark.sql import functions as F
+
+    conf = {"spark.sql.shuffle.partitions": "96", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40k", "spark.sql.files.maxPartitionBytes": "1m"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    origin = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("o"), (F.col("id") % 20000).cast("string")))
+    df = spark.range(200_000).select(F.col("id").alias("rawid"), origin.alias("origin"), F.lit("r").alias("rel"), F.lit("t").alias("target"), F.lit("2022-01-01").cast("timestamp").alias("at"))
+    df.repartition(24).write.parquet(str(tmp_path / "skewed"))
+    yield spark.read.parquet(str(tmp_path / "skewed"))
+    for k, v in before.items():
+        spark.conf.set(k, v)

@@ -52,3 +52,14 @@ def test_tree_has_rounds_of_bounded_fan_in(spark):
     out = tree_aggregate(df, ["k"], {"n": (F.count(F.lit(1)), F.sum)}, 20, fan_in=3)
     assert plan(out).count("Exchange hashpartitioning") == 4  # leaves, then 20 -> 7 -> 3 -> 1
     assert sorted(map(tuple, out.collect())) == [(0, 334), (1, 333), (2, 333)]
+
+
+def test_hot_reference_is_split(spark, skewed):
+    from pyspark.sql import functions as F
+
+    from linkframe.operators.orphans import orphan_references
+
+    keys = spark.range(20000).select(F.concat(F.lit("o"), F.col("id").cast("string")).alias("k"), F.lit("2021-01-01").cast("timestamp").alias("s"), F.lit(None).cast("timestamp").alias("e"))
+    out = orphan_references(skewed, keys, ["origin"], ["k"], "at", "s", "e")
+    assert len(out.collect()) == 66_667
+    assert "skew=true" in plan(out)
