@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkframe.functions.canon import canon, canon_fields
-from linkframe.schema import cut
+from linkframe.schema import cut, splittable
 
 PAGE_BITS = 1 << 16
 PAGE_BYTES = PAGE_BITS // 8
@@ -158,6 +158,6 @@ def collapse(rows: DataFrame, key: Column, row_id: str, bits_per_row: int = 12,
         single = part.where("not _maybe").drop("_maybe", "_key", "_hash").withColumns({"first_id": F.col(row_id), "n_copies": F.lit(1).cast("bigint")})
         maybe = part.where("_maybe").drop("_maybe", "_hash")
         groups = maybe.groupBy("_key").agg(F.min(row_id).alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
-        both = single.unionByName(maybe.join(groups, "_key").drop("_key"))
+        both = single.unionByName(maybe.join(splittable(groups, "_key"), "_key").drop("_key"))
         out = both if out is None else out.unionByName(both)
     return out

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkframe.schema import cut
+from linkframe.schema import cut, splittable
 
 # Short forms of given names.
 NICKNAMES = {
@@ -225,7 +225,7 @@ def _oriented(names: DataFrame) -> DataFrame:
     sure = names.where("sure and given <> ''")
     as_given = sure.where("length(given) > 1").groupBy(F.col("given").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     as_last = sure.groupBy(F.col("surname").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    seen = lambda df, c, n: df.select(F.col("w").alias(c), F.col("n").alias(n))
+    seen = lambda df, c, n: splittable(df, "w").select(F.col("w").alias(c), F.col("n").alias(n))
     open_ = names.where("not sure and given <> ''")
     open_ = open_.join(seen(as_given, "given", "gg"), "given", "left").join(seen(as_given, "surname", "sg"), "surname", "left")
     open_ = open_.join(seen(as_last, "surname", "ss"), "surname", "left").join(seen(as_last, "given", "gs"), "given", "left")
