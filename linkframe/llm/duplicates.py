@@ -137,27 +137,30 @@ def collapse(rows: DataFrame, key: Column, row_id: str, bits_per_row: int = 12,
     The filter takes ``bits_per_row`` bits a row; where that is more than ``filter_bytes`` (the bound of what is sent to
     every executor), the hashes are taken in as many passes, each over its own part of the hash space. A false positive
     costs a shuffled row, never a wrong group. A group of any size is combined before the shuffle and joined back with
-    adaptive skew handling. Null ids are allowed but never the first unless all of a group are null; an empty table gives
+    adaptive skew handling. Columns of ``rows`` called ``first_id`` or ``n_copies`` are replaced, all others kept. Null ids are allowed but never the first unless all of a group are null; an empty table gives
     an empty result.
     """
     spark = rows.sparkSession
+    own = "_c"
+    while any(c.startswith(own) for c in rows.columns):
+        own += "_"
+    k, h, maybe_ = own + "key", own + "hash", own + "maybe"  # no column of the rows is called so
     n = rows.count()
     total = max(1, -(-n * bits_per_row // PAGE_BITS))
     passes = max(1, -(-total * PAGE_BYTES // filter_bytes))
     pages = -(-total // passes)
-    keyed = rows.withColumn("_key", key)
-    keyed = keyed.withColumn("_hash", F.xxhash64("_key"))
+    keyed = rows.drop("first_id", "n_copies").withColumn(k, key)
+    keyed = keyed.withColumn(h, F.xxhash64(k))
     if passes > 1:
         keyed = cut(keyed)
     out = None
     for p in range(passes):
-        part = keyed.where(F.pmod(F.shiftright("_hash", 3), F.lit(passes)) == p) if passes > 1 else keyed
-        seen = spark.sparkContext.broadcast(repeated_filter(part.select("_hash"), pages).tobytes())
-
-        part = part.withColumn("_maybe", F.pandas_udf(_probe(seen, pages), "boolean")("_hash"))
-        single = part.where("not _maybe").drop("_maybe", "_key", "_hash").withColumns({"first_id": F.col(row_id), "n_copies": F.lit(1).cast("bigint")})
-        maybe = part.where("_maybe").drop("_maybe", "_hash")
-        groups = maybe.groupBy("_key").agg(F.min(row_id).alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
-        both = single.unionByName(maybe.join(splittable(groups, "_key"), "_key").drop("_key"))
+        part = keyed.where(F.pmod(F.shiftright(h, 3), F.lit(passes)) == p) if passes > 1 else keyed
+        seen = spark.sparkContext.broadcast(repeated_filter(part.select(h), pages).tobytes())
+        part = part.withColumn(maybe_, F.pandas_udf(_probe(seen, pages), "boolean")(h))
+        single = part.where(~F.col(maybe_)).drop(maybe_, k, h).withColumns({"first_id": F.col(row_id), "n_copies": F.lit(1).cast("bigint")})
+        maybe = part.where(F.col(maybe_)).drop(maybe_, h)
+        groups = maybe.groupBy(k).agg(F.min(row_id).alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
+        both = single.unionByName(maybe.join(splittable(groups, k), k).drop(k))
         out = both if out is None else out.unionByName(both)
     return out

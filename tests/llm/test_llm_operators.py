@@ -52,8 +52,10 @@ def test_collapse_brute_force(spark, filter_bytes):
 
 def test_collapse_awkward(spark):
     data = [(1, "a", "x", None), (2, "A!", "X", None), (3, "a", "x", ""), (4, None, None, None), (5, None, None, None), (6, "a", "extent", "p=1; q=2"), (7, "a", "EXTENT", "Q: 2 | P: 1"), (8, "a", "extent", "p=2; q=1"), (9, "z" * 100_000, "x", "y"), (9, "Z" * 100_000, "x", "y")]
-    df = spark.createDataFrame([(*d, "k", 1) for d in data], LINKS).drop("_key", "n_copies").withColumn("other", F.lit(1))
-    got = {(r.rawid, r.target): (r.first_id, r.n_copies) for r in duplicates.collapse(df, duplicates.link_key(), "rawid").collect()}
+    df = spark.createDataFrame([(*d, "k", 1) for d in data], LINKS).withColumns({"_hash": F.lit(1), "_ckey": F.lit(2), "_maybe": F.lit(3)})
+    out = duplicates.collapse(df, duplicates.link_key(), "rawid")
+    assert {(r["_key"], r["_hash"], r["_ckey"], r["_maybe"]) for r in out.collect()} == {("k", 1, 2, 3)}
+    got = {(r.rawid, r.target): (r.first_id, r.n_copies) for r in out.collect()}
     assert got[1, None] == got[2, None] == (1, 2) and got[3, ""] == (3, 1) and got[4, None] == got[5, None] == (4, 2)
     assert got[6, "p=1; q=2"] == got[7, "Q: 2 | P: 1"] == (6, 2) and got[8, "p=2; q=1"] == (8, 1) and got[9, "y"] == (9, 2)
     assert duplicates.collapse(df.limit(0), duplicates.link_key(), "rawid").count() == 0
