@@ -369,3 +369,24 @@ def test_storage(spark, tmp_path):
         assert full(storage.load(spark, str(tmp_path / f"p{by_rel}"))) == full(m)
     plan = storage.load(spark, str(tmp_path / "pFalse")).match(TWO).df._jdf.queryExecution().toString()
     assert "PushedFilters" in plan or "pushed" in plan.lower()
+
+
+def test_jdbc(spark):
+    m = Linkset.of(spark, [*RELS_DC, ("a", "r", "x" * 5000)])
+    url, props = "jdbc:derby:memory:links;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    storage.write_jdbc(m, url, "sp", props, mode="overwrite")
+    back = storage.read_jdbc(spark, url, "sp", props, 2, (0, 10))
+    assert full(back) == full(m)
+    plan = back.match(TWO).df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(origin,http://two.example)" in plan and "numPartitions=2" in plan
+
+
+def test_bucketed_table(spark):
+    m = Linkset.of(spark, RELS_DC)
+    storage.drop_table(spark, "links_test")
+    storage.save_table(m, "links_test", 4)
+    a = Linkset(spark.table("links_test"))
+    assert full(a) == full(m)
+    plan = a.df.groupBy("origin").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    storage.drop_table(spark, "links_test")
