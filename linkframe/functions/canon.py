@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Java pattern of what is ignored: white space, separators, controls of spacing, punctuation, ASCII symbols.
 IGNORED = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}\x{200b}\x{feff}\p{P}$+<=>^`|~]+"
+#: What of it is ASCII: tested by a bit a character, for texts of ASCII only.
+IGNORED_ASCII = r"[\x09-\x0d\x1c-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+"
 #: The same for DuckDB's RE2.
 IGNORED_RE2 = r"[\s\v\p{Z}\x{1c}-\x{1f}\x{85}\x{200b}\x{feff}\p{P}$+<=>^`|~]+"
 #: Between the fields of a list of named fields.
@@ -18,7 +20,9 @@ EDGE_SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 def canon(c: Column) -> Column:
     """Null stays null; a value of only ignored characters becomes the empty string."""
-    return F.lower(F.regexp_replace(F.upper(c), IGNORED, ""))
+    u = F.upper(c)
+    ascii_only = F.length(u) == F.octet_length(u)
+    return F.lower(F.when(ascii_only, F.regexp_replace(u, IGNORED_ASCII, "")).otherwise(F.regexp_replace(u, IGNORED, "")))
 
 
 def canon_fields(c: Column) -> Column:

@@ -131,3 +131,9 @@ def test_canon(spark):
     got = spark.createDataFrame(data, "s string, w string").select(canon("s").alias("g"), "w").collect()
     assert all(r.g == r.w for r in got)
     assert [canon_text(s) for s, _ in data if s is not None] == [w for s, w in data if s is not None]
+
+
+def test_canon_of_every_ascii_character(spark):
+    data = [(f"{chr(i)}A{chr(i)}{tail}", i) for i in range(1, 128) for tail in ("", "é")]
+    got = spark.createDataFrame(data, "s string, i int").select("s", canon("s").alias("g")).collect()
+    assert all(r.g == canon_text(r.s) for r in got)
