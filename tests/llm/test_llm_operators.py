@@ -245,6 +245,13 @@ def test_skip_edges_carry_labels():
     assert after[1][0, 4] > first[1][0, 4]
 
 
+def test_names_are_found_again_without_an_anchor():
+    """Neither given name nor surname is known, and the later lines have no word that points to a person."""
+    text = "Inventor: Qorvath Zelminor\nThe valve 12 closes.\nQorvath Zelminor observed that the seal held.\nParts of the Zelminor GmbH were used.\nSteel Zelminorite."
+    found = sorted(Finder(default_model()).find([text])[0])
+    assert [(text[s:e], k) for s, e, k in found] == [("Qorvath Zelminor", "person")] * 2
+
+
 TEXT = "Inventor: Robert M. Kelard\nTel. +44 (0)1632 960187\nresiding at Flat 4, 3 Drovappo Road\nDaikashaw\nQX6 4ZQ\nmail kel [at] post.drih.example today, SSN 901 50 8669 (to be struck out)\nTests 555-11-246 and 2032-09-304 by Kelard GmbH gave a@b = b@a + 5."
 
 
