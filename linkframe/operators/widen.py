@@ -179,7 +179,7 @@ def eav_to_wide(links: DataFrame, attributes: DataFrame, terms: list[Term], most
     rels of its links (``rawid, origin, rel, target, recorded_at, deleted_at``) and the attributes of those links
     (``attr_id, rawid, name, value, recorded_at``). The further kinds report what is not in a row; see ``wide_schema``.
 
-    A column of one value has that of the latest row (of equal times the greatest value, as text); a column of several
+    A column of one value has that of the latest row (of equal times the greatest value); a column of several
     has each different value once, in order. Withdrawn links (``deleted_at`` given) and their attributes give no values,
     but what cannot be read is reported for every row, also for attributes of no link; these have no entity. A null
     value is no value and not reported; a blank one is, in a typed column. Undeclared terms give nothing, a null origin
@@ -234,7 +234,9 @@ def eav_to_wide(links: DataFrame, attributes: DataFrame, terms: list[Term], most
     if large:
         # A large entity's values are combined before any shuffle by entity: the latest, or each different one.
         values = rows.where(~report & is_large)
-        latest = values.where("not _multi").groupBy("_e1", "_e2", "_t").agg(F.max(F.struct("_at", "_value")).alias("_m"))
+        kinds = F.array(*[F.lit(t.type) for t in terms])
+        rank = F.struct("_at", *[c.alias(n) for n, c in _cells(F.get(kinds, F.col("_t")), F.col("_value")).items()], "_value")
+        latest = values.where("not _multi").groupBy("_e1", "_e2", "_t").agg(F.max(rank).alias("_m"))
         latest = latest.select("_e1", "_e2", "_t", *[F.lit(None).cast(k).alias(c) for c, k in (("_kind", "string"), ("_src", "string"), ("_row", "bigint"))], F.col("_m._value").alias("_value"), F.col("_m._at").alias("_at"))
         inline = inline.unionByName(latest)
 
@@ -257,14 +259,18 @@ def _typed(cells: DataFrame, terms: list[Term], entity: Column) -> DataFrame:
     """Each cell's value in the column of its type."""
     kinds = F.array(*[F.lit(t.type) for t in terms] or [F.lit("string")])
     kind, text = F.when(F.col("_kind").isNull() & (F.col("_t") >= 0), F.get(kinds, F.col("_t"))).otherwise("string"), F.col("_value")
-    value = {
+    return cells.select("_e1", "_e2", "_at", "_kind", entity.alias("_entity"), "_src", "_row", "_t", *[v.alias(c) for c, v in _cells(kind, text).items()])
+
+
+def _cells(kind: Column, text: Column) -> dict[str, Column]:
+    """The value of a text as each of the cells; of the typed ones only that of its kind is not null."""
+    return {
         "_int": F.when(kind == "integer", as_number(text, INTEGER, "decimal(38,0)")),
         "_dec": F.when(kind == "decimal", as_number(text, DECIMAL, "decimal(38,10)")),
         "_date": F.when(kind == "date", as_date(text)),
         "_bool": F.when(kind == "boolean", as_boolean(text)),
         "_str": text,
     }
-    return cells.select("_e1", "_e2", "_at", "_kind", entity.alias("_entity"), "_src", "_row", "_t", *[v.alias(c) for c, v in value.items()])
 
 
 def canon_text(s: str) -> str:

@@ -63,7 +63,30 @@ def p5_wide(spark: SparkSession, d: str) -> DataFrame:
     return wide.select(*[F.array_join(F.transform(c, lambda x: x.cast("string")), "|").alias(c) if t.startswith("array") else F.col(c).cast("double").alias(c) if t.startswith("decimal") else c for c, t in wide.dtypes])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rel_stats, p3_found, p3_orphan_counts, p5_found, p5_wide)}
+def p5_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table and the values beside it as (entity, column, value), numbers apart."""
+    terms = read_terms(table(spark, d, "vocabulary"))
+    wide = eav_to_wide(table(spark, d, "relationship"), table(spark, d, "attribute"), terms)
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    cells = []
+    for t in terms:
+        v = F.col(f"`{t.column}`") if t.multi else F.array(f"`{t.column}`")
+        numeric = t.type in ("integer", "decimal")
+        cells.append(F.transform(v, _numbers(t.column, number, text) if numeric else _texts(t.column, number)))
+    rows = wide.where("kind = 'row'").select("entity", F.explode(F.flatten(F.array(*[F.coalesce(c, F.array()) for c in cells]))).alias("c")).select("entity", "c.*")
+    more = wide.where("kind = 'more'").select("entity", "column", F.col("value").alias("text"), number.alias("number"))
+    return rows.unionByName(more).where("text is not null or number is not null")
+
+
+def _texts(name: str, none):
+    return lambda x: F.struct(F.lit(name).alias("column"), x.cast("string").alias("text"), none.alias("number"))
+
+
+def _numbers(name: str, none, text):
+    return lambda x: F.struct(F.lit(name).alias("column"), text.alias("text"), x.cast("double").alias("number"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rel_stats, p3_found, p3_orphan_counts, p5_found, p5_wide, p5_cells)}
 
 _LIVE = "{k}.{s} <= {r}.recorded_at AND ({k}.deleted_at IS NULL OR {k}.deleted_at > {r}.recorded_at)"
 _P3 = f"""
@@ -77,6 +100,10 @@ o AS (SELECT ref_field, recorded_at, row_id FROM refs WHERE iri IS NOT NULL AND
       UNION ALL SELECT 'attribute.rawid', recorded_at, attr_id FROM attribute a WHERE rawid IS NOT NULL AND NOT EXISTS
         (SELECT 1 FROM relationship r WHERE r.rawid = a.rawid AND {_LIVE.format(k="r", s="recorded_at", r="a")}))
 """
+_DATE = """CASE WHEN regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN try_cast(v AS DATE)
+  WHEN regexp_full_match(v, '[0-9]{2}\\.[0-9]{2}\\.[0-9]{4}') THEN try_cast(v[7:10] || '-' || v[4:5] || '-' || v[1:2] AS DATE)
+  WHEN regexp_full_match(v, '[0-9]{8}') THEN try_cast(v[1:4] || '-' || v[5:6] || '-' || v[7:8] AS DATE)
+  WHEN regexp_full_match(v, '[0-9]{1,2} [a-z]+ [0-9]{4}') THEN try_cast(try_strptime(v, '%d %B %Y') AS DATE) END"""
 _TYPED = """
 CASE t.value_type WHEN 'integer' THEN NOT regexp_full_match(v, '[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)')
  WHEN 'decimal' THEN NOT regexp_full_match(v, '[+-]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+)(\\.[0-9]+)?')
@@ -98,4 +125,15 @@ ORACLE = {
         y AS (SELECT src_table, row_id, k, term, lower(regexp_replace(value, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) AS v FROM x)
         SELECT src_table, row_id FROM y JOIN vocabulary t ON t.term_kind = y.k AND {canon_sql("t.term")} = y.term
         WHERE t.value_type IN ('integer', 'decimal', 'date', 'boolean') AND {_TYPED}""",
+    "p5_cells": f"""WITH n AS (SELECT {canon_sql("origin")} AS e, arg_min(origin, (length(origin), origin)) AS entity FROM relationship GROUP BY 1),
+        r AS (SELECT *, {canon_sql("origin")} AS e FROM relationship WHERE deleted_at IS NULL),
+        x AS (SELECT e, 'rel' AS k, {canon_sql("rel")} AS term, target AS raw, recorded_at AS ts FROM r
+              UNION ALL SELECT r.e, 'attr', {canon_sql("name")}, value, a.recorded_at FROM attribute a JOIN r ON r.rawid = a.rawid WHERE value IS NOT NULL),
+        y AS (SELECT e, ts, t.col_name, t.value_type, t.is_multi, CASE WHEN t.value_type IN ('integer', 'decimal', 'date', 'boolean') THEN lower(regexp_replace(raw, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) ELSE raw END AS v
+              FROM x JOIN vocabulary t ON t.term_kind = x.k AND {canon_sql("t.term")} = x.term),
+        z AS (SELECT e, ts, col_name, is_multi, CASE WHEN value_type IN ('integer', 'decimal') THEN CASE WHEN regexp_full_match(v, '[+-]?([0-9]+|[0-9]{{1,3}}(,[0-9]{{3}})+)' || CASE value_type WHEN 'decimal' THEN '(\\.[0-9]+)?' ELSE '' END) THEN try_cast(replace(replace(v, ',', ''), '+', '') AS DOUBLE) END END AS number,
+              CASE value_type WHEN 'integer' THEN NULL WHEN 'decimal' THEN NULL WHEN 'date' THEN strftime({_DATE}, '%Y-%m-%d') WHEN 'boolean' THEN CASE WHEN v IN ('true', 'yes', '1') THEN 'true' WHEN v IN ('false', 'no', '0') THEN 'false' END ELSE v END AS text FROM y),
+        w AS (SELECT * FROM z WHERE number IS NOT NULL OR text IS NOT NULL)
+        SELECT n.entity, w.col_name AS "column", text, number FROM (SELECT DISTINCT e, col_name, text, number FROM w WHERE is_multi
+          UNION ALL SELECT e, col_name, arg_max(struct_pack(t := text), (ts, number, text)).t, arg_max(struct_pack(n := number), (ts, number, text)).n FROM w WHERE NOT is_multi GROUP BY e, col_name) w JOIN n USING (e)""",
 }
