@@ -21,17 +21,18 @@ States = dict[str, tuple[Column, Callable[[Column], Column]]]
 def tree_aggregate(df: DataFrame, keys: Sequence[str], states: States, chunks: int, fan_in: int = 32) -> DataFrame:
     """One row per distinct ``keys`` with the merged ``states``.
 
-    ``chunks`` is an upper bound of the partitions of ``df``. Nulls in a key form a key of their own; an empty input
+    ``chunks`` is the number of partitions of ``df`` or a bound of it; were there more, the last round would only get more states. Nulls in a key form a key of their own; an empty input
     gives an empty result; columns of ``df`` that are not used are pruned, whatever their names (``_node`` excepted).
     """
     if fan_in < 2:
         raise ValueError("fan_in must be at least 2")
     out = df.withColumn("_node", F.spark_partition_id()).groupBy(*keys, "_node").agg(*[init.alias(n) for n, (init, _) in states.items()])
-    nodes = max(1, chunks)
+    merges = [merge(F.col(n)).alias(n) for n, (_, merge) in states.items()]
+    nodes = -(-chunks // fan_in)
     while nodes > 1:
+        out = out.withColumn("_node", (F.col("_node") / fan_in).cast("int")).groupBy(*keys, "_node").agg(*merges)
         nodes = -(-nodes // fan_in)
-        out = out.withColumn("_node", (F.col("_node") / fan_in).cast("int")).groupBy(*keys, "_node").agg(*[merge(F.col(n)).alias(n) for n, (_, merge) in states.items()])
-    return out.drop("_node")
+    return out.groupBy(*keys).agg(*merges)  # whatever the bound of the chunks was, what is left of a key is one state
 
 
 _RAWIDS = 10**20  # more than any rawid
