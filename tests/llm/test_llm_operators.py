@@ -252,6 +252,18 @@ def test_names_are_found_again_without_an_anchor():
     assert [(text[s:e], k) for s, e, k in found] == [("Qorvath Zelminor", "person")] * 2
 
 
+@pytest.mark.parametrize("unit", ["a.", "1.", "1 ", "A1", "x_", "+(1)", "é-", "市", "ア・", "Ax, ", "Inventor: ", "A. ", "@", "a@a.", "12 bis, rue "])
+def test_long_odd_lines_take_linear_time(unit):
+    import time
+
+    f, took = Finder(default_model()), []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        f.find(["Inventor: " + unit * (n // len(unit))])
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
 TEXT = "Inventor: Robert M. Kelard\nTel. +44 (0)1632 960187\nresiding at Flat 4, 3 Drovappo Road\nDaikashaw\nQX6 4ZQ\nmail kel [at] post.drih.example today, SSN 901 50 8669 (to be struck out)\nTests 555-11-246 and 2032-09-304 by Kelard GmbH gave a@b = b@a + 5."
 
 
