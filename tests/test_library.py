@@ -390,3 +390,23 @@ def test_bucketed_table(spark):
     plan = a.df.groupBy("origin").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     storage.drop_table(spark, "links_test")
+
+
+_texts = st.text(alphabet=st.characters(codec="utf-8", exclude_categories=("Cs", "Cc")) | st.sampled_from('\n\t"\\<>*#: '), max_size=12)
+_iris = st.sampled_from(["http://x/a", "http://x/b", "http://x/c#d"])
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(_iris, st.sampled_from(["http://s/p", "http://s/q"]), _texts, st.dictionaries(st.sampled_from(["http://s/m", "http://s/n"]), _texts, max_size=2)), min_size=1, max_size=6))
+def test_literate_any_text(spark, links):
+    m = Linkset.of(spark, links).unique()
+    assert literate.links_of(spark, literate.to_text(m)).unique().equals(m)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(_iris, st.sampled_from(["r", "s"]), st.sampled_from("abc")), max_size=6), st.lists(st.tuples(_iris, st.sampled_from(["r", "s"]), st.sampled_from("abc")), max_size=6))
+def test_set_laws(spark, a, b):
+    x, y = (Linkset.of(spark, v) if v else Linkset.empty(spark) for v in (a, b))
+    assert x.union(y).equals(y.union(x))
+    assert triples(x.union(y)) == sorted(set(a) | set(b))
+    assert triples(x.minus(y).unique()) == sorted(set(a) - set(b)) and triples(x.intersect(y).unique()) == sorted(set(a) & set(b))
