@@ -182,7 +182,7 @@ class Encoder:
             elif len(raw) < FEW and 1 << size >= LONG:
                 ids = [self.merge_one(b) for b in raw]
             else:
-                step = max(1, (1 << 22) >> size if size > 0 else 1 << 20)  # bounds the memory of the trees
+                step = max(1, (1 << 21) >> max(size, 1))  # bounds the memory of the trees
                 ids = [x for s in range(0, len(raw), step) for x in self.merge_many(raw[s : s + step])]
             first, n = len(self.index), np.array([len(x) for x in ids], np.int64)
             self.index.update(zip((w for w, _ in group), range(first, first + len(ids))))
