@@ -13,7 +13,7 @@ from linkframe.plans.mapping import event_links, item_links, places, rel, rows_a
 from linkframe.plans.pipeline import COPY, Pipeline, contains, follow as f_follow, if_, link, materialize, target, var
 from linkframe.plans.query import bindings, var_sets
 from linkframe.schema import LABEL, NS, REFINES, TYPE, shared_dir, table
-from linkframe.sources import formats, storage, templates
+from linkframe.sources import formats, literate, storage, templates
 from linkframe.streaming import to_completion, window_counts
 
 V = "http://terms.shelf.example/vocab/"
@@ -377,7 +377,7 @@ def short_slugs(spark, d):
     return table(spark, d, "books").select("book_id", short_slug(F.col("title"), 12).alias("slug"))
 
 
-@query()
+@query("""SELECT book_id, lower(regexp_replace(trim(regexp_replace(regexp_replace(strip_accents(title), '[^\\x00-\\x7F]', '', 'g'), '[^\\w\\s-]', '', 'g')), '[-\\s_]+', '-', 'g')) AS slug FROM books""")
 def slugs(spark, d):
     return table(spark, d, "books").select("book_id", slug(F.col("title")).alias("slug"))
 
@@ -397,6 +397,29 @@ def ntriples_round_trip(spark, d):
     return lot(formats.ntriples(formats.to_ntriples(m)))
 
 
+_PLACES = """SELECT 'tpch:customer/' || c_custkey AS origin, 'tpch:vocab/in' AS rel, 'tpch:nation/' || c_nationkey AS target FROM customer UNION ALL SELECT 'tpch:nation/' || n_nationkey, 'tpch:vocab/in', 'tpch:region/' || n_regionkey FROM nation"""
+
+
+@query(_PLACES)
+def json_round_trip(spark, d):
+    path = shared_dir(spark)
+    formats.to_json_lines(places(spark, d)).write.text(path)
+    return lot(formats.read_json_dump(spark, path))
+
+
+@query(_PLACES)
+def literate_round_trip(spark, d):
+    path = shared_dir(spark)
+    literate.write(places(spark, d), path)
+    return lot(literate.read(spark, path))
+
+
+@query("SELECT DISTINCT origin, rel, name, value FROM relationship r JOIN attribute a USING (rawid) WHERE r.rel = '{V}cites' AND name IS NOT NULL AND value IS NOT NULL")
+def two_tables_round_trip(spark, d):
+    rel_, att = storage.to_two_tables(links(spark, d, True).match(None, V + "cites"))
+    return storage.from_two_tables(rel_, att).flatten().where("name is not null and value is not null").select("origin", "rel", "name", "value").distinct()
+
+
 BOOKS = """# http://shelf.example/books/{book_id} [http://schema.org/Book]
 
 * <http://schema.org/name>: {title}
@@ -422,12 +445,19 @@ def rdfs_map(spark, d):
     return lot(formats.rdfs(make(TYPE, F.lit(NS + "Property")).union(make(LABEL, F.col("col_name")), make(REFINES, F.col("value_type")), dedup=False)))
 
 
-@query()
+@query("""WITH e AS (SELECT 'tpch:customer/' || c_custkey AS a, 'tpch:nation/' || c_nationkey AS b FROM customer UNION ALL SELECT 'tpch:nation/' || n_nationkey, 'tpch:region/' || n_regionkey FROM nation),
+    n AS (SELECT node, split_part(node, '/', 2) AS t, row_number() OVER (PARTITION BY split_part(node, '/', 2) ORDER BY node) AS r FROM (SELECT a AS node FROM e UNION SELECT b FROM e)),
+    s AS (SELECT node, t || CASE WHEN r > 1 THEN '_' || (r - 1) ELSE '' END || '(' || t || ')' AS x FROM n) SELECT '    ' || p.x || ' -->|in| ' || q.x AS value FROM e JOIN s p ON p.node = a JOIN s q ON q.node = b""")
 def mermaid_edges(spark, d):
     return formats.mermaid(places(spark, d))
 
 
-@query()
+@query("""WITH r AS (SELECT r_regionkey AS k, '{"@id":"tpch:region/' || r_regionkey || '","@type":"region","r_name":"' || r_name || '"}' AS j FROM region),
+    n AS (SELECT n_nationkey AS k, '{"@id":"tpch:nation/' || n_nationkey || '","@type":"nation","n_name":"' || n_name || '","n_regionkey":' AS h, n_regionkey AS f FROM nation),
+    c AS (SELECT c_custkey AS k, '{"@id":"tpch:customer/' || c_custkey || '","@type":"customer","c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","c_nationkey":' AS h, c_nationkey AS f FROM customer)
+    SELECT 'tpch:orders/' || o_orderkey AS origin, '{"@id":"tpch:orders/' || o_orderkey || '","@type":"orders","o_custkey":' || c.h || '{"@id":"tpch:nation/' || c.f || '"}},"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}' AS value FROM orders JOIN c ON c.k = o_custkey
+    UNION ALL SELECT 'tpch:customer/' || c.k, c.h || n.h || '{"@id":"tpch:region/' || n.f || '"}}}' FROM c JOIN n ON n.k = c.f WHERE c.k NOT IN (SELECT o_custkey FROM orders)
+    UNION ALL SELECT 'tpch:nation/' || n.k, n.h || r.j || '}' FROM n JOIN r ON r.k = n.f WHERE n.k NOT IN (SELECT c_nationkey FROM customer)""")
 def jsonld_nest(spark, d):
     return formats.jsonld(star(spark, d), rel(""))
 
