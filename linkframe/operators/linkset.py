@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkframe.schema import ITEM, LABEL, LINK_SCHEMA, TYPE
+from linkframe.schema import ITEM, LABEL, LINK_SCHEMA, TYPE, cut
 
 PARTS = ("origin", "rel", "target")
 IDENTITY = [*PARTS, "attrs"]
@@ -217,8 +217,17 @@ class Linkset:
     # sets and changes
 
     def numbered(self) -> Linkset:
-        """Ids 0, 1, ... in the order of the ids there were. For small sets: an order over all needs one sort."""
-        return Linkset(self.df.withColumn("link_id", (F.row_number().over(Window.orderBy("link_id", *PARTS)) - 1).cast("bigint")))
+        """Ids 0, 1, ... in the order of the ids there were: ranges are sorted apart, and each starts where the counts of those
+        before it end. The sorted links are a written table, so that the ids cannot change; one count per range is gathered."""
+        order = ["link_id", *PARTS]
+        placed = self.df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+        placed = cut(placed.withColumn("_part", F.shiftright("_at", 33)))
+        offsets, total = [], 0
+        for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():
+            offsets.append((r["_part"], total - (r["_part"] << 33)))
+            total += r.n
+        start = F.try_element_at(F.map_from_entries(F.array(*[F.struct(F.lit(p).cast("bigint"), F.lit(o).cast("bigint")) for p, o in offsets])), F.col("_part")) if offsets else F.lit(0)
+        return Linkset(placed.withColumn("link_id", F.col("_at") + start).select(*[f.name for f in LINK_SCHEMA.fields]))
 
     def unique(self) -> Linkset:
         """One link of each origin, rel, target and attributes, the first. Whether a target is an IRI does not count."""

@@ -220,6 +220,13 @@ def remove_ids(spark, d):
     return links(spark, d).remove(gone).df.groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT row_number() OVER (ORDER BY rawid) - 1 AS link_id, origin, rel, target FROM relationship WHERE deleted_at IS NULL")
+def numbered_again(spark, d):
+    """Links are taken out, and the ids of those left move up."""
+    gone = table(spark, d, "relationship").where("deleted_at is not null").select("rawid")
+    return links(spark, d).remove(gone).numbered().df.select("link_id", "origin", "rel", "target")
+
+
 @query("SELECT origin, rel, target, count(*)::BIGINT AS surplus FROM relationship WHERE deleted_at IS NOT NULL GROUP BY ALL")
 def model_differences(spark, d):
     live = storage.from_two_tables(table(spark, d, "relationship").where("deleted_at is null"), None)

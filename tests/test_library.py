@@ -74,6 +74,13 @@ def test_sets_and_changes(spark):
     assert Linkset.empty(spark).size() == 0 and Linkset.of(spark, [("a", "r", None)]).complete().size() == 0
 
 
+def test_numbered(spark):
+    many = Linkset.of(spark, [(f"o{i}", "r", str(i)) for i in range(500)])
+    got = many.remove(range(0, 500, 7)).numbered().df.orderBy("link_id").collect()
+    assert [r.link_id for r in got] == list(range(len(got))) and [int(r.target) for r in got] == [i for i in range(500) if i % 7]
+    assert Linkset.empty(spark).numbered().size() == 0
+
+
 def test_lookups_and_groups(spark):
     m = Linkset.of(spark, [("a", TYPE, "T"), ("a", LABEL, "A"), ("b", TYPE, "U"), ("b", TYPE, "T"), ("l", ITEM, "2nd"), ("l", ITEM, "1st"), ("a", "r", "x"), ("a", "r", "y", {"n": "v"})])
     assert {r.origin for r in m.origins().collect()} == {"a", "b", "l"} and {r.origin for r in m.origins("*").collect()} == {"a", "b"} and {r.origin for r in m.origins({"U"}).collect()} == {"b"}
