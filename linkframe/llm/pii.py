@@ -1,8 +1,8 @@
 """Personal information in free text: found by a skip-chain conditional random field, replaced by typed placeholders.
 
-Lines that hold an anchor (a trigger word, a given name, an initial, an @ ...) become chains of token classes. Tokens that
-occur again in another chain of the document are joined by skip edges, and loopy message passing brings their labels
-into agreement, so that a name that is clear in one place is found in the others.
+Every line becomes a chain of token classes; lines of the same classes are worked once. Tokens that occur again
+in another chain of the document are joined by skip edges, and loopy message passing brings their labels into agreement,
+so that a name that is clear in one place is found in the others.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from linkframe.llm.crf import Crf
 from linkframe.llm.names import fold
-from linkframe.llm.pii_lexer import Anchors, segments, tokens
+from linkframe.llm.pii_lexer import STREETS, joined, segments, token_texts, tokens
 from linkframe.llm.pii_training import LABELS, NUMBER, Grammar, label
 
 #: Lines drawn from the grammar for training; the bound of the training sample.
@@ -24,22 +24,35 @@ TRAINING_LINES = 20_000
 ROUNDS = 110
 #: Log potential of two ends of a skip edge having the same type.
 AGREEMENT = 1.2
+#: An edge disagrees if the beliefs of its ends differ by more than this.
+UNEQUAL = 0.02
+#: The belief in an address from which on a line with a street is looked at together with the lines after it.
+POSSIBLE = 0.001
 PERSON, ADDRESS = (NUMBER["B-PERSON"], NUMBER["I-PERSON"]), (NUMBER["B-ADDRESS"], NUMBER["I-ADDRESS"])
 KIND = {NUMBER["EMAIL"]: "email", NUMBER["PHONE"]: "phone", NUMBER["IDNUM"]: "idnum"} | dict.fromkeys(PERSON, "person") | dict.fromkeys(ADDRESS, "address")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "idnum": "[IDNUM]", "person": "[PERSON]", "address": "[ADDRESS]"}
-#: Kept per worker: node potentials and beliefs of chains already met, by their classes.
-MOST_CHAINS = 100_000
+#: Kept per worker: so many places of chains already met, by their classes.
+MOST_PLACES = 2_000_000
+MOST_WINDOWS = 200_000
+folded = lru_cache(maxsize=200_000)(fold)
 
 
-def templates(classes: tuple) -> list[list]:
-    """Features of every token: classes around it, and pairs of them."""
+def windows(classes: tuple) -> list[tuple]:
+    """Of every token, the classes from four before to three after it."""
     c = ("^^", "^^", "^^", "^^", *classes, "$$", "$$", "$$")
-    out = []
-    for i in range(4, len(c) - 3):
-        a, b, x, y, z = c[i - 2], c[i - 1], c[i], c[i + 1], c[i + 2]
-        short = x.split("|")[0]
-        out.append([(0, x), (1, b), (2, y), (3, a), (4, z), (5, c[i - 3]), (6, c[i + 3]), (7, b, short), (8, short, y), (9, a, b, short), (10, short, y, z), (11, b, short, y), (12, c[i - 3], a, b), (13, c[i - 4], short), (14, short)])
-    return out
+    return list(zip(c, c[1:], c[2:], c[3:], c[4:], c[5:], c[6:], c[7:]))
+
+
+def features(window: tuple) -> list:
+    """Features of a token: classes around it, and pairs of them."""
+    e, d, a, b, x, y, z, f = window
+    short = x.split("|")[0]
+    return [(0, x), (1, b), (2, y), (3, a), (4, z), (5, d), (6, f), (7, b, short), (8, short, y), (9, a, b, short), (10, short, y, z), (11, b, short, y), (12, d, a, b), (13, e, short), (14, short)]
+
+
+def templates(classes: tuple) -> list[list]:
+    """Features of every token."""
+    return [features(w) for w in windows(classes)]
 
 
 def same_type() -> np.ndarray:
@@ -65,88 +78,103 @@ def default_model() -> Crf:
     return train_model()
 
 
+class Chain:
+    """What is known of a chain by its classes: beliefs, whether it has a label, and the places that skip edges join."""
+
+    def __init__(self, classes: tuple, belief: np.ndarray):
+        self.belief = belief.astype(np.float32)
+        self.labelled = bool((belief.argmax(axis=1) > 0).any())
+        self.joint = [i for i, c in enumerate(classes) if c in ("Xx", "XX", "GIVEN", "CNAME", "CODE", "EMAIL") or c[0] == "M"]
+        #: A line with a street or box that may be an address; the lines after it can make it one only if it is not ruled out.
+        self.goes_on = not STREETS.isdisjoint(classes) and bool(belief[:, ADDRESS].max() > POSSIBLE)
+        #: Beliefs of two clear places can differ by no more than half of what makes an edge disagree.
+        self.unclear = bool((1 - belief[self.joint, 0] > UNEQUAL / 2).any())
+
+
 class Finder:
     """One worker's model, with the chains it has met."""
 
     def __init__(self, model: Crf):
-        self.model, self.anchors, self.same = model, Anchors(), same_type()
-        self.known: dict[tuple, tuple[np.ndarray, np.ndarray, bool]] = {}
+        self.model, self.same = model, same_type()
+        self.known: dict[tuple, Chain] = {}
+        self.places = 0
+        self.rows: dict[tuple, np.ndarray] = {}
+
+    def nodes(self, classes: tuple) -> np.ndarray:
+        """``model.nodes``; windows of classes come again in other chains."""
+        if len(self.rows) > MOST_WINDOWS:
+            self.rows.clear()
+        out = []
+        for w in windows(classes):
+            row = self.rows.get(w)
+            if row is None:
+                row = self.rows[w] = self.model.weights[[self.model.index.get(f, 0) for f in features(w)]].sum(axis=0)
+            out.append(row)
+        return np.array(out)
 
     def learn(self, chains: set[tuple]) -> None:
-        if len(self.known) > MOST_CHAINS:
+        if self.places > MOST_PLACES:
             self.known.clear()
+            self.places = 0
         new = [c for c in chains if c not in self.known]
-        nodes = [self.model.nodes(c) for c in new]
-        for c, n, b in zip(new, nodes, self.model.beliefs(nodes)):
-            self.known[c] = (n, b, bool((b.argmax(axis=1) > 0).any()))
+        for c, b in zip(new, self.model.beliefs([self.nodes(c) for c in new])):
+            self.known[c] = Chain(c, b)
+            self.places += len(c)
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """Of every text, the items (start, end, kind)."""
-        docs = [segments(t, self.anchors) if t else [] for t in texts]
-        self.learn({c for d in docs for _, c in d})
-        for t, chains in zip(texts, docs):
-            chains += self.elsewhere(t, chains)
-        self.learn({c for d in docs for _, c in d})
+        docs = [segments(t) if t else [] for t in texts]
+        self.learn({c for d in docs for *_, c in d})
+        docs = [joined(t, d, lambda c: self.known[c].goes_on) if any(self.known[c].goes_on for *_, c in d) else d for t, d in zip(texts, docs)]
+        self.learn({c for d in docs for *_, c in d})
         nodes, first, edges, place = [], [], [], {}
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         for k, chains in enumerate(docs):
+            if not any(self.known[c].unclear for *_, c in chains):
+                continue
             seen: dict[str, tuple[int, int]] = {}
             own = []
-            for n, (spans, classes) in enumerate(chains):
-                for i, (s, e) in enumerate(spans):
-                    c = classes[i]
-                    if c in ("Xx", "XX", "GIVEN", "CNAME", "CODE", "EMAIL") or c[0] == "M":
-                        word = fold(texts[k][s:e]) if c != "CODE" else texts[k][s:e]
-                        before = seen.get(word)
-                        seen[word] = (n, i)
-                        if before is not None and before[0] != n:
-                            own.append((*before, n, i))
+            for n, (start, end, classes) in enumerate(chains):
+                if not self.known[classes].joint:
+                    continue
+                words = words_of(texts[k], start, end)
+                for i in self.known[classes].joint:
+                    word = folded(words[i]) if classes[i] != "CODE" else words[i]
+                    before = seen.get(word)
+                    seen[word] = (n, i)
+                    if before is not None and before[0] != n:
+                        own.append((*before, n, i))
             # An edge whose ends agree already moves nothing: it is left out, and with it chains none of whose edges disagree.
             for n, i, m, j in own:
-                p, q = self.known[chains[n][1]][1][i], self.known[chains[m][1]][1][j]
-                if np.abs(p - q).max() > 0.02:
+                p, q = self.known[chains[n][2]].belief[i], self.known[chains[m][2]].belief[j]
+                if np.abs(p - q).max() > UNEQUAL:
                     for x in (n, m):
                         if (k, x) not in place:
                             place[k, x] = len(nodes)
-                            nodes.append(self.known[chains[x][1]][0])
-                            first.append(self.known[chains[x][1]][1])
+                            nodes.append(self.nodes(chains[x][2]))
+                            first.append(self.known[chains[x][2]].belief)
                     edges.append((place[k, n], i, place[k, m], j))
-        joined = self.model.loopy(nodes, first, np.array(edges), self.same) if edges else first
+        agreed = self.model.loopy(nodes, first, np.array(edges), self.same) if edges else first
         for k, chains in enumerate(docs):
-            for n, (spans, classes) in enumerate(chains):
+            for n, (start, end, classes) in enumerate(chains):
                 at = place.get((k, n))
-                if at is None:
-                    _, belief, any_ = self.known[classes]
-                    if not any_:
-                        continue
-                else:
-                    belief = joined[at]
-                out[k] += decode(spans, classes, belief)
+                if at is not None:
+                    out[k] += decode(tokens(texts[k], start, end)[0], classes, agreed[at])
+                elif self.known[classes].labelled:
+                    out[k] += decode(tokens(texts[k], start, end)[0], classes, self.known[classes].belief)
         return out
 
 
-    def elsewhere(self, text: str | None, chains: list) -> list:
-        """Chains of the lines, so far without an anchor, in which a word of a name found in other lines stands again."""
-        words = set()
-        for spans, classes in chains:
-            _, belief, any_ = self.known[classes]
-            if any_:
-                best = belief.argmax(axis=1)
-                words.update(text[s:e] for (s, e), c, b in zip(spans, classes, best) if b in PERSON and c in ("Xx", "XX", "CNAME") and e - s > 3)
-        if not words:
-            return []
-        taken = [(spans[0][0], spans[-1][1]) for spans, _ in chains if spans]
-        out = []
-        for w in words:
-            at = text.find(w)
-            while at >= 0:
-                if not any(a <= at < b for a, b in taken):
-                    start, end = text.rfind("\n", 0, at) + 1, text.find("\n", at)
-                    spans, classes = tokens(text, start, len(text) if end < 0 else end)
-                    out.append((spans, classes))
-                    taken.append((spans[0][0], spans[-1][1]))
-                at = text.find(w, at + len(w))
-        return out
+@lru_cache(maxsize=1)
+def finder_of(model: Crf) -> Finder:
+    """One finder a worker process, for all its tasks."""
+    return Finder(model)
+
+
+def words_of(text: str, start: int, end: int) -> list[str]:
+    """The texts of the tokens of a chain."""
+    part = text[start:end]
+    return token_texts(part) if "\n" not in part else [text[s:e] for s, e in tokens(text, start, end)[0]]
 
 
 def decode(spans: list[tuple[int, int]], classes: tuple, belief: np.ndarray) -> list[tuple[int, int, str]]:
@@ -185,7 +213,7 @@ def whole_name(classes: tuple) -> bool:
 
 def _run(shared, how: str, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(shared.value)
+        finder = finder_of(shared.value)
         for b in batches:
             for start in range(0, b.num_rows, 2000):
                 part = b.slice(start, 2000)

@@ -7,7 +7,6 @@ words are tokens by themselves. The model sees only classes: words of a closed l
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 
 from linkframe.llm.names import FORMAL, NICKNAMES, fold
 
@@ -36,26 +35,25 @@ GIVEN = set(NICKNAMES) | set(FORMAL)
 _W = r"(?:[^\W\d_　-鿿가-힯ｦ-ﾟ]|(?<=Ã)[\x80-\xbf])"
 _W3 = r"[^\W\d_][^\W\d_]"
 _DIGIT = "0-9０-９"
-TOKEN = re.compile(
-    rf"""
-    (?P<EMAIL>[A-Za-zÀ-ÿ0-9][A-Za-zÀ-ÿ0-9._+\-]{{0,63}}\s?(?:[@＠]|[\[(]\s?(?:at|AT)\s?[\])]|\sAT\s)\s?[A-Za-zÀ-ÿ0-9\-]+(?:(?:\.|\s?[\[(]\s?(?:dot|DOT)\s?[\])]\s?|\sDOT\s)[A-Za-zÀ-ÿ0-9\-]+)+)
-  | (?P<CADDR>[一-鿿]{{2,4}}省[一-鿿]{{1,6}}市[一-鿿]{{1,8}}?[路街道巷][{_DIGIT}]+号(?:[{_DIGIT}]+[室楼])?
-     |[㐀-鿿]{{1,4}}?[県都府道](?:[぀-ヿ一-鿿]{{1,8}}?[市区町村]){{1,2}}[぀-ヿ一-鿿]{{0,8}}?[{_DIGIT}]+丁目[{_DIGIT}]+番(?:地)?[{_DIGIT}]*号?)
-  | (?P<CNAME>[ァ-ヴー]{{1,10}}[・･][ァ-ヴー]{{1,10}}|[{TRANSLIT}]{{1,6}}[·・][{TRANSLIT}]{{1,6}})
-  | (?P<PAT>\((?:7[0-9]|5[0-9])\)(?!\s?[0-9]))
-  | (?P<POST>\b[A-Z]{{1,2}}[0-9][A-Z0-9]?\ [0-9][A-Z]{{2}}\b|\b[A-Z]{{2}}\ [0-9]{{5}}\b(?![-.0-9])|\b[A-Z]{{1,2}}-[0-9]{{4,5}}\b(?![-.0-9]))
-  | (?P<CODE>\b[A-Z]{{2}}\ [0-9]{{2}}\ [0-9]{{2}}\ [0-9]{{2}}\ [A-Z]\b|\b[A-Z]{{1,3}}-[0-9]{{2,4}}-[0-9]{{3,6}}\b(?!-)|\b[A-Z]{{1,3}}[0-9]{{6,}}[A-Z]?\b|\b(?=[A-Z0-9]*[A-Z])(?=[A-Z0-9]*[0-9][A-Z0-9]*[0-9])[A-Z0-9]{{8,14}}\b)
-  | (?P<NUM>(?:\+|＋)?(?:[(（][{_DIGIT}]+[)）])?[{_DIGIT}]+(?:(?:[ .\-/－ ]?[(（][{_DIGIT}]+[)）][ \-]?|[ .\-/－ ])[{_DIGIT}]+)*(?:[A-Za-z](?![^\W_]))?
-     |[(（][{_DIGIT}]{{2,5}}[)）][ \-]?[{_DIGIT}]+(?:[ .\-/][{_DIGIT}]+)*)
-  | (?P<WORD>{_W}+(?:[01]+{_W}+)*(?:(?<={_W3})1(?![{_DIGIT}]))?(?:[-'’]{_W}+(?:[01]+{_W}+)*)*)
-  | (?P<KANA>[ぁ-ゟ]+|[ァ-ヺー]+)
-  | (?P<HAN>[㐀-鿿])
-  | (?P<NL>\n)
-  | (?P<SPACE>\s+)
-  | (?P<OTHER>.)
-    """,
-    re.X | re.S,
-)
+#: Kinds of tokens and their patterns (re.X), in the order in which they are tried.
+KINDS = {
+    "EMAIL": rf"""[A-Za-zÀ-ÿ0-9][A-Za-zÀ-ÿ0-9._+\-]{{0,63}}\s?(?:[@＠]|[\[(]\s?(?:at|AT)\s?[\])]|\sAT\s)\s?[A-Za-zÀ-ÿ0-9\-]+(?:(?:\.|\s?[\[(]\s?(?:dot|DOT)\s?[\])]\s?|\sDOT\s)[A-Za-zÀ-ÿ0-9\-]+)+""",
+    "CADDR": rf"""[一-鿿]{{2,4}}省[一-鿿]{{1,6}}市[一-鿿]{{1,8}}?[路街道巷][{_DIGIT}]+号(?:[{_DIGIT}]+[室楼])?
+     |[㐀-鿿]{{1,4}}?[県都府道](?:[぀-ヿ一-鿿]{{1,8}}?[市区町村]){{1,2}}[぀-ヿ一-鿿]{{0,8}}?[{_DIGIT}]+丁目[{_DIGIT}]+番(?:地)?[{_DIGIT}]*号?""",
+    "CNAME": rf"""[ァ-ヴー]{{1,10}}[・･][ァ-ヴー]{{1,10}}|[{TRANSLIT}]{{1,6}}[·・][{TRANSLIT}]{{1,6}}""",
+    "PAT": rf"""\((?:7[0-9]|5[0-9])\)(?!\s?[0-9])""",
+    "POST": rf"""\b[A-Z]{{1,2}}[0-9][A-Z0-9]?\ [0-9][A-Z]{{2}}\b|\b[A-Z]{{2}}\ [0-9]{{5}}\b(?![-.0-9])|\b[A-Z]{{1,2}}-[0-9]{{4,5}}\b(?![-.0-9])""",
+    "CODE": rf"""\b[A-Z]{{2}}\ [0-9]{{2}}\ [0-9]{{2}}\ [0-9]{{2}}\ [A-Z]\b|\b[A-Z]{{1,3}}-[0-9]{{2,4}}-[0-9]{{3,6}}\b(?!-)|\b[A-Z]{{1,3}}[0-9]{{6,}}[A-Z]?\b|\b(?=[A-Z0-9]*[A-Z])(?=[A-Z0-9]*[0-9][A-Z0-9]*[0-9])[A-Z0-9]{{8,14}}\b""",
+    "NUM": rf"""(?:\+|＋)?(?:[(（][{_DIGIT}]+[)）])?[{_DIGIT}]+(?:(?:[ .\-/－ ]?[(（][{_DIGIT}]+[)）][ \-]?|[ .\-/－ ])[{_DIGIT}]+)*(?:[A-Za-z](?![^\W_]))?
+     |[(（][{_DIGIT}]{{2,5}}[)）][ \-]?[{_DIGIT}]+(?:[ .\-/][{_DIGIT}]+)*""",
+    "WORD": rf"""{_W}+(?:[01]+{_W}+)*(?:(?<={_W3})1(?![{_DIGIT}]))?(?:[-'’]{_W}+(?:[01]+{_W}+)*)*""",
+    "KANA": rf"""[ぁ-ゟ]+|[ァ-ヺー]+""",
+    "HAN": rf"""[㐀-鿿]""",
+    "NL": rf"""\n""",
+    "SPACE": rf"""\s+""",
+    "OTHER": rf""".""",
+}
+TOKEN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()), re.X | re.S)
 HAN_KEPT = set("由人先生氏电话電話号番証证身份旅券住所地址联系邮箱連絡明発发者測量测定")
 DIGITS = str.maketrans("０１２３４５６７８９", "0123456789")
 _WORDS: dict[str, str] = {}
@@ -153,87 +151,71 @@ def tokens(text: str, start: int = 0, end: int | None = None) -> tuple[list[tupl
     return spans, tuple(classes)
 
 
-# What a line must hold before it can hold personal information.
-ANCHORS = """Inventor Inventeur Erfinder Agent Vertreter Mandataire Declared Signed (72) 发明人 発明者 氏 先生 測定は 测量由 Dr. Prof. Mme Mlle Herr Frau Witness Zeug Témoin Tel. Tel Tél Fax fax Télécopie Telefon
-phone Phone 電話 电话 call reached Rückruf SSN passport Passport taxpayer social dentity Steuer ausweis sécurité identité 旅券 番号 身份证 証 holder resid Resid wohnhaft Anschrift Adresse Address demeurant 住所
-地址 Street Road Lane Ave Box straße Straße weg Weg quai avenue rue hof @ ＠ (at) [at] (AT) [AT] 号 between Flat +1 +3 +4 +8 STREET ROAD LANE strasse (0""".split()
-
-
-class Anchors:
-    """Finds the lines of a text that need a look: by an automaton of anchors and given names, and by initials."""
-
-    INITIAL = re.compile(r"(?<![^\s(,;:>])[A-ZÀ-Þ]\. ?(?:[A-ZÀ-Þ]\. ?)?[A-ZÀ-Þ][^\W\d_]")
-    DOTTED = re.compile(r"[ァ-ヴー][・･][ァ-ヴー]|[一-鿿][·・][一-鿿]")
-    POSTAL = re.compile(r"\b[A-Z]{1,2}[0-9] [0-9][A-Z]{2}\b")
-
-    def __init__(self):
-        import ahocorasick
-
-        a = ahocorasick.Automaton()
-        names = {g.capitalize() for g in GIVEN if len(g) > 3} | {g.upper() for g in GIVEN if len(g) > 3} | {g.capitalize() + " " for g in GIVEN} | {"André", "ANDRÉ", "AndrÃ", "Bjö", "BJÖ", "BjÃ", "Sør", "SØR", "SÃ¸r", "Zoë", "ZOË", "ZoÃ"}
-        for w in {*ANCHORS, *names}:
-            a.add_word(w, None)
-        a.make_automaton()
-        self.automaton = a
-
-    def lines(self, text: str) -> list[tuple[int, int]]:
-        """(start, end) of the lines with an anchor, in order."""
-        out, done = [], -1
-        find, rfind = text.find, text.rfind
-        at = {e for e, _ in self.automaton.iter(text)}
-        at.update(m.start() for m in self.INITIAL.finditer(text))
-        at.update(m.start() for m in self.POSTAL.finditer(text))
-        if not text.isascii():
-            at.update(m.start() for m in self.DOTTED.finditer(text))
-        for p in sorted(at):
-            if p <= done:
-                continue
-            end = find("\n", p)
-            end = len(text) if end < 0 else end
-            out.append((rfind("\n", 0, p) + 1, end))
-            done = end
-        return out
+class Classes(dict):
+    """Text of a token -> its class; None where the kind depends on what stands around it."""
+
+    def __missing__(self, w: str) -> str | None:
+        if len(self) > MOST_KEPT:
+            self.clear()
+        if w.isascii() and w.isalpha():
+            got = word_class(w)
+        else:
+            # Alone, a text meets every condition on its neighbours, but for the one on a mark before it: no kind is missed.
+            alone = tokens(w)[1]
+            got = alone[0] if len(alone) == 1 and sum(bool(p.fullmatch(w)) for p in ALONE) < 2 else None
+        self[w] = got
+        return got
+
+
+#: A single character of NUM, WORD, KANA or HAN is always taken by these: OTHER, which takes any, comes last.
+ALONE = [re.compile(p, re.X | re.S) for k, p in KINDS.items() if k not in ("SPACE", "OTHER")]
+CLASSES = Classes()
+#: The tokens of a line as texts. Without a sign of an e-mail address that pattern, the slowest, is left out; a small word before
+#: anything but a letter, digit, hyphen or apostrophe can only be a word.
+_LINE = [p for k, p in KINDS.items() if k not in ("EMAIL", "NL", "SPACE", "OTHER")] + [r"\S"]
+SPLIT = re.compile("|".join(f"(?:{p})" for p in [KINDS["EMAIL"], *_LINE]), re.X | re.S)
+SPLIT_PLAIN = re.compile("|".join(f"(?:{p})" for p in [r"[a-z]++(?![^\W_]|['’\-])", *_LINE]), re.X | re.S)
+MAIL_SIGN = re.compile(r"[@＠]|[\[(]\s?(?:at|AT)|\sAT\s")
+
+
+def token_texts(line: str) -> list[str]:
+    """The texts of the tokens of one line."""
+    return (SPLIT if MAIL_SIGN.search(line) else SPLIT_PLAIN).findall(line)
+
+
+def line_classes(line: str) -> tuple[str, ...]:
+    """``tokens(line)[1]`` of one line, by the texts of its tokens."""
+    if "Ã" in line:  # the mark before a character that makes it a letter
+        return tokens(line)[1]
+    got = tuple(map(CLASSES.__getitem__, token_texts(line)))
+    return tokens(line)[1] if None in got else got
 
 
 STREETS = {"STREET", "STREETX", "BOX"}
 
 
-def following(text: str, at: int) -> tuple[int, int] | None:
-    if at >= len(text):
-        return None
-    end = text.find("\n", at + 1)
-    return at + 1, len(text) if end < 0 else end
-
-
-def segments(text: str, anchors: Anchors) -> list[tuple[list[tuple[int, int]], tuple[str, ...]]]:
-    """Chains of a text: every line with an anchor; one with a street or box goes on over the two lines after it, as an
-    address may."""
-    out, until = [], -1
-    lines = anchors.lines(text)
-    starts = [s for s, _ in lines]
-    i = 0
-    while i < len(lines):
-        start, end = lines[i]
-        if start < until:
-            i += 1
-            continue
-        spans, classes = tokens(text, start, end)
-        if STREETS & set(classes):
-            stop = end
-            for _ in range(2):
-                nxt = following(text, stop)
-                if nxt is None or nxt[1] <= nxt[0]:
-                    break
-                stop = nxt[1]
-            if stop > end:
-                spans, classes = tokens(text, start, stop)
-                end = stop
-                i = bisect_left(starts, stop)
-                out.append((spans, classes))
-                until = end
-                continue
-        if spans:
-            out.append((spans, classes))
-        until = end
-        i += 1
+def segments(text: str) -> list[tuple[int, int, tuple[str, ...]]]:
+    """Chains of a text (start, end, classes), one a line; blank lines have none."""
+    out, start = [], 0
+    for line in text.split("\n"):
+        end = start + len(line)
+        if classes := line_classes(line):
+            out.append((start, end, classes))
+        start = end + 1
+    return out
+
+
+def joined(text: str, chains: list[tuple[int, int, tuple[str, ...]]], goes_on) -> list[tuple[int, int, tuple[str, ...]]]:
+    """The chains, those for which ``goes_on`` joined with the two lines after the last of them, as an address may go on; a blank
+    line ends it."""
+    out, i = [], 0
+    while i < len(chains):
+        j, last = i, i + 2 if goes_on(chains[i][2]) else i
+        while j < min(last, len(chains) - 1) and chains[j + 1][0] == chains[j][1] + 1:
+            j += 1
+            if goes_on(chains[j][2]):
+                last = j + 2
+        start, end = chains[i][0], chains[j][1]
+        out.append(chains[i] if i == j else (start, end, tokens(text, start, end)[1]))
+        i = j + 1
     return out

@@ -48,6 +48,8 @@ NOTHING = [
     "Applicant: {C}", "Anmelder: {C}, {W}", "The agent {w} was added.", "a@b = b@a + {99}", "Signed for {C}", "The plant in {W} and the works of {C} in {W}", "Here R1-CO-NH-R2 wherein R1=, where the constant follows from Table {9}.", "Tel Aviv", "The call of the valve {99}",
     "Dr. {W} method", "the {W} {W} coupling of {C}", "A lining of polyamide ({w}-type) improves the service life in irrigation.", "The pressure falls from {999} kPa to {99} kPa within {9} s, so that the inlet port {99} closes.", "Preferably the layer consists of polyamide; silicone is also suitable.",
     "{W} {99}", "Steel {W} {W}", "The {W} {D} and the {D}", "{C} and {C}", "C. coli was found in {W}.", "Fig. {9}. {W} plant", "See S. {99} of the file.", "DESCRIPTION OF THE DRAWINGS", "[{9999}] The holder {99} is fixed to the cover {99}.", "Gleiche Teile sind mit gleichen Bezugszeichen versehen, der Halter also stets mit {99}.",
+    "Here \ufffd\ufffd = 0.{99}, where the constant follows from Table {9}.", "Dabei gilt \ufffd\ufffd = 0.{99}, wobei die Konstante aus Tabelle {9} folgt.", "On a \ufffd\ufffd = 0.{99}, la constante étant donnée au tableau {9}.", "ここで、\ufffd\ufffd = 0.{99}であり、定数は表{9}による。", "其中\ufffd\ufffd = 0.{99}，常数见表{9}。",
+    "Here {w} = 0.{99} and {w} = {9}.{99}.", "Here (CH2)n-{99}, where the constant follows from Table {9}.", "{9}. A {w} {w}, comprising a {w} {w} {99}, a sealing ring {999} and a drive, characterised in that the {w} is {w}.", "The {w} {99} has a ring {99} and a drive {99}.",
 ]
 # Lines that may follow an address.
 AFTER = [

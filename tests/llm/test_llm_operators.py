@@ -13,6 +13,7 @@ from linkframe.llm.crf import forward_backward  # noqa: E402
 from linkframe.llm.encoding import VOCABULARY, Encoder, count_tokens, encode_corpus, read_ranks  # noqa: E402
 from linkframe.llm.mixing import mix  # noqa: E402
 from linkframe.llm.pii import Finder, default_model, find_items, redact  # noqa: E402
+from linkframe.llm.pii_lexer import line_classes, token_texts, tokens  # noqa: E402
 from linkframe.llm.pii_training import Grammar  # noqa: E402
 from linkframe.operators.widen import canon_text  # noqa: E402
 from linkframe.schema import table  # noqa: E402
@@ -252,6 +253,20 @@ def test_names_are_found_again_without_an_anchor():
     assert [(text[s:e], k) for s, e, k in found] == [("Qorvath Zelminor", "person")] * 2
 
 
+@pytest.mark.parametrize("text,name", [("A sketch made by Renske Tabraim is annexed.", "Renske Tabraim"), ("Mirel Nigenby observed that the seal held.", "Mirel Nigenby"), ("Ikaika Braforston hat die Proben gegossen.", "Ikaika Braforston"), ("Les essais ont été menés par Renske Sobrez à l'atelier.", "Renske Sobrez")])
+def test_every_line_is_decided(text, name):
+    """Given names on no list, and no word that points to a person."""
+    plain = "The valve 12 closes.\nHere \ufffd\ufffd = 0.39, where the constant follows from Table 2."
+    doc = f"{plain}\n{text}\n{plain}"
+    assert [(doc[s:e], k) for s, e, k in Finder(default_model()).find([doc])[0]] == [(name, "person")]
+
+
+@pytest.mark.parametrize("line", ["Tel. +44 (0)1632 960187", "a@b = b@a", "_12345678A x12345678A R1 QX6 4ZQ", "AndrÃ© Ã\x80\x80 © °C µm", "ca1l l0 B1O A10BCDEFG _A10BCDEFG", "電話 03-0000-1234 アカ・タナ", "kel [at] drih.example, kel AT drih DOT org", "  a\tb  ", "l'eau d’Or x-1-y"])
+def test_classes_of_a_line(line):
+    spans, classes = tokens(line)
+    assert line_classes(line) == classes and token_texts(line) == [line[s:e] for s, e in spans]
+
+
 @pytest.mark.parametrize("unit", ["a.", "1.", "1 ", "A1", "x_", "+(1)", "é-", "市", "ア・", "Ax, ", "Inventor: ", "A. ", "@", "a@a.", "12 bis, rue "])
 def test_long_odd_lines_take_linear_time(unit):
     import time
