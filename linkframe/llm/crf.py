@@ -2,7 +2,7 @@
 
 Chains are worked in blocks of padded arrays. Skip edges join tokens of different chains of one document; with them the
 graph has loops, and beliefs come from rounds of loopy message passing: forward-backward along every chain that a
-message reaches, then new messages across its skip edges.
+message reaches, then new messages across its skip edges, until they settle.
 """
 
 from __future__ import annotations
@@ -137,9 +137,10 @@ class Crf:
                 out[i] = belief[k, : length[k]]
         return out
 
-    def loopy(self, nodes: list[np.ndarray], first: list[np.ndarray], edges: np.ndarray, same: np.ndarray, rounds: int = 4, damp: float = 0.5) -> list[np.ndarray]:
+    def loopy(self, nodes: list[np.ndarray], first: list[np.ndarray], edges: np.ndarray, same: np.ndarray, rounds: int = 200, damp: float = 0.5, settled: float = 1e-3) -> list[np.ndarray]:
         """Beliefs of chains joined by skip edges. edges: rows (chain, place, chain, place); same (L, L): log potential of a
-        skip edge. ``first``: beliefs without them. Damped, all edges at once."""
+        skip edge. ``first``: beliefs without them. Damped, all edges at once, until no log potential that messages add moves by more than ``settled``
+        (or for so many rounds, where the messages swing)."""
         labels = len(self.labels)
         psi = np.exp(same)
         offset = np.concatenate([[0], np.cumsum([len(x) for x in nodes])])
@@ -148,7 +149,7 @@ class Crf:
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
         message = np.full((len(src), labels), 1.0 / labels)
         base = np.concatenate(nodes)
-        belief = np.concatenate(first)
+        belief, used = np.concatenate(first), np.zeros_like(base)
         for _ in range(rounds):
             out = belief[src] / np.maximum(message[back], 1e-12)
             out /= out.sum(axis=1, keepdims=True)
@@ -157,6 +158,12 @@ class Crf:
             message = damp * message + (1 - damp) * new
             extra = np.zeros_like(base)
             np.add.at(extra, dst, np.log(message))
-            now = base + extra
-            belief = np.concatenate(self.beliefs([now[s:e] for s, e in zip(offset, offset[1:])]))
+            # Chains whose messages stay as they were keep their beliefs.
+            extra -= extra.mean(axis=1, keepdims=True)
+            moved = np.flatnonzero(np.maximum.reduceat(np.abs(extra - used).max(axis=1), offset[:-1]) > settled)
+            if not len(moved):
+                break
+            for k, b in zip(moved, self.beliefs([base[offset[k] : offset[k + 1]] + extra[offset[k] : offset[k + 1]] for k in moved])):
+                at = slice(offset[k], offset[k + 1])
+                belief[at], used[at] = b, extra[at]
         return [belief[s:e] for s, e in zip(offset, offset[1:])]

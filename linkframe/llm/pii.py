@@ -1,8 +1,8 @@
 """Personal information in free text: found by a skip-chain conditional random field, replaced by typed placeholders.
 
 Every line becomes a chain of token classes; lines of the same classes are worked once. Tokens that occur again
-in another chain of the document are joined by skip edges, and loopy message passing brings their labels into agreement,
-so that a name that is clear in one place is found in the others.
+in the document are joined by skip edges to one node for all mentions, and loopy message passing brings their labels into
+agreement, so that a name that is clear in one place is found in all others.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from linkframe.llm.pii_training import LABELS, NUMBER, Grammar, label
 #: Lines drawn from the grammar for training; the bound of the training sample.
 TRAINING_LINES = 20_000
 ROUNDS = 110
-#: Log potential of two ends of a skip edge having the same type.
+#: Log potential of two mentions having the same type.
 AGREEMENT = 1.2
-#: An edge disagrees if the beliefs of its ends differ by more than this.
+#: Mentions disagree if their beliefs differ by more than this.
 UNEQUAL = 0.02
 #: The belief in an address from which on a line with a street is looked at together with the lines after it.
 POSSIBLE = 0.001
@@ -55,9 +55,14 @@ def templates(classes: tuple) -> list[list]:
     return [features(w) for w in windows(classes)]
 
 
+KINDS_OF = [KIND.get(i, "") for i in range(len(LABELS))]
+
+
 def same_type() -> np.ndarray:
-    kinds = [KIND.get(i, "") for i in range(len(LABELS))]
-    return np.array([[AGREEMENT if a == b else 0.0 for b in kinds] for a in kinds])
+    """Log potential of a mention and the node of all mentions: with it, two mentions agree by AGREEMENT through the node."""
+    k, t = len(set(KINDS_OF)), np.exp(AGREEMENT)
+    x = t + np.sqrt(t * t + t * (k - 2) - (k - 1))  # x² + k - 1 = t (2 x + k - 2)
+    return np.array([[np.log(x) if a == b else 0.0 for b in KINDS_OF] for a in KINDS_OF])
 
 
 def train_model(lines: int = TRAINING_LINES, rounds: int = ROUNDS, seed: int = 5) -> Crf:
@@ -87,7 +92,7 @@ class Chain:
         self.joint = [i for i, c in enumerate(classes) if c in ("Xx", "XX", "GIVEN", "CNAME", "CODE", "EMAIL") or c[0] == "M"]
         #: A line with a street or box that may be an address; the lines after it can make it one only if it is not ruled out.
         self.goes_on = not STREETS.isdisjoint(classes) and bool(belief[:, ADDRESS].max() > POSSIBLE)
-        #: Beliefs of two clear places can differ by no more than half of what makes an edge disagree.
+        #: Beliefs of two clear places can differ by no more than half of what makes mentions disagree.
         self.unclear = bool((1 - belief[self.joint, 0] > UNEQUAL / 2).any())
 
 
@@ -96,6 +101,8 @@ class Finder:
 
     def __init__(self, model: Crf):
         self.model, self.same = model, same_type()
+        # The node of all mentions prefers no kind: it has no start, and the labels of a kind share its weight.
+        self.hub = -model.start[None, :] - np.log([[KINDS_OF.count(x) for x in KINDS_OF]])
         self.known: dict[tuple, Chain] = {}
         self.places = 0
         self.rows: dict[tuple, np.ndarray] = {}
@@ -130,30 +137,17 @@ class Finder:
         nodes, first, edges, place = [], [], [], {}
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         for k, chains in enumerate(docs):
-            if not any(self.known[c].unclear for *_, c in chains):
-                continue
-            seen: dict[str, tuple[int, int]] = {}
-            own = []
-            for n, (start, end, classes) in enumerate(chains):
-                if not self.known[classes].joint:
-                    continue
-                words = words_of(texts[k], start, end)
-                for i in self.known[classes].joint:
-                    word = folded(words[i]) if classes[i] != "CODE" else words[i]
-                    before = seen.get(word)
-                    seen[word] = (n, i)
-                    if before is not None and before[0] != n:
-                        own.append((*before, n, i))
-            # An edge whose ends agree already moves nothing: it is left out, and with it chains none of whose edges disagree.
-            for n, i, m, j in own:
-                p, q = self.known[chains[n][2]].belief[i], self.known[chains[m][2]].belief[j]
-                if np.abs(p - q).max() > UNEQUAL:
-                    for x in (n, m):
-                        if (k, x) not in place:
-                            place[k, x] = len(nodes)
-                            nodes.append(self.nodes(chains[x][2]))
-                            first.append(self.known[chains[x][2]].belief)
-                    edges.append((place[k, n], i, place[k, m], j))
+            groups = self.groups(texts[k], chains) if any(self.known[c].unclear for *_, c in chains) else []
+            for mentions in groups:
+                hub = len(nodes)
+                nodes.append(self.hub)
+                first.append(np.exp(self.hub + self.model.start) / np.exp(self.hub + self.model.start).sum())
+                for n, i in mentions:
+                    if (k, n) not in place:
+                        place[k, n] = len(nodes)
+                        nodes.append(self.nodes(chains[n][2]))
+                        first.append(self.known[chains[n][2]].belief)
+                    edges.append((place[k, n], i, hub, 0))
         agreed = self.model.loopy(nodes, first, np.array(edges), self.same) if edges else first
         for k, chains in enumerate(docs):
             for n, (start, end, classes) in enumerate(chains):
@@ -164,6 +158,37 @@ class Finder:
                     out[k] += decode(tokens(texts[k], start, end)[0], classes, self.known[classes].belief)
         return out
 
+    def groups(self, text: str, chains: list[tuple[int, int, tuple]]) -> list[list[tuple[int, int]]]:
+        """The mentions (chain, place) of every word that stands again, of the parts of the document (chains that words join) in
+        which mentions of some word disagree. In other parts there is nothing to bring into agreement."""
+        by: dict[str, list[tuple[int, int]]] = {}
+        for n, (start, end, classes) in enumerate(chains):
+            if self.known[classes].joint:
+                words = words_of(text, start, end)
+                for i in self.known[classes].joint:
+                    by.setdefault(folded(words[i]) if classes[i] != "CODE" else words[i], []).append((n, i))
+        groups = [g for g in by.values() if len(g) > 1]
+        differ = []
+        for g in groups:
+            if any(self.known[chains[n][2]].unclear for n, _ in g):
+                b = np.array([self.known[chains[n][2]].belief[i] for n, i in g])
+                if (b.max(axis=0) - b.min(axis=0)).max() > UNEQUAL:
+                    differ.append(g[0][0])
+        if not differ:
+            return []
+        root = list(range(len(chains)))
+
+        def top(n: int) -> int:
+            while root[n] != n:
+                root[n] = n = root[root[n]]
+            return n
+
+        for g in groups:
+            for n, _ in g[1:]:
+                root[top(n)] = top(g[0][0])
+        parts = {top(n) for n in differ}
+        return [g for g in groups if top(g[0][0]) in parts]
+
 
 @lru_cache(maxsize=1)
 def finder_of(model: Crf) -> Finder:

@@ -14,7 +14,7 @@ from linkframe.llm.encoding import VOCABULARY, Encoder, count_tokens, encode_cor
 from linkframe.llm.mixing import mix  # noqa: E402
 from linkframe.llm.pii import Finder, default_model, find_items, redact  # noqa: E402
 from linkframe.llm.pii_lexer import line_classes, token_texts, tokens  # noqa: E402
-from linkframe.llm.pii_training import Grammar  # noqa: E402
+from linkframe.llm.pii_training import LABELS, Grammar  # noqa: E402
 from linkframe.operators.widen import canon_text  # noqa: E402
 from linkframe.schema import table  # noqa: E402
 
@@ -246,6 +246,27 @@ def test_skip_edges_carry_labels():
     assert after[1][0, 4] > first[1][0, 4]
 
 
+@pytest.mark.parametrize("text", ["( Qorvath Zelminor" + "\n; Qorvath Zelminor" * 3, "( Qorvath Zelminor" + " ; Qorvath Zelminor" * 3])
+def test_a_clear_mention_mends_all_others(text):
+    """After '(' a name is clear, after ';' it is rather none: in lines of their own, and in one line."""
+    f = Finder(default_model())
+    def nodes(classes):
+        out = np.zeros((len(classes), 8))
+        for i, c in enumerate(classes):
+            if c in "(;":
+                out[i, 0] = 9.0
+            else:
+                first = classes[i - 1] in "(;"
+                clear = classes[i - 1 if first else i - 2] == "("
+                out[i, 4 if first else 5] = 6.0 if clear else 0.0
+                out[i, 0] = 0.0 if clear else 0.6
+                out[i, [1, 2, 3, 6, 7, 5 if first else 4]] = -6.0
+        return out
+
+    f.nodes = nodes
+    assert [text[s:e] for s, e, _ in sorted(f.find([text])[0])] == ["Qorvath Zelminor"] * 4
+
+
 def test_names_are_found_again_without_an_anchor():
     """Neither given name nor surname is known, and the later lines have no word that points to a person."""
     text = "Inventor: Qorvath Zelminor\nThe valve 12 closes.\nQorvath Zelminor observed that the seal held.\nParts of the Zelminor GmbH were used.\nSteel Zelminorite."
