@@ -185,9 +185,9 @@ def eav_to_wide(links: DataFrame, attributes: DataFrame, terms: list[Term], most
     value is no value and not reported; a blank one is, in a typed column. Undeclared terms give nothing, a null origin
     has no row. Extra columns are ignored. Empty tables give an empty result.
 
-    An entity with more than ``most_inline`` links, or a link with more attributes than that, is large: its columns of
-    several values are null in the row and stand whole, a value a row, under kind 'more'. So no task holds an entity's
-    values beyond a bound, however many it has, and none is lost.
+    A column of several values with more than ``most_inline`` different spellings of values in an entity is null in its row and
+    stands whole, a value a row, under kind 'more'; the entity's other columns stay in the row. So no task holds a column's values
+    beyond a bound, however many they are, and none is lost.
     """
     spark = links.sparkSession
     schema = wide_schema(terms)
@@ -232,13 +232,19 @@ def eav_to_wide(links: DataFrame, attributes: DataFrame, terms: list[Term], most
     names = entities.select("_e1", "_e2", F.lit(-1).alias("_t"), *[F.lit(None).cast(k).alias(c) for c, k in (("_kind", "string"), ("_src", "string"), ("_row", "bigint"))], F.col("origin").alias("_value"), F.lit(0).cast("bigint").alias("_at"))
     inline = rows.where(report | ~is_large).select(*order).unionByName(names)
     if large:
-        # A large entity's values are combined before any shuffle by entity: the latest, or each different one.
+        # A large entity's values are combined before any shuffle by entity: the latest, or each different one. Columns of at
+        # most most_inline different values stay in the row.
         values = rows.where(~report & is_large)
         kinds = F.array(*[F.lit(t.type) for t in terms])
         rank = F.struct("_at", *[c.alias(n) for n, c in _cells(F.get(kinds, F.col("_t")), F.col("_value")).items()], "_value")
         latest = values.where("not _multi").groupBy("_e1", "_e2", "_t").agg(F.max(rank).alias("_m"))
-        latest = latest.select("_e1", "_e2", "_t", *[F.lit(None).cast(k).alias(c) for c, k in (("_kind", "string"), ("_src", "string"), ("_row", "bigint"))], F.col("_m._value").alias("_value"), F.col("_m._at").alias("_at"))
-        inline = inline.unionByName(latest)
+        report_cells = [F.lit(None).cast(k).alias(c) for c, k in (("_kind", "string"), ("_src", "string"), ("_row", "bigint"))]
+        latest = latest.select("_e1", "_e2", "_t", *report_cells, F.col("_m._value").alias("_value"), F.col("_m._at").alias("_at"))
+        different = cut(values.where("_multi").select("_e1", "_e2", "_t", "_value").distinct())
+        over = cut(different.groupBy("_e1", "_e2", "_t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_inline).select("_e1", "_e2", "_t"))
+        over = splittable(over, "_e1")
+        short = different.join(over, ["_e1", "_e2", "_t"], "left_anti").select("_e1", "_e2", "_t", *report_cells, "_value", F.lit(0).cast("bigint").alias("_at"))
+        inline = inline.unionByName(latest).unionByName(short)
 
     # Global ordinals: a bucket is a range of keys, so of bounded size; an ordinal is the bucket and the rank in it. All cells
     # of an entity that are left are few, so none makes a bucket heavy.
@@ -247,7 +253,7 @@ def eav_to_wide(links: DataFrame, attributes: DataFrame, terms: list[Term], most
     stitch = _stitch(terms, schema, span, bits)
     out = _typed(inline, terms, F.lit(None).cast("string")).mapInArrow(stitch, schema)
     if large:
-        more = values.where("_multi").select("_e1", "_e2", "_t", "_value").distinct()
+        more = different.join(over, ["_e1", "_e2", "_t"], "left_semi")
         named = F.broadcast(entities.where(is_large)) if len(large) <= MOST_NAMED else entities  # at most MOST_NAMED rows
         more = more.join(named.select("_e1", "_e2", F.col("origin").alias("_entity")), ["_e1", "_e2"], "left")
         more = more.withColumns({"_kind": F.lit("more"), "_src": F.lit(None).cast("string"), "_row": F.lit(None).cast("bigint"), "_at": F.lit(0).cast("bigint")})

@@ -58,8 +58,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_wide(spark: SparkSession, d: str) -> DataFrame:
-    """The wide table in scalar columns: lists as text."""
-    wide = _wide(spark, d).where("kind = 'row'").drop("kind", "ordinal", "src_table", "row_id", "column", "value")
+    """The wide table in scalar columns: lists as text; the values that stand beside it as (entity, column, value), the other
+    columns null. ``column`` is null in the rows of the table."""
+    wide = _wide(spark, d).where("kind in ('row', 'more')").drop("kind", "ordinal", "src_table", "row_id")
     return wide.select(*[F.array_join(F.transform(c, lambda x: x.cast("string")), "|").alias(c) if t.startswith("array") else F.col(c).cast("double").alias(c) if t.startswith("decimal") else c for c, t in wide.dtypes])
 
 

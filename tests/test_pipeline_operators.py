@@ -10,6 +10,7 @@ from linkframe.functions.canon import canon
 from linkframe.operators.orphans import orphan_references
 from linkframe.operators.tree_agg import frequent_keys, key_stats
 from linkframe.operators.widen import Term, canon_text, eav_to_wide, read_terms
+from linkframe.queries_pipeline import p5_wide
 from linkframe.schema import table
 
 SF = "/root/testdata/sf0.001"
@@ -103,6 +104,25 @@ def test_wide_large_entity_and_empty(spark):
     assert eav_to_wide(spark.createDataFrame([], LINKS), attrs, TERMS).count() == 0
 
 
+def test_wide_short_lists_of_a_large_entity_stay(spark):
+    links = [(i, "A", "m", f"v{i}", T0, None, "x") for i in range(30)] + [(100, "A", "i", "5", T0, None, "x"), (101, "A", "i", "4", T0, None, "x")]
+    wide = eav_to_wide(spark.createDataFrame(links, LINKS), spark.createDataFrame([], ATTRS), TERMS, most_inline=20).collect()
+    (row,) = [r for r in wide if r.kind == "row"]
+    assert row.many is None and row.ints == [Decimal(4), Decimal(5)]
+    assert {(r.column, r.value) for r in wide if r.kind == "more"} == {("many", f"v{i}") for i in range(30)} and len(wide) == 31
+
+
+def test_p5_wide_has_every_value(spark, tmp_path):
+    links = [(i, "A", "m", f"v{i}", T0, None, "x") for i in range(1001)] + [(2000, "A", "i", "5", T0, None, "x"), (2001, "B", "m", "w", T0, None, "x")]
+    tables = {"relationship": spark.createDataFrame(links, LINKS), "attribute": spark.createDataFrame([], ATTRS)}
+    tables["vocabulary"] = spark.createDataFrame([(t.term, t.kind, t.column, t.type, t.multi) for t in TERMS], "term string, term_kind string, col_name string, value_type string, is_multi boolean")
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = p5_wide(spark, str(tmp_path)).collect()
+    assert {(r.entity, r.many, r.ints) for r in got if r.column is None} == {("A", None, "5"), ("B", "w", None)}
+    assert sorted(r.value for r in got if r.column == "many" and r.entity == "A") == sorted(f"v{i}" for i in range(1001)) and len(got) == 1003
+
+
 def test_wide_brute_force(spark):
     links, attrs, terms = table(spark, SF, "relationship"), table(spark, SF, "attribute"), read_terms(table(spark, SF, "vocabulary"))
     wide = {r.entity: r for r in eav_to_wide(links, attrs, terms, most_inline=10**9, span=16).where("kind = 'row'").collect()}
