@@ -282,6 +282,13 @@ def test_every_line_is_decided(text, name):
     assert [(doc[s:e], k) for s, e, k in Finder(default_model()).find([doc])[0]] == [(name, "person")]
 
 
+@pytest.mark.parametrize("text,item,kind", [("Data sheets can be had from kel ( at ) post.drih.example now.", "kel ( at ) post.drih.example", "email"), ("Write to drih.kel AT post DOT drih DOT example", "drih.kel AT post DOT drih DOT example", "email"), ("Mobile +61 30 2312500", "+61 30 2312500", "phone"), ("A1exander Tabraim observed that the seal held.", "A1exander Tabraim", "person")])
+def test_writings_that_had_no_anchor(text, item, kind):
+    """Whatever the lexer reads as a token is looked at; words as mended."""
+    doc = f"The valve 12 closes.\n{text}"
+    assert [(doc[s:e], k) for s, e, k in Finder(default_model()).find([doc])[0]] == [(item, kind)]
+
+
 @pytest.mark.parametrize("line", ["Tel. +44 (0)1632 960187", "a@b = b@a", "_12345678A x12345678A R1 QX6 4ZQ", "AndrÃ© Ã\x80\x80 © °C µm", "ca1l l0 B1O A10BCDEFG _A10BCDEFG", "電話 03-0000-1234 アカ・タナ", "kel [at] drih.example, kel AT drih DOT org", "  a\tb  ", "l'eau d’Or x-1-y"])
 def test_classes_of_a_line(line):
     spans, classes = tokens(line)
