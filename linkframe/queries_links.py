@@ -181,6 +181,11 @@ def nested_round_trip(spark, d):
     return lot(Linkset.from_nested(links(spark, d).match(None, {V + "cites", V + "extent"}).nested()))
 
 
+@query("SELECT r.origin, r.rel, r.target, a.name, a.value FROM relationship r LEFT JOIN attribute a ON a.rawid = r.rawid")
+def nested_round_trip_whole(spark, d):
+    return Linkset.from_nested(links(spark, d, True).nested()).flatten()
+
+
 # --- sets and changes
 
 
@@ -427,6 +432,11 @@ def two_tables_round_trip(spark, d):
     return storage.from_two_tables(rel_, att).flatten().where("name is not null and value is not null").select("origin", "rel", "name", "value").distinct()
 
 
+@query("SELECT r.origin, r.rel, r.target, a.name, a.value FROM relationship r LEFT JOIN attribute a ON a.rawid = r.rawid")
+def two_tables_round_trip_whole(spark, d):
+    return storage.from_two_tables(*storage.to_two_tables(links(spark, d, True))).flatten()
+
+
 BOOKS = """# http://shelf.example/books/{book_id} [http://schema.org/Book]
 
 * <http://schema.org/name>: {title}

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkframe import queries_links, queries_pipeline
 from linkframe.operators.linkset import Linkset
@@ -63,3 +64,13 @@ def test_hot_reference_is_split(spark, skewed):
     out = orphan_references(skewed, keys, ["origin"], ["k"], "at", "s", "e")
     assert len(out.collect()) == 66_667
     assert "skew=true" in plan(out)
+
+
+@pytest.mark.parametrize("name", ["two_tables_round_trip_whole", "nested_round_trip_whole"])
+def test_round_trips_keep_every_link(spark, name):
+    """Links without attributes, repeated ones and nulls too, as often as they stand."""
+    r, a = table(spark, SF, "relationship"), table(spark, SF, "attribute")
+    want = r.join(a.where("rawid is not null").withColumnRenamed("rawid", "of"), r.rawid == F.col("of"), "left").select("origin", "rel", "target", "name", "value")
+    got = queries_links.QUERIES[name](spark, SF)
+    assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+    assert got.where("name is null").count() and got.select("rel").distinct().count() > 2
