@@ -139,7 +139,7 @@ class Crf:
 
     def loopy(self, nodes: list[np.ndarray], first: list[np.ndarray], edges: np.ndarray, same: np.ndarray, rounds: int = 200, damp: float = 0.5, settled: float = 1e-3) -> list[np.ndarray]:
         """Beliefs of chains joined by skip edges. edges: rows (chain, place, chain, place); same (L, L): log potential of a
-        skip edge. ``first``: beliefs without them. Damped, all edges at once, until no log potential that messages add moves by more than ``settled``
+        skip edge. ``first``: beliefs without them. Damped, all edges at once, until what the messages tell a place moves nowhere by more than ``settled``
         (or for so many rounds, where the messages swing)."""
         labels = len(self.labels)
         psi = np.exp(same)
@@ -149,7 +149,7 @@ class Crf:
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
         message = np.full((len(src), labels), 1.0 / labels)
         base = np.concatenate(nodes)
-        belief, used = np.concatenate(first), np.zeros_like(base)
+        belief, used = np.concatenate(first), np.ones_like(base)
         for _ in range(rounds):
             out = belief[src] / np.maximum(message[back], 1e-12)
             out /= out.sum(axis=1, keepdims=True)
@@ -159,11 +159,11 @@ class Crf:
             extra = np.zeros_like(base)
             np.add.at(extra, dst, np.log(message))
             # Chains whose messages stay as they were keep their beliefs.
-            extra -= extra.mean(axis=1, keepdims=True)
-            moved = np.flatnonzero(np.maximum.reduceat(np.abs(extra - used).max(axis=1), offset[:-1]) > settled)
+            told = np.exp(extra - extra.max(axis=1, keepdims=True))  # of many messages a sum, so compared as what it tells
+            moved = np.flatnonzero(np.maximum.reduceat(np.abs(told - used).max(axis=1), offset[:-1]) > settled)
             if not len(moved):
                 break
             for k, b in zip(moved, self.beliefs([base[offset[k] : offset[k + 1]] + extra[offset[k] : offset[k + 1]] for k in moved])):
                 at = slice(offset[k], offset[k + 1])
-                belief[at], used[at] = b, extra[at]
+                belief[at], used[at] = b, told[at]
         return [belief[s:e] for s, e in zip(offset, offset[1:])]
