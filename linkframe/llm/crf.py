@@ -153,7 +153,7 @@ class Crf:
         for _ in range(rounds):
             out = belief[src] / np.maximum(message[back], 1e-12)
             out /= out.sum(axis=1, keepdims=True)
-            new = out @ psi
+            new = np.einsum("ij,jk->ik", out, psi)  # no BLAS: its threads spin on after such a small product
             new /= new.sum(axis=1, keepdims=True)
             message = damp * message + (1 - damp) * new
             extra = np.zeros_like(base)
