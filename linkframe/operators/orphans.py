@@ -7,7 +7,6 @@ columns that are not null, under the declared match semantics (those of SQL's MA
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +40,14 @@ def orphan_references(refs: DataFrame, keys: DataFrame, ref_cols: Sequence[str],
         raise ValueError("1 to 8 columns, as many on either side")
     sides, out = [f"_k{i}" for i in range(len(key_cols))], None
     spans = live_spans(keys.select(*[F.col(k).alias(s) for k, s in zip(key_cols, sides)], F.col(start).alias("_start"), F.col(end).alias("_end")), sides, "_start", "_end")
-    for mask in product((True, False), repeat=len(ref_cols)):  # True: that column is given
+    whole = (True,) * len(ref_cols)
+    masks = [whole]
+    if len(ref_cols) > 1 and match != "simple":  # the masks that occur, of at most 255, so no mask is a scan for nothing
+        seen = refs.select(*[F.col(c).isNotNull().alias(s) for c, s in zip(ref_cols, sides)]).distinct().collect()
+        masks = sorted({whole, *map(tuple, seen)}, reverse=True)
+    for mask in masks:  # True: that column is given
         given = [i for i, m in enumerate(mask) if m]
-        if not given or (len(given) < len(mask) and match == "simple"):
+        if not given:
             continue
         group = refs
         for c, m in zip(ref_cols, mask):

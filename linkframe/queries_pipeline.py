@@ -17,22 +17,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_rel_stats(spark: SparkSession, d: str) -> DataFrame:
-    links = table(spark, d, "relationship")
-    stats = key_stats(links)
-    latest = links.select(F.col("rawid").alias("latest_rawid"), F.col("origin").alias("latest_origin"), F.col("target").alias("latest_target"))
-    return stats.join(latest, "latest_rawid", "left").select("rel", "n_rows", "n_origins", "n_targets", "latest_rawid", "latest_origin", "latest_target")
+    return key_stats(table(spark, d, "relationship"))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     rel, att = table(spark, d, "relationship"), table(spark, d, "attribute")
     iri_terms = table(spark, d, "vocabulary").where("term_kind = 'rel' and value_type = 'iri'").select(canon("term").alias("_rel")).distinct()
-    iris = [r[0] for r in iri_terms.limit(20_001).collect()]
-    if len(iris) > 20_000:
-        raise ValueError("more than 20,000 declared rels")
     keys = table(spark, d, "resources").select(canon("iri").alias("iri"), "registered_at", "deleted_at")
     keys = keys.unionByName(table(spark, d, "authority").select(canon("iri").alias("iri"), "registered_at", "deleted_at"))
-    ends = F.array(F.struct(F.lit("relationship.origin").alias("ref_field"), F.col("origin").alias("raw")), F.struct(F.lit("relationship.target").alias("ref_field"), F.when(canon("rel").isin(iris), F.col("target")).alias("raw")))
-    refs = rel.select("rawid", "recorded_at", F.explode(ends).alias("e")).where("e.raw is not null")
+    # Which rels have keys as targets is a table too; it is broadcast only while Spark knows it to be small.
+    kinds = rel.join(iri_terms.withColumn("_is_iri", F.lit(True)), canon("rel") == F.col("_rel"), "left")
+    ends = F.array(F.struct(F.lit("relationship.origin").alias("ref_field"), F.col("origin").alias("raw")), F.struct(F.lit("relationship.target").alias("ref_field"), F.when(F.col("_is_iri"), F.col("target")).alias("raw")))
+    refs = kinds.select("rawid", "recorded_at", F.explode(ends).alias("e")).where("e.raw is not null")
     refs = refs.select(F.col("e.ref_field").alias("ref_field"), F.col("rawid").alias("row_id"), F.col("recorded_at").alias("at"), canon("e.raw").alias("iri"))
     to_iris = orphan_references(refs, keys, ["iri"], ["iri"], "at", "registered_at", "deleted_at").drop("iri")
     of_links = att.select(F.lit("attribute.rawid").alias("ref_field"), F.col("attr_id").alias("row_id"), F.col("recorded_at").alias("at"), "rawid")

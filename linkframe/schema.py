@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +27,9 @@ LINK_SCHEMA = T.StructType(
     ]
 )
 
-# These IRIs take part in content hashes and must be exactly these.
-NS = "http://bibfra.me/purl/versa/"
+#: Namespace of the built-in terms. They stand in links and take part in content hashes, so whoever reads or continues data
+#: written under another namespace names that one in LINKFRAME_NAMESPACE (on a cluster for the executors as well).
+NS = os.environ.get("LINKFRAME_NAMESPACE") or "http://linkframe.example/terms/"
 TYPE = NS + "type"
 LABEL = NS + "label"
 NULL = NS + "NULL"
@@ -42,8 +49,6 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Make this package known to the Python workers, where neither the working folder nor PYTHONPATH does: as a zip that
     Spark's own file server hands to the executors."""
-    import os
-    import tempfile
     import zipfile
     from pathlib import Path
 
@@ -70,19 +75,37 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for tables that cut a lineage: the cluster's ``spark.checkpoint.dir``; only where the cluster names
-    none (tests, one machine) a folder of this machine is set."""
-    import tempfile
-    import uuid
+#: Folders that this process wrote, until ``clear_shared``.
+_written: dict[str, list[str]] = {}
 
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder for a table that cuts a lineage, in the cluster's ``spark.checkpoint.dir``. Where that is unset, a folder of
+    this machine serves a local master (tests), and is deleted when the process ends; a cluster is refused, as its
+    executors could not see such a folder."""
     sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        base = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="linkframe-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="linkframe-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/linkframe-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/linkframe-{uuid.uuid4().hex}"
+    _written.setdefault(sc.applicationId, []).append(path)
+    return path
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Delete the folders written so far by this session: when no result that reads them is wanted any more. Gives their
+    number."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
 def splittable(df: DataFrame, key: str) -> DataFrame:
