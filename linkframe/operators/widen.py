@@ -1,7 +1,8 @@
 """Entity-attribute-value rows into one wide row per entity, by positional stitching.
 
-Every entity gets a global ordinal; every attribute is written as a typed column aligned to ranges of ordinals; the
-columns of a range are put side by side by position. Nothing is joined or pivoted by key when the table is assembled.
+First every entity gets a global ordinal, in a written table. The cells are brought to the ranges of ordinals; there every
+attribute is written by itself as a typed column aligned to the range, and the columns are put side by side by position.
+Nothing is pivoted by key when the table is assembled.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ COLUMNS = {
     "iri": ("_str", T.StringType()),
 }
 CELLS = {cell: kind for cell, kind in COLUMNS.values()}
-RANGE_BITS = 40
 #: A vocabulary is the schema of the wide table; one larger than this is refused rather than gathered.
 MOST_TERMS = 20_000
 
@@ -48,27 +48,35 @@ class Term:
 
 
 def read_terms(vocabulary: DataFrame) -> list[Term]:
+    """The declared terms, in order. Terms may share a column if they agree in type and number of values."""
     rows = vocabulary.select("term", "term_kind", "col_name", "value_type", "is_multi").where("term is not null and term_kind is not null and col_name is not null").limit(MOST_TERMS + 1).collect()
     if len(rows) > MOST_TERMS:
         raise ValueError(f"more than {MOST_TERMS} declared terms")
-    terms, taken = [], set()
-    for r in sorted(rows, key=lambda r: (r.term_kind, r.col_name, r.term)):
-        if r.col_name not in taken:  # the first term of a column name has it
-            taken.add(r.col_name)
-            terms.append(Term(r.term, r.term_kind, r.col_name, r.value_type if r.value_type in COLUMNS else "string", bool(r.is_multi)))
-    return terms
+    rows = sorted(rows, key=lambda r: (r.term_kind, r.col_name, r.term))
+    return [Term(r.term, r.term_kind, r.col_name, r.value_type if r.value_type in COLUMNS else "string", bool(r.is_multi)) for r in rows]
+
+
+def columns_of(terms: list[Term]) -> dict[str, Term]:
+    """Column -> a term of it, in the order of the terms."""
+    out: dict[str, Term] = {}
+    for t in terms:
+        first = out.setdefault(t.column, t)
+        if (first.type, first.multi) != (t.type, t.multi):
+            raise ValueError(f"{first.term!r} and {t.term!r} share the column {t.column!r} but not its type")
+    return out
 
 
 def _numbered(df: DataFrame, terms: list[Term], kind: str, name: str) -> DataFrame:
-    """``df`` with ``_t``, the number of the term its column ``name`` names, and ``_type`` and ``_multi`` of that term; rows of
-    undeclared terms go. By the exact spelling where it is the declared one, else by canonical form. The terms are
-    at most MOST_TERMS, so they are broadcast."""
+    """``df`` with ``_t``, the number of the column of the term that its column ``name`` names, and ``_type`` and ``_multi`` of
+    it; rows of undeclared terms go. By the exact spelling where it is the declared one, else by canonical form. The
+    terms are at most MOST_TERMS, so they are broadcast."""
     spark = df.sparkSession
+    number = {c: i for i, c in enumerate(columns_of(terms))}
     known: dict[str, tuple[int, str, bool]] = {}
-    for i, t in enumerate(terms):
+    for t in terms:
         if t.kind == kind:
-            known.setdefault(canon_text(t.term), (i, t.type, t.multi))
-            known[t.term] = (i, t.type, t.multi)
+            known.setdefault(canon_text(t.term), (number[t.column], t.type, t.multi))
+            known[t.term] = (number[t.column], t.type, t.multi)
     side = F.broadcast(spark.createDataFrame([(k, *v) for k, v in known.items()], "_name string, _t int, _type string, _multi boolean"))
     loose = F.broadcast(spark.createDataFrame([(k, *v) for k, v in known.items()], "_name2 string, _t2 int, _type2 string, _multi2 boolean"))
     out = df.join(side, F.col(name) == F.col("_name"), "left").join(loose, F.when(F.col("_name").isNull(), canon(name)) == F.col("_name2"), "left")
@@ -77,62 +85,76 @@ def _numbered(df: DataFrame, terms: list[Term], kind: str, name: str) -> DataFra
 
 def wide_schema(terms: list[Term]) -> T.StructType:
     """kind is 'row', 'unread' (a value that fits no type), 'too_long' (a number that can be read but is beyond its column) or 'more' (a
-    value of a column with too many values for one row). Reports have no ordinal."""
+    value of a list too large for one cell). Reports have no ordinal."""
     fixed = [("kind", T.StringType()), ("ordinal", T.LongType()), ("entity", T.StringType()), ("src_table", T.StringType()), ("row_id", T.LongType()), ("column", T.StringType()), ("value", T.StringType())]
-    cols = [("w_" + t.column if t.column in dict(fixed) else t.column, T.ArrayType(COLUMNS[t.type][1]) if t.multi else COLUMNS[t.type][1]) for t in terms]
+    cols = [("w_" + c if c in dict(fixed) else c, T.ArrayType(COLUMNS[t.type][1]) if t.multi else COLUMNS[t.type][1]) for c, t in columns_of(terms).items()]
     return T.StructType([T.StructField(n, k) for n, k in fixed + cols])
 
 
-def _stitch(terms: list[Term], schema: T.StructType, span: int, bits: int):
-    """Arrow batches of cells, sorted by entity within the partition -> batches of wide rows, a range of ordinals at a time.
-
-    An entity's ordinal is its bucket (the upper bits of its key) and its rank there, counted as the entities pass."""
-    fields, n_fixed = list(to_arrow_schema(schema)), 7
-    names = np.array([x.column for x in terms] or [""], object)
-
-    def column(f: pa.Field, t: Term, cells: dict, at: np.ndarray, where: np.ndarray, n: int) -> pa.Array:
-        if not len(where):
-            return pa.nulls(n, f.type)
-        values = cells[COLUMNS[t.type][0]].take(pa.array(where))
-        codes = values.dictionary_encode()
-        place = np.empty(len(codes.dictionary), np.int64)
-        place[pa.compute.sort_indices(codes.dictionary).to_numpy()] = np.arange(len(place))
-        rank = place[codes.indices.to_numpy()]
-        if t.multi:  # each value once, in order
-            _, first = np.unique(at[where] * len(place) + rank, return_index=True)
-            counts = np.bincount(at[where[first]], minlength=n)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.concatenate([counts == 0, [False]]))
-            return pa.ListArray.from_arrays(offsets, values.take(pa.array(first)), type=f.type)
-        order = np.lexsort((rank, cells["_at"][where]))  # the latest, then the greatest, is written last and stays
-        take, there = np.zeros(n, np.int64), np.zeros(n, bool)
-        take[at[where[order]]] = order
-        there[at[where]] = True
-        return values.take(pa.array(take, mask=~there)).cast(f.type)
-
-    def assemble(parts: list[tuple[pa.Table, np.ndarray]]) -> pa.RecordBatch:
+_FIXED = 7
+#: Numbers of cells that are no values: the name of an entity, which carries its ordinal.
+_NAME = -1
+
+
+def written_column(field: pa.Field, term: Term, values: pa.Array, at: np.ndarray, when: np.ndarray, size: int) -> pa.Array:
+    """One attribute as a column aligned to a range of ``size`` ordinals: ``values`` stand at the places ``at`` of the range. A
+    single value is the one of the latest ``when``, of equal ones the greatest; a list has each value once, in order."""
+    if not len(at):
+        return pa.nulls(size, field.type)
+    codes = values.dictionary_encode()
+    place = np.empty(len(codes.dictionary), np.int64)
+    place[pa.compute.sort_indices(codes.dictionary).to_numpy()] = np.arange(len(place))
+    rank = place[codes.indices.to_numpy()]
+    if term.multi:
+        _, first = np.unique(at * len(place) + rank, return_index=True)
+        counts = np.bincount(at[first], minlength=size)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.concatenate([counts == 0, [False]]))
+        return pa.ListArray.from_arrays(offsets, values.take(pa.array(first)), type=field.type)
+    order = np.lexsort((rank, when))  # the latest, then the greatest, is written last and stays
+    take, there = np.zeros(size, np.int64), np.zeros(size, bool)
+    take[at[order]] = order
+    there[at] = True
+    return values.take(pa.array(take, mask=~there)).cast(field.type)
+
+
+def _flat(c: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+
+
+def _stitch(terms: list[Term], schema: T.StructType, span: int):
+    """Arrow batches of cells, in the order of ordinals within the partition -> batches of wide rows, a range at a time."""
+    fields, columns = list(to_arrow_schema(schema)), list(columns_of(terms).values())
+    names = np.array([x.column for x in columns] or [""], object)
+
+    def stitched(parts: list[tuple[pa.Table, np.ndarray]]) -> pa.RecordBatch:
+        """The columns of one range, each written by itself, put side by side by position."""
         table = pa.concat_tables([t for t, _ in parts])
-        rows, at = np.unique(np.concatenate([o for _, o in parts]), return_inverse=True)
-        cells = {c: table.column(c).combine_chunks() for c in CELLS} | {"_at": table.column("_at").to_numpy()}
-        n, term = len(rows), table.column("_t").to_numpy()
-        own = np.flatnonzero(term == -1)
-        entity = np.zeros(n, np.int64)
-        entity[at[own]] = own
-        cols = [pa.array(["row"] * n), pa.array(rows), cells["_str"].take(pa.array(entity)).cast(pa.string()), *[pa.nulls(n, f.type) for f in fields[3:n_fixed]]]
-        by_term = np.argsort(term, kind="stable")
-        bounds = np.searchsorted(term[by_term], np.arange(len(terms) + 1))
-        cols += [column(f, t, cells, at, by_term[bounds[i] : bounds[i + 1]], n) for i, (f, t) in enumerate(zip(fields[n_fixed:], terms))]
-        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], schema=pa.schema(fields))
+        ordinals = np.concatenate([o for _, o in parts])
+        number, when = table.column("_t").to_numpy(), table.column("_at").to_numpy()
+        cells = {c: _flat(table.column(c)) for c in CELLS}
+        own = np.flatnonzero(number == _NAME)
+        rows, first = ordinals[own], ordinals[own[0]]
+        place = np.full(int(rows[-1] - first) + 1, -1)  # of an ordinal of the range, the position of its row
+        place[rows - first] = np.arange(len(rows))
+        at, size = place[ordinals - first], len(rows)
+        out = [pa.array(["row"] * size), pa.array(rows), cells["_str"].take(pa.array(own)).cast(pa.string()), *[pa.nulls(size, f.type) for f in fields[3:_FIXED]]]
+        by = np.argsort(number, kind="stable")
+        bounds = np.searchsorted(number[by], np.arange(len(columns) + 1))
+        for i, (f, t) in enumerate(zip(fields[_FIXED:], columns)):
+            mine = by[bounds[i] : bounds[i + 1]]
+            out.append(written_column(f, t, cells[COLUMNS[t.type][0]].take(pa.array(mine)), at[mine], when[mine], size))
+        return pa.RecordBatch.from_arrays([_flat(c) for c in out], schema=pa.schema(fields))
 
     def passed(t: pa.Table) -> pa.RecordBatch:
         """Cells that are reports rather than values."""
         n = t.num_rows
         cols = [t.column("_kind"), pa.nulls(n, pa.int64()), t.column("_entity"), t.column("_src"), t.column("_row"), pa.array(names[t.column("_t").to_numpy()]), t.column("_str")]
-        cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols] + [pa.nulls(n, f.type) for f in fields[n_fixed:]]
+        cols = [_flat(c) for c in cols] + [pa.nulls(n, f.type) for f in fields[_FIXED:]]
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, fields)], schema=pa.schema(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[pa.Table, np.ndarray]] = []
-        last, ordinal = None, -1  # of the entity that passed last
+        last = np.int64(-1)  # the ordinal that passed last
         for batch in batches:
             t = pa.Table.from_batches([batch])
             reports = pa.compute.is_valid(t.column("_kind"))
@@ -141,26 +163,20 @@ def _stitch(terms: list[Term], schema: T.StructType, span: int, bits: int):
             t = t.filter(pa.compute.invert(reports))
             if not t.num_rows:
                 continue
-            e1, e2 = t.column("_e1").to_numpy(), t.column("_e2").to_numpy()
-            new = np.concatenate([[last != (e1[0], e2[0])], (e1[1:] != e1[:-1]) | (e2[1:] != e2[:-1])])
-            base = ((e1 >> (64 - bits)) + (1 << (bits - 1))) << RANGE_BITS
-            # Count from the first entity of each bucket; the bucket of the entity before goes on.
-            count = np.cumsum(new)
-            starts = np.concatenate([[True], base[1:] != base[:-1]])
-            offset = np.maximum.accumulate(np.where(starts, count, 0))
-            ordinals = base + count - offset
-            if ordinal >= 0 and ordinal >> RANGE_BITS == base[0] >> RANGE_BITS:
-                ordinals[base == base[0]] += (ordinal & ((1 << RANGE_BITS) - 1)) + int(new[0])
+            # An entity's name comes before its values and carries the ordinal; the values take the last one.
+            number = t.column("_t").to_numpy()
+            given = np.where(number == _NAME, t.column("_row").to_numpy(zero_copy_only=False), -1).astype(np.int64)
+            ordinals = np.maximum.accumulate(np.concatenate([[last], given]))[1:]
+            last = ordinals[-1]
             ranges = ordinals // span
             cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1), t.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 if held and ranges[a] != held[-1][1][-1] // span:
-                    yield assemble(held)
+                    yield stitched(held)
                     held = []
                 held.append((t.slice(a, b - a), ordinals[a:b]))
-            last, ordinal = (e1[-1], e2[-1]), int(ordinals[-1])
         if held:
-            yield assemble(held)
+            yield stitched(held)
 
     return run
 
@@ -170,11 +186,30 @@ def _key(c: Column) -> list[Column]:
     return [F.xxhash64(c).alias("_e1"), F.xxhash64(F.lit(7), c).alias("_e2")]
 
 
-#: So many large entities are known by name in the plan; with more of them they are joined.
-MOST_NAMED = 5_000
+#: A side of a join of up to so many rows (of 16 bytes) is broadcast, a larger one is not.
+MOST_BROADCAST = 100_000
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
-def eav_to_wide(links: DataFrame, attributes: DataFrame, terms: list[Term], most_inline: int = 1000, span: int = 2048, buckets: int | None = None) -> DataFrame:
+def with_ordinals(entities: DataFrame, bits: int, span: int) -> DataFrame:
+    """``entities`` (_e1, _e2, ...) with ``_ordinal``, unique and in the order of the keys, as a written table. A bucket is a range of
+    keys (the upper ``bits`` of them); the buckets are sorted apart, and each starts at a multiple of ``span``, so that no range of
+    ordinals is divided. One count a bucket is gathered, of at most 2**bits."""
+    bucket = F.shiftright("_e1", 64 - bits)
+    placed = entities.withColumn("_bucket", bucket).repartition("_bucket").sortWithinPartitions("_e1", "_e2").withColumn("_place", F.monotonically_increasing_id())
+    placed = cut(placed)
+    starts, total = [], 0
+    for r in sorted(placed.groupBy("_bucket").agg(F.min("_place").alias("at"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["_bucket"]):
+        starts.append((r["_bucket"], total - r["at"]))
+        total += -(-r.n // span) * span
+    start = F.broadcast(entities.sparkSession.createDataFrame(starts, "_bucket bigint, _start bigint"))
+    return placed.join(start, "_bucket").withColumn("_ordinal", F.col("_start") + F.col("_place")).drop("_bucket", "_place", "_start")
+
+
+def eav_to_wide(links: DataFrame, attributes: DataFrame, terms: list[Term], cell_bytes: int = 64 << 20, hot_rows: int = 1000, span: int = 2048, buckets: int | None = None) -> DataFrame:
     """One row (kind 'row') per distinct ``links.origin`` (canonical form), with a typed column per declared term, from the
     rels of its links (``rawid, origin, rel, target, recorded_at, deleted_at``) and the attributes of those links
     (``attr_id, rawid, name, value, recorded_at``). The further kinds report what is not in a row; see ``wide_schema``.
@@ -183,23 +218,21 @@ def eav_to_wide(links: DataFrame, attributes: DataFrame, terms: list[Term], most
     has each different value once, in order. Withdrawn links (``deleted_at`` given) and their attributes give no values,
     but what cannot be read is reported for every row, also for attributes of no link; these have no entity. A null
     value is no value and not reported; a blank one is, in a typed column. Undeclared terms give nothing, a null origin
-    has no row. Extra columns are ignored. Empty tables give an empty result.
+    has no row. Terms that share a column fill it together. Extra columns are ignored. Empty tables give an empty result.
+    An entity has the name of its shortest spelling, of equal ones the last (so small letters before capitals).
 
-    A column of several values with more than ``most_inline`` different spellings of values in an entity is null in its row and
-    stands whole, a value a row, under kind 'more'; the entity's other columns stay in the row. So no task holds a column's values
-    beyond a bound, however many they are, and none is lost.
+    Every list stands in its row, whatever the entity's links are in number. Only a list of more than ``cell_bytes`` bytes of
+    text, more than a row can be expected to carry, is null there and stands a value a row under kind 'more', whole. The
+    values of entities with more than ``hot_rows`` links, or attributes of one link, are combined before the shuffle by
+    entity; it changes no row.
     """
     spark = links.sparkSession
-    schema = wide_schema(terms)
+    schema, columns = wide_schema(terms), list(columns_of(terms).values())
     bits = max(2, (4 * (buckets or shuffle_partitions(spark)) - 1).bit_length())
+    of_key = F.shiftright("_e1", 64 - bits)
     keyed = links.select("rawid", "rel", "target", "recorded_at", (F.col("deleted_at").isNull() & F.col("origin").isNotNull()).alias("_live"), "origin", *_key(canon("origin")))
-    # Every origin has a row, values or not; its name is the shortest of its spellings.
-    entities = cut(keyed.where("origin is not null").groupBy("_e1", "_e2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.length("origin"), "origin")).alias("m")).select("_e1", "_e2", "n", F.col("m.origin").alias("origin")))
-    heavy = attributes.where("rawid is not null").groupBy("rawid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_inline).select("rawid")
-    ids = [r[0] for r in heavy.limit(MOST_NAMED + 1).collect()]
-    of_heavy = keyed.where(F.col("rawid").isin(ids)) if len(ids) <= MOST_NAMED else keyed.join(heavy, "rawid", "left_semi")
-    large_rows = entities.where(F.col("n") > most_inline).select("_e1", "_e2").unionByName(of_heavy.where("origin is not null").select("_e1", "_e2")).distinct()
-    large = [(r[0], r[1]) for r in large_rows.limit(MOST_NAMED + 1).collect()]
+    entities = keyed.where("origin is not null").groupBy("_e1", "_e2").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(-F.length("origin"), "origin")).alias("m"))
+    entities = with_ordinals(entities.select("_e1", "_e2", "n", F.col("m.origin").alias("origin")), bits, span)
 
     micros = lambda c: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(-(1 << 62)))
     rel_rows = _numbered(keyed, terms, "rel", "rel").select("_e1", "_e2", "_t", "_type", "_multi", F.col("target").alias("_raw"), F.lit("relationship").alias("_src"), F.col("rawid").alias("_row"), micros("recorded_at").alias("_at"), "_live")
@@ -222,48 +255,53 @@ def eav_to_wide(links: DataFrame, attributes: DataFrame, terms: list[Term], most
     rows = rows.where("_kind is not null or _live")
     report = F.col("_kind").isNotNull()
     rows = rows.select("_e1", "_e2", "_t", "_multi", "_kind", F.when(report, F.col("_src")).alias("_src"), F.when(report, F.col("_row")).alias("_row"), F.when(report, F.col("_raw")).otherwise(F.coalesce("_value", "_raw")).alias("_value"), "_at")
-    is_large = F.lit(False)
-    if 0 < len(large) <= MOST_NAMED:
-        is_large = F.coalesce(F.col("_e1").isin([e for e, _ in large]), F.lit(False))
-    elif large:
-        rows = rows.join(splittable(large_rows, "_e1").select("_e1", "_e2", F.lit(True).alias("_is")), ["_e1", "_e2"], "left")
-        is_large = F.coalesce("_is", F.lit(False))
+
+    heavy = cut(attributes.where("rawid is not null").groupBy("rawid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows).select("rawid"))
+    hot = entities.where(F.col("n") > hot_rows).select("_e1", "_e2")
+    if heavy.limit(1).count():
+        hot = hot.unionByName(keyed.where("origin is not null").join(_bounded(heavy), "rawid", "left_semi").select("_e1", "_e2")).distinct()
+    hot = cut(hot)
+    any_hot = hot.limit(1).count() > 0
+    is_hot = F.lit(False)
+    if any_hot:
+        rows = rows.join(_bounded(splittable(hot, "_e1").withColumn("_is", F.lit(True))), ["_e1", "_e2"], "left")
+        is_hot = F.coalesce("_is", F.lit(False))
+    no_report = [F.lit(None).cast(k).alias(c) for c, k in (("_kind", "string"), ("_src", "string"), ("_row", "bigint"))]
     order = ["_e1", "_e2", "_t", "_kind", "_src", "_row", "_value", "_at"]
-    names = entities.select("_e1", "_e2", F.lit(-1).alias("_t"), *[F.lit(None).cast(k).alias(c) for c, k in (("_kind", "string"), ("_src", "string"), ("_row", "bigint"))], F.col("origin").alias("_value"), F.lit(0).cast("bigint").alias("_at"))
-    inline = rows.where(report | ~is_large).select(*order).unionByName(names)
-    if large:
-        # A large entity's values are combined before any shuffle by entity: the latest, or each different one. Columns of at
-        # most most_inline different values stay in the row.
-        values = rows.where(~report & is_large)
-        kinds = F.array(*[F.lit(t.type) for t in terms])
+    names = entities.select("_e1", "_e2", F.lit(_NAME).alias("_t"), no_report[0], no_report[1], F.col("_ordinal").alias("_row"), F.col("origin").alias("_value"), F.lit(0).cast("bigint").alias("_at"))
+    inline, more = rows.where(report | ~is_hot).select(*order).unionByName(names), None
+    if any_hot:
+        # The values of a hot entity are combined before any shuffle by entity: the latest, or each different one.
+        values = rows.where(~report & is_hot)
+        kinds = F.array(*[F.lit(t.type) for t in columns])
         rank = F.struct("_at", *[c.alias(n) for n, c in _cells(F.get(kinds, F.col("_t")), F.col("_value")).items()], "_value")
         latest = values.where("not _multi").groupBy("_e1", "_e2", "_t").agg(F.max(rank).alias("_m"))
-        report_cells = [F.lit(None).cast(k).alias(c) for c, k in (("_kind", "string"), ("_src", "string"), ("_row", "bigint"))]
-        latest = latest.select("_e1", "_e2", "_t", *report_cells, F.col("_m._value").alias("_value"), F.col("_m._at").alias("_at"))
+        latest = latest.select("_e1", "_e2", "_t", *no_report, F.col("_m._value").alias("_value"), F.col("_m._at").alias("_at"))
         different = cut(values.where("_multi").select("_e1", "_e2", "_t", "_value").distinct())
-        over = cut(different.groupBy("_e1", "_e2", "_t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_inline).select("_e1", "_e2", "_t"))
-        over = splittable(over, "_e1")
-        short = different.join(over, ["_e1", "_e2", "_t"], "left_anti").select("_e1", "_e2", "_t", *report_cells, "_value", F.lit(0).cast("bigint").alias("_at"))
+        over = cut(different.groupBy("_e1", "_e2", "_t").agg(F.sum(F.octet_length("_value")).alias("n")).where(F.col("n") > cell_bytes).select("_e1", "_e2", "_t"))
+        short = different
+        if over.limit(1).count():
+            over = _bounded(splittable(over, "_e1"))
+            short = different.join(over, ["_e1", "_e2", "_t"], "left_anti")
+            more = different.join(over, ["_e1", "_e2", "_t"], "left_semi").join(entities.select("_e1", "_e2", F.col("origin").alias("_entity")), ["_e1", "_e2"], "left")
+            more = more.withColumns({"_kind": F.lit("more"), "_src": F.lit(None).cast("string"), "_row": F.lit(None).cast("bigint"), "_at": F.lit(0).cast("bigint")})
+        short = short.select("_e1", "_e2", "_t", *no_report, "_value", F.lit(0).cast("bigint").alias("_at"))
         inline = inline.unionByName(latest).unionByName(short)
 
-    # Global ordinals: a bucket is a range of keys, so of bounded size; an ordinal is the bucket and the rank in it. All cells
-    # of an entity that are left are few, so none makes a bucket heavy.
-    bucket = F.when(report, F.pmod(F.xxhash64("_row"), F.lit(1 << bits))).otherwise(F.shiftright("_e1", 64 - bits))
-    inline = inline.repartition(bucket).sortWithinPartitions("_e1", "_e2")
-    stitch = _stitch(terms, schema, span, bits)
-    out = _typed(inline, terms, F.lit(None).cast("string")).mapInArrow(stitch, schema)
-    if large:
-        more = different.join(over, ["_e1", "_e2", "_t"], "left_semi")
-        named = F.broadcast(entities.where(is_large)) if len(large) <= MOST_NAMED else entities  # at most MOST_NAMED rows
-        more = more.join(named.select("_e1", "_e2", F.col("origin").alias("_entity")), ["_e1", "_e2"], "left")
-        more = more.withColumns({"_kind": F.lit("more"), "_src": F.lit(None).cast("string"), "_row": F.lit(None).cast("bigint"), "_at": F.lit(0).cast("bigint")})
-        out = out.unionByName(_typed(more, terms, F.col("_entity")).mapInArrow(stitch, schema))
+    # To the ranges of ordinals: a bucket is a range of keys, of which the ordinals are an ascending series; an entity's name,
+    # with its ordinal, sorts before its values. Reports need no order and are spread.
+    bucket = F.when(report, F.pmod(F.xxhash64("_row"), F.lit(1 << bits))).otherwise(of_key)
+    inline = inline.repartition(bucket).sortWithinPartitions("_e1", "_e2", "_t")
+    stitch = _stitch(terms, schema, span)
+    out = _typed(inline, columns, F.lit(None).cast("string")).mapInArrow(stitch, schema)
+    if more is not None:
+        out = out.unionByName(_typed(more, columns, F.col("_entity")).mapInArrow(stitch, schema))
     return out
 
 
-def _typed(cells: DataFrame, terms: list[Term], entity: Column) -> DataFrame:
+def _typed(cells: DataFrame, columns: list[Term], entity: Column) -> DataFrame:
     """Each cell's value in the column of its type."""
-    kinds = F.array(*[F.lit(t.type) for t in terms] or [F.lit("string")])
+    kinds = F.array(*[F.lit(t.type) for t in columns] or [F.lit("string")])
     kind, text = F.when(F.col("_kind").isNull() & (F.col("_t") >= 0), F.get(kinds, F.col("_t"))).otherwise("string"), F.col("_value")
     return cells.select("_e1", "_e2", "_at", "_kind", entity.alias("_entity"), "_src", "_row", "_t", *[v.alias(c) for c, v in _cells(kind, text).items()])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkframe.functions.canon import canon, canon_sql
 from linkframe.operators.orphans import orphan_references
 from linkframe.operators.tree_agg import frequent_keys, key_stats
-from linkframe.operators.widen import eav_to_wide, read_terms
+from linkframe.operators.widen import columns_of, eav_to_wide, read_terms
 from linkframe.schema import table
 
 
@@ -54,10 +54,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_wide(spark: SparkSession, d: str) -> DataFrame:
-    """The wide table in scalar columns: lists as text; the values that stand beside it as (entity, column, value), the other
-    columns null. ``column`` is null in the rows of the table."""
+    """The wide table, numbers as doubles and lists as text. The values of a list too large for a cell would stand beside it, a
+    row each as (entity, column, value); ``column`` is null in the rows of the table."""
     wide = _wide(spark, d).where("kind in ('row', 'more')").drop("kind", "ordinal", "src_table", "row_id")
-    return wide.select(*[F.array_join(F.transform(c, lambda x: x.cast("string")), "|").alias(c) if t.startswith("array") else F.col(c).cast("double").alias(c) if t.startswith("decimal") else c for c, t in wide.dtypes])
+    shown = lambda c, t: F.array_join(F.transform(c, lambda x: x.cast("string")), "|").alias(c) if t.startswith("array") else F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c)
+    return wide.select(*[shown(c, t) for c, t in wide.dtypes])
 
 
 def p5_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +67,7 @@ def p5_cells(spark: SparkSession, d: str) -> DataFrame:
     wide = eav_to_wide(table(spark, d, "relationship"), table(spark, d, "attribute"), terms)
     text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
     cells = []
-    for t in terms:
+    for t in columns_of(terms).values():
         v = F.col(f"`{t.column}`") if t.multi else F.array(f"`{t.column}`")
         numeric = t.type in ("integer", "decimal")
         cells.append(F.transform(v, _numbers(t.column, number, text) if numeric else _texts(t.column, number)))
@@ -110,6 +111,41 @@ CASE t.value_type WHEN 'integer' THEN NOT regexp_full_match(v, '[+-]?([0-9]+|[0-
   WHEN regexp_full_match(v, '[0-9]{8}') THEN try_cast(v[1:4] || '-' || v[5:6] || '-' || v[7:8] AS DATE)
   WHEN regexp_full_match(v, '[0-9]{1,2} [a-z]+ [0-9]{4}') THEN try_cast(try_strptime(v, '%d %B %Y') AS DATE) END IS NULL END
 """
+_P5 = f"""WITH n AS (SELECT {canon_sql("origin")} AS e, arg_max(origin, (-length(origin), origin)) AS entity FROM relationship GROUP BY 1),
+        r AS (SELECT *, {canon_sql("origin")} AS e FROM relationship WHERE deleted_at IS NULL),
+        x AS (SELECT e, 'rel' AS k, {canon_sql("rel")} AS term, target AS raw, recorded_at AS ts FROM r
+              UNION ALL SELECT r.e, 'attr', {canon_sql("name")}, value, a.recorded_at FROM attribute a JOIN r ON r.rawid = a.rawid WHERE value IS NOT NULL),
+        y AS (SELECT e, ts, t.col_name, t.value_type, t.is_multi, CASE WHEN t.value_type IN ('integer', 'decimal', 'date', 'boolean') THEN lower(regexp_replace(raw, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) ELSE raw END AS v
+              FROM x JOIN vocabulary t ON t.term_kind = x.k AND {canon_sql("t.term")} = x.term),
+        z AS (SELECT e, ts, col_name, is_multi, CASE WHEN value_type IN ('integer', 'decimal') THEN CASE WHEN regexp_full_match(v, '[+-]?([0-9]+|[0-9]{{1,3}}(,[0-9]{{3}})+)' || CASE value_type WHEN 'decimal' THEN '(\\.[0-9]+)?' ELSE '' END) THEN try_cast(replace(replace(v, ',', ''), '+', '') AS DOUBLE) END END AS number,
+              CASE value_type WHEN 'integer' THEN NULL WHEN 'decimal' THEN NULL WHEN 'date' THEN strftime({_DATE}, '%Y-%m-%d') WHEN 'boolean' THEN CASE WHEN v IN ('true', 'yes', '1') THEN 'true' WHEN v IN ('false', 'no', '0') THEN 'false' END ELSE v END AS text FROM y),
+        w AS (SELECT * FROM z WHERE number IS NOT NULL OR text IS NOT NULL),
+        v AS (SELECT DISTINCT e, col_name, text, number FROM w WHERE is_multi
+          UNION ALL SELECT e, col_name, arg_max(struct_pack(t := text), (ts, number, text)).t, arg_max(struct_pack(n := number), (ts, number, text)).n FROM w WHERE NOT is_multi GROUP BY e, col_name)
+"""
+
+
+def _wide_sql() -> dict[str, str]:
+    """The wide table in SQL: a column for each declared term, as the vocabulary of the test tables names them."""
+    try:
+        import duckdb
+    except ImportError:
+        return {}
+    try:
+        terms = duckdb.sql("SELECT DISTINCT col_name, value_type, is_multi FROM '/root/testdata/sf0.001/vocabulary.parquet' ORDER BY 1").fetchall()
+    except duckdb.IOException:
+        return {}
+    cols = []
+    for name, kind, multi in terms:
+        v = f"FILTER (v.col_name = '{name}')"
+        if multi:
+            cols.append(f"string_agg(text, '|' ORDER BY text) {v} AS \"{name}\"")
+        else:
+            cols.append(f"any_value({'number' if kind in ('integer', 'decimal') else 'text'}) {v}{'::' + kind.upper() if kind in ('date', 'boolean') else ''} AS \"{name}\"")
+    fixed = 'NULL::VARCHAR AS "column", NULL::VARCHAR AS "value"'
+    return {"p5_wide": _P5 + f"SELECT n.entity, {fixed}, {', '.join(cols)} FROM n LEFT JOIN v USING (e) GROUP BY n.e, n.entity"}
+
+
 ORACLE = {
     "p1_found": "SELECT rel FROM relationship GROUP BY rel HAVING count(*) >= 0.06 * (SELECT count(*) FROM relationship)",
     "p1_rel_stats": """SELECT s.*, r.origin AS latest_origin, r.target AS latest_target FROM
@@ -122,15 +158,6 @@ ORACLE = {
         y AS (SELECT src_table, row_id, k, term, lower(regexp_replace(value, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) AS v FROM x)
         SELECT src_table, row_id FROM y JOIN vocabulary t ON t.term_kind = y.k AND {canon_sql("t.term")} = y.term
         WHERE t.value_type IN ('integer', 'decimal', 'date', 'boolean') AND {_TYPED}""",
-    "p5_cells": f"""WITH n AS (SELECT {canon_sql("origin")} AS e, arg_min(origin, (length(origin), origin)) AS entity FROM relationship GROUP BY 1),
-        r AS (SELECT *, {canon_sql("origin")} AS e FROM relationship WHERE deleted_at IS NULL),
-        x AS (SELECT e, 'rel' AS k, {canon_sql("rel")} AS term, target AS raw, recorded_at AS ts FROM r
-              UNION ALL SELECT r.e, 'attr', {canon_sql("name")}, value, a.recorded_at FROM attribute a JOIN r ON r.rawid = a.rawid WHERE value IS NOT NULL),
-        y AS (SELECT e, ts, t.col_name, t.value_type, t.is_multi, CASE WHEN t.value_type IN ('integer', 'decimal', 'date', 'boolean') THEN lower(regexp_replace(raw, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) ELSE raw END AS v
-              FROM x JOIN vocabulary t ON t.term_kind = x.k AND {canon_sql("t.term")} = x.term),
-        z AS (SELECT e, ts, col_name, is_multi, CASE WHEN value_type IN ('integer', 'decimal') THEN CASE WHEN regexp_full_match(v, '[+-]?([0-9]+|[0-9]{{1,3}}(,[0-9]{{3}})+)' || CASE value_type WHEN 'decimal' THEN '(\\.[0-9]+)?' ELSE '' END) THEN try_cast(replace(replace(v, ',', ''), '+', '') AS DOUBLE) END END AS number,
-              CASE value_type WHEN 'integer' THEN NULL WHEN 'decimal' THEN NULL WHEN 'date' THEN strftime({_DATE}, '%Y-%m-%d') WHEN 'boolean' THEN CASE WHEN v IN ('true', 'yes', '1') THEN 'true' WHEN v IN ('false', 'no', '0') THEN 'false' END ELSE v END AS text FROM y),
-        w AS (SELECT * FROM z WHERE number IS NOT NULL OR text IS NOT NULL)
-        SELECT n.entity, w.col_name AS "column", text, number FROM (SELECT DISTINCT e, col_name, text, number FROM w WHERE is_multi
-          UNION ALL SELECT e, col_name, arg_max(struct_pack(t := text), (ts, number, text)).t, arg_max(struct_pack(n := number), (ts, number, text)).n FROM w WHERE NOT is_multi GROUP BY e, col_name) w JOIN n USING (e)""",
+    "p5_cells": _P5 + """SELECT n.entity, v.col_name AS "column", text, number FROM v JOIN n USING (e)""",
 }
+ORACLE |= _wide_sql()

@@ -41,7 +41,7 @@ def test_key_stats_brute_force(spark):
 def test_key_stats_nulls_ties_empty(spark):
     data = [(1, "a", None, "x", T0, None, "e"), (2, None, None, None, T0, None, "e"), (3, "a", "", "x", None, None, None), (4, "a", "", "y" * 100_000, T1, None, None), (4, "a", "", "x", T1, None, None)]
     got = {r.rel: tuple(r)[1:] for r in key_stats(spark.createDataFrame(data, LINKS)).collect()}
-    assert got == {None: (2, 1, 1, 2), "": (3, 1, 2, 4)}
+    assert got == {None: (2, 1, 1, 2, None, None), "": (3, 1, 2, 4, "a", "y" * 100_000)}
     assert key_stats(spark.createDataFrame([], LINKS)).count() == 0
     assert frequent_keys(spark.createDataFrame([], LINKS), 0.06).count() == 0
     assert rows(frequent_keys(spark.createDataFrame(data, LINKS), 0.6).select("rel")) == [("",)]
@@ -94,22 +94,40 @@ def test_wide_small(spark):
     assert len({r.ordinal for r in wide if r.kind == "row"}) == 3
 
 
-def test_wide_large_entity_and_empty(spark):
-    links = [(i, "A", "m", f"v{i % 40}", T0, None, "x") for i in range(60)] + [(100 + i, "A", "n", str(i), datetime(2022, 1, 1 + i), None, "x") for i in range(9)] + [(200, "B", "m", "w", T0, None, "x")]
-    attrs = spark.createDataFrame([], ATTRS)
-    wide = eav_to_wide(spark.createDataFrame(links, LINKS), attrs, TERMS, most_inline=20).collect()
+LARGE = [(i, "A", "m", f"v{i % 40}", T0, None, "x") for i in range(60)] + [(100 + i, "A", "n", str(i), datetime(2022, 1, 1 + i), None, "x") for i in range(9)] + [(200, "B", "m", "w", T0, None, "x"), (300, "A", "i", "5", T0, None, "x"), (301, "A", "i", "4", T0, None, "x")]
+
+
+@pytest.mark.parametrize("hot_rows", [1, 20, 10**9])
+def test_wide_hot_entities_change_nothing(spark, hot_rows):
+    attrs = spark.createDataFrame([(i, 5, "c", str(i), datetime(2022, 1, 1 + i), "x") for i in range(25)], ATTRS)
+    wide = eav_to_wide(spark.createDataFrame(LARGE, LINKS), attrs, TERMS, hot_rows=hot_rows).collect()
+    got = {r.entity: r for r in wide}
+    assert len(wide) == 2 and got["A"].many == sorted(f"v{i}" for i in range(40)) and got["A"].num == 8 and got["A"]["w_kind"] == 24 and got["B"].many == ["w"] and got["A"].ints == [Decimal(4), Decimal(5)]
+    assert eav_to_wide(spark.createDataFrame([], LINKS), attrs, TERMS, hot_rows=hot_rows).where("kind = 'row'").count() == 0
+
+
+def test_wide_lists_beyond_a_cell_stand_beside(spark):
+    wide = eav_to_wide(spark.createDataFrame(LARGE, LINKS), spark.createDataFrame([], ATTRS), TERMS, cell_bytes=100, hot_rows=20).collect()
     got = {r.entity: r for r in wide if r.kind == "row"}
-    assert got["A"].many is None and got["A"].num == 8 and got["B"].many == ["w"]
-    assert sorted(r.value for r in wide if r.kind == "more") == sorted(f"v{i}" for i in range(40)) and {r.entity for r in wide if r.kind == "more"} == {"A"}
-    assert eav_to_wide(spark.createDataFrame([], LINKS), attrs, TERMS).count() == 0
+    assert got["A"].many is None and got["A"].ints == [Decimal(4), Decimal(5)] and got["B"].many == ["w"]
+    assert sorted(r.value for r in wide if r.kind == "more") == sorted(f"v{i}" for i in range(40)) and {(r.entity, r.column) for r in wide if r.kind == "more"} == {("A", "many")}
 
 
-def test_wide_short_lists_of_a_large_entity_stay(spark):
-    links = [(i, "A", "m", f"v{i}", T0, None, "x") for i in range(30)] + [(100, "A", "i", "5", T0, None, "x"), (101, "A", "i", "4", T0, None, "x")]
-    wide = eav_to_wide(spark.createDataFrame(links, LINKS), spark.createDataFrame([], ATTRS), TERMS, most_inline=20).collect()
-    (row,) = [r for r in wide if r.kind == "row"]
-    assert row.many is None and row.ints == [Decimal(4), Decimal(5)]
-    assert {(r.column, r.value) for r in wide if r.kind == "more"} == {("many", f"v{i}") for i in range(30)} and len(wide) == 31
+def test_ordinals_are_unique_and_ranges_whole(spark):
+    links = [(i, f"e{i % 700}", "n", str(i), T0, None, "x") for i in range(1400)]
+    parts = eav_to_wide(spark.createDataFrame(links, LINKS), spark.createDataFrame([], ATTRS), TERMS, span=16).selectExpr("ordinal", "spark_partition_id() as p").collect()
+    assert len({r.ordinal for r in parts}) == len(parts) == 700
+    assert len({(r.ordinal // 16, r.p) for r in parts}) == len({r.ordinal // 16 for r in parts})
+
+
+def test_terms_share_a_column(spark):
+    voc = "term string, term_kind string, col_name string, value_type string, is_multi boolean"
+    terms = read_terms(spark.createDataFrame([("n", "rel", "num", "integer", False), ("nn", "rel", "num", "integer", False), ("c", "attr", "num", "integer", False)], voc))
+    links = [(1, "A", "n", "1", T0, None, "x"), (2, "A", "nn", "2", T1, None, "x"), (3, "B", "nn", "5", T0, None, "x"), (4, "C", "n", "6", T0, None, "x")]
+    got = eav_to_wide(spark.createDataFrame(links, LINKS), spark.createDataFrame([(1, 4, "c", "7", T2, "x")], ATTRS), terms).collect()
+    assert {r.entity: r.num for r in got} == {"A": 2, "B": 5, "C": 7}
+    with pytest.raises(ValueError):
+        eav_to_wide(spark.createDataFrame(links, LINKS), spark.createDataFrame([], ATTRS), [*terms, Term("x", "rel", "num", "string", False)])
 
 
 def test_p5_wide_has_every_value(spark, tmp_path):
@@ -118,14 +136,14 @@ def test_p5_wide_has_every_value(spark, tmp_path):
     tables["vocabulary"] = spark.createDataFrame([(t.term, t.kind, t.column, t.type, t.multi) for t in TERMS], "term string, term_kind string, col_name string, value_type string, is_multi boolean")
     for name, df in tables.items():
         df.write.parquet(str(tmp_path / f"{name}.parquet"))
-    got = p5_wide(spark, str(tmp_path)).collect()
-    assert {(r.entity, r.many, r.ints) for r in got if r.column is None} == {("A", None, "5"), ("B", "w", None)}
-    assert sorted(r.value for r in got if r.column == "many" and r.entity == "A") == sorted(f"v{i}" for i in range(1001)) and len(got) == 1003
+    got = {r.entity: r for r in p5_wide(spark, str(tmp_path)).collect()}
+    assert set(got) == {"A", "B"} and got["A"].ints == "5" and got["B"].many == "w"
+    assert got["A"].many == "|".join(sorted(f"v{i}" for i in range(1001)))
 
 
 def test_wide_brute_force(spark):
     links, attrs, terms = table(spark, SF, "relationship"), table(spark, SF, "attribute"), read_terms(table(spark, SF, "vocabulary"))
-    wide = {r.entity: r for r in eav_to_wide(links, attrs, terms, most_inline=10**9, span=16).where("kind = 'row'").collect()}
+    wide = {r.entity: r for r in eav_to_wide(links, attrs, terms).where("kind = 'row'").collect()}
     by = {canon_text(t.term): t for t in terms if t.kind == "rel"}
     names, many, one = defaultdict(set), defaultdict(set), {}
     for r in links.collect():
@@ -140,7 +158,7 @@ def test_wide_brute_force(spark):
             one[k, t.column] = max(one.get((k, t.column), (datetime.min, "")), (r.recorded_at, r.target))
     assert len(wide) == len(names)
     for k, spelled in names.items():
-        r = wide[min(spelled, key=lambda s: (len(s), s))]
+        r = wide[max(spelled, key=lambda s: (-len(s), s))]
         for t in by.values():
             if t.type in ("string", "iri"):
                 assert r[t.column] == (sorted(many[k, t.column]) or None if t.multi else one.get((k, t.column), (0, None))[1]), (k, t)
