@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkframe.functions.canon import canon, canon_fields
-from linkframe.schema import cut, splittable
+from linkframe.schema import cut, shared_dir, splittable
 
 PAGE_BITS = 1 << 16
 PAGE_BYTES = PAGE_BITS // 8
@@ -101,12 +101,17 @@ def _merge(group: pd.DataFrame) -> pd.DataFrame:
 def repeated_filter(hashes: DataFrame, pages: int, fan_in: int = 128) -> np.ndarray:
     """The merged filter of hashes seen again, of ``pages * PAGE_BYTES`` bytes. ``hashes`` has one bigint column.
 
-    Pages are merged in rounds of ``fan_in`` partitions, so no task holds more than that many partial pages."""
+    Pages are merged in rounds of ``fan_in`` partitions, as many as there must be, so no task holds more than that many
+    partial pages."""
+    chunks = hashes.rdd.getNumPartitions()
     parts = hashes.mapInArrow(_build(pages), _PAGES)
-    parts = parts.withColumn("chunk", F.floor(F.col("chunk") / fan_in).cast("int")).groupBy("page", "chunk").applyInPandas(_merge, _PAGES)
-    merged = parts.withColumn("chunk", F.lit(0)).groupBy("page", "chunk").applyInPandas(_merge, _PAGES).select("page", "again")
+    while True:
+        parts = parts.withColumn("chunk", F.floor(F.col("chunk") / fan_in).cast("int")).groupBy("page", "chunk").applyInPandas(_merge, _PAGES)
+        chunks = -(-chunks // fan_in)
+        if chunks <= 1:
+            break
     bitmap = np.zeros((pages, PAGE_BYTES), np.uint8)
-    for r in merged.toLocalIterator(prefetchPartitions=True):  # of bounded size: the filter of one pass
+    for r in parts.select("page", "again").toLocalIterator(prefetchPartitions=True):  # of bounded size: the filter of one pass
         bitmap[r.page] = _unpack(bytes(r.again))
     return bitmap.ravel()
 
@@ -130,15 +135,25 @@ def link_key(origin: str = "origin", rel: str = "rel", target: str = "target", l
     return F.concat_ws("\x1e", *[F.coalesce(p, F.lit("\x00")) for p in parts])
 
 
+def hash_ranges(passes: int) -> list[tuple[int, int]]:
+    """Bounds, both within, of so many nearly equal parts of the 64-bit hashes."""
+    edges = [-(1 << 63) + (p << 64) // passes for p in range(passes + 1)]
+    return [(a, b - 1) for a, b in zip(edges, edges[1:])]
+
+
 def collapse(rows: DataFrame, key: Column, row_id: str, bits_per_row: int = 12, filter_bytes: int = 64 << 20) -> DataFrame:
     """``rows`` with ``first_id``, the least ``row_id`` of the row's group of equal ``key``, and ``n_copies``, the rows of
     that group. Rows of ``n_copies`` 1 never left their task.
 
     The filter takes ``bits_per_row`` bits a row; where that is more than ``filter_bytes`` (the bound of what is sent to
-    every executor), the hashes are taken in as many passes, each over its own part of the hash space. A false positive
-    costs a shuffled row, never a wrong group. A group of any size is combined before the shuffle and joined back with
-    adaptive skew handling. Columns of ``rows`` called ``first_id`` or ``n_copies`` are replaced, all others kept. Null ids are allowed but never the first unless all of a group are null; an empty table gives
-    an empty result.
+    every executor), the hashes are taken in as many passes, each over its own range of them. The rows are written once with
+    their hash, sorted by it within each file if there are several passes, so a pass reads its own part of every file; a
+    pass writes its rows with what the filter says, and its filter is destroyed before the next, so one is alive at a time.
+    The plan of the result does not depend on the passes. A false positive costs a shuffled row, never a wrong group. A
+    group of any size is combined before the shuffle and joined back with adaptive skew handling.
+
+    Columns of ``rows`` called ``first_id`` or ``n_copies`` are replaced, all others kept. Null ids are allowed but never the
+    first unless all of a group are null; an empty table gives an empty result.
     """
     spark = rows.sparkSession
     own = "_c"
@@ -149,18 +164,19 @@ def collapse(rows: DataFrame, key: Column, row_id: str, bits_per_row: int = 12,
     total = max(1, -(-n * bits_per_row // PAGE_BITS))
     passes = max(1, -(-total * PAGE_BYTES // filter_bytes))
     pages = -(-total // passes)
-    keyed = rows.drop("first_id", "n_copies").withColumn(k, key)
-    keyed = keyed.withColumn(h, F.xxhash64(k))
-    if passes > 1:
-        keyed = cut(keyed)
-    out = None
-    for p in range(passes):
-        part = keyed.where(F.pmod(F.shiftright(h, 3), F.lit(passes)) == p) if passes > 1 else keyed
+    hashed = rows.drop("first_id", "n_copies").withColumn(h, F.xxhash64(key))
+    hashed = cut(hashed.sortWithinPartitions(h) if passes > 1 else hashed)
+    path = shared_dir(spark)
+    for p, (least, most) in enumerate(hash_ranges(passes)):
+        part = hashed.where(F.col(h).between(least, most)) if passes > 1 else hashed
         seen = spark.sparkContext.broadcast(repeated_filter(part.select(h), pages).tobytes())
-        part = part.withColumn(maybe_, F.pandas_udf(_probe(seen, pages), "boolean")(h))
-        single = part.where(~F.col(maybe_)).drop(maybe_, k, h).withColumns({"first_id": F.col(row_id), "n_copies": F.lit(1).cast("bigint")})
-        maybe = part.where(F.col(maybe_)).drop(maybe_, h)
-        groups = maybe.groupBy(k).agg(F.min(row_id).alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
-        both = single.unionByName(maybe.join(splittable(groups, k), k).drop(k))
-        out = both if out is None else out.unionByName(both)
-    return out
+        probed = part.withColumn(maybe_, F.pandas_udf(_probe(seen, pages), "boolean")(h)).drop(h)
+        probed = probed.withColumn(k, F.when(F.col(maybe_), key))
+        probed.write.mode("append").parquet(path)
+        schema = probed.schema
+        seen.destroy()
+    probed = spark.read.schema(schema).parquet(path)
+    single = probed.where(~F.col(maybe_)).drop(maybe_, k).withColumns({"first_id": F.col(row_id), "n_copies": F.lit(1).cast("bigint")})
+    maybe = probed.where(F.col(maybe_)).drop(maybe_)
+    groups = maybe.groupBy(k).agg(F.min(row_id).alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
+    return single.unionByName(maybe.join(splittable(groups, k), k).drop(k))

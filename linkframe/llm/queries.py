@@ -15,12 +15,14 @@ from linkframe.schema import table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return collapse(table(spark, d, "relationship"), link_key(), "rawid").where("rawid <> first_id").select(F.col("first_id").alias("first_rawid"), "rawid")
+    links = table(spark, d, "relationship").select("rawid", "origin", "rel", "target")
+    return collapse(links, link_key(), "rawid").where("rawid <> first_id").select(F.col("first_id").alias("first_rawid"), "rawid")
 
 
 def p2_links(spark: SparkSession, d: str) -> DataFrame:
     """One link each, in the form of its first row, with the number of its copies."""
-    return collapse(table(spark, d, "relationship"), link_key(), "rawid").where("rawid = first_id").select("rawid", "origin", "rel", "target", "n_copies")
+    links = table(spark, d, "relationship").select("rawid", "origin", "rel", "target")
+    return collapse(links, link_key(), "rawid").where("rawid = first_id").select("rawid", "origin", "rel", "target", "n_copies")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

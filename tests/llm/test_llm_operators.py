@@ -51,6 +51,37 @@ def test_collapse_brute_force(spark, filter_bytes):
     assert got.columns[: len(links.columns)] == links.columns
 
 
+def test_collapse_in_passes(spark, monkeypatch):
+    """Several passes give what one gives, in a plan of the same size; each reads its own range of hashes, and its filter is
+    destroyed before the next is made."""
+    links = table(spark, "/root/testdata/sf0.01", "relationship").select("rawid", "origin", "rel", "target")
+    alive, most, counts = set(), [], []
+    make, real = type(spark.sparkContext).broadcast, duplicates.repeated_filter
+
+    def broadcast(sc, value):
+        b = make(sc, value)
+        alive.add(id(b))
+        most.append(len(alive))
+        destroy = b.destroy
+        b.destroy = lambda: (alive.discard(id(b)), destroy())
+        return b
+
+    def counted(hashes, pages, fan_in=128):
+        counts.append(hashes.count())
+        return real(hashes, pages, 3)
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    monkeypatch.setattr(duplicates, "repeated_filter", counted)
+    plans, got = [], []
+    for filter_bytes in (64 << 20, 8192):
+        out = duplicates.collapse(links, duplicates.link_key(), "rawid", filter_bytes=filter_bytes)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+        got.append(sorted(map(tuple, out.select("rawid", "first_id", "n_copies").collect())))
+    assert got[0] == got[1] and len(got[0]) == 15_000 and plans[0] == plans[1]
+    assert len(most) == 4 and set(most) == {1} and not alive
+    assert counts[0] == sum(counts[1:]) == 15_000 and len(counts) == 4 and all(counts)
+
+
 def test_collapse_awkward(spark):
     data = [(1, "a", "x", None), (2, "A!", "X", None), (3, "a", "x", ""), (4, None, None, None), (5, None, None, None), (6, "a", "extent", "p=1; q=2"), (7, "a", "EXTENT", "Q: 2 | P: 1"), (8, "a", "extent", "p=2; q=1"), (9, "z" * 100_000, "x", "y"), (9, "Z" * 100_000, "x", "y")]
     df = spark.createDataFrame([(*d, "k", 1) for d in data], LINKS).withColumns({"_hash": F.lit(1), "_ckey": F.lit(2), "_maybe": F.lit(3)})
