@@ -12,11 +12,10 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from linkframe.schema import cut, splittable
+from linkframe.schema import cut, shuffle_partitions, splittable
 
 # Short forms of given names.
 NICKNAMES = {
@@ -39,6 +38,9 @@ PUBLISHER_WORDS = {
 PUBLISHER_STOP = set("the of by and und et co inc ltd limited gmbh kg s a sa messrs company llc corp plc ag".split())
 SHORT_WORDS = {"ppr": "paper"}
 
+#: A spelling in several forms follows another only if that one stands in so many times as many.
+RARER = 8
+
 FORMAL = {short: formal for formal, shorts in NICKNAMES.items() for short in shorts.split()}
 GIVEN = set(NICKNAMES) | set(FORMAL)
 KIND = {w: k for k, ws in PUBLISHER_WORDS.items() for w in ws.split()}
@@ -83,47 +85,6 @@ def allowed(*lengths: int) -> int:
     return 2 if n >= 7 else 1 if n >= 4 else 0
 
 
-def cuts(n: int, parts: int) -> list[tuple[int, int]]:
-    """Segments (start, length) of a string of length n, nearly equal."""
-    size, more = divmod(n, parts)
-    out, at = [], 0
-    for i in range(parts):
-        length = size + (i >= parts - more)
-        out.append((at, length))
-        at += length
-    return out
-
-
-def index_keys(block: str, s: str, k: int) -> list[str]:
-    return [f"{block}\x1f{len(s)}\x1f{i}\x1f{s[p : p + n]}" for i, (p, n) in enumerate(cuts(len(s), k + 1))]
-
-
-def probe_keys(block: str, s: str, k: int) -> list[str]:
-    """Keys of strings not longer than s that are at most k edits away: each segment at its place, shifted as far as the
-    edits left allow. A swap across the border of two segments would spoil both; so each substring is also looked up
-    with its first or last character taken from beyond the border, as such a swap leaves it."""
-    out, size = set(), len(s)
-    for n in range(max(1, size - k), size + 1):
-        longer = size - n
-        for i, (p, length) in enumerate(cuts(n, k + 1)):
-            if length == 0:
-                out.add(f"{block}\x1f{n}\x1f{i}\x1f")
-                continue
-            for shift in range(-((k - longer) // 2), (k + longer) // 2 + 1):
-                a = p + shift
-                b = a + length
-                if a < 0 or b > size:
-                    continue
-                t = s[a:b]
-                forms = {t}
-                if a > 0:
-                    forms.add(s[a - 1] + t[1:])
-                if b < size:
-                    forms |= {f[:-1] + s[b] for f in forms}
-                out.update(f"{block}\x1f{n}\x1f{i}\x1f{f}" for f in forms)
-    return list(out)
-
-
 def read_author(name: str) -> tuple[str, str, str, bool] | None:
     """(surname, given, further initials, sure), all folded; sure: which part is the surname follows from the form. Given
     is one letter where only an initial stands. None where no name can be read or no one is meant."""
@@ -236,49 +197,101 @@ def _oriented(names: DataFrame) -> DataFrame:
     return names.where("sure or given = ''").select("name", "surname", "given", "more").unionByName(open_)
 
 
-def _keys(fn, k: int):
-    def run(block: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([fn(b, x, k) for b, x in zip(block, s)])
+def _allowed(n: Column) -> Column:
+    """``allowed`` of one length."""
+    return F.when(n >= 7, 2).when(n >= 4, 1).otherwise(0)
+
+
+def _segments(n: Column, k: Column) -> Column:
+    """The k+1 nearly equal segments of a text of length n, as (i, at, size); of seven letters or more three, of four or more
+    two, so none is shorter than two letters, and shorter texts are one."""
+    parts = k + 1
+    size, late = F.floor(n / parts).cast("int"), parts - n % parts  # the segments from number ``late`` on have one letter more
+    return F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(i.alias("i"), (i * size + F.greatest(F.lit(0), i - late)).alias("at"), (size + F.when(i >= late, 1).otherwise(0)).alias("size")))
+
+
+def _letters(text: Column, at: Column, size: Column) -> Column:
+    return F.substring(text, at + 1, size)
+
+
+def index_keys(block: Column, text: Column, most: int) -> Column:
+    """Keys of the segments of a text: block, length of the text, number of the segment, letters. ``most``: edits looked for;
+    a text allows no more than its length does."""
+    n = F.length(text)
+    k = F.least(F.lit(most), _allowed(n))
+    return F.transform(_segments(n, k), lambda s: F.xxhash64(block, n, s.i, _letters(text, s["at"], s.size)))
+
 
-    return F.pandas_udf(run, T.ArrayType(T.StringType()))
+def probe_keys(block: Column, text: Column, most: int) -> Column:
+    """Keys of texts not longer than this one that it is as few edits from as they allow: each segment of a text of that
+    length at its place, shifted as far as the edits left allow. A swap across the border of two segments would spoil both;
+    so each substring is also looked up with its first or last letter taken from beyond the border, as such a swap leaves it."""
+    size, found = F.length(text), []
+    none = F.expr("cast(array() as array<bigint>)")
+    for longer in range(most + 1):
+        n = size - longer
+        k = F.least(F.lit(most), _allowed(n))
+        left, right = -F.floor((k - longer) / 2).cast("int"), F.floor((k + longer) / 2).cast("int")
 
+        def key(s, t, n=n):
+            return F.xxhash64(block, n, s.i, t)
 
-def segment_join(nodes: DataFrame, k: int, payload: list[str]) -> DataFrame:
-    """Pairs of ``nodes`` (block, text and ``payload``) of equal block whose texts share a segment as at most k edits
-    leave one: candidates, each pair once or more. Columns ``a_*`` are of the longer text, or of equal length."""
-    a = nodes.select(F.explode(_keys(probe_keys, k)("block", "text")).alias("key"), *[F.col(c).alias(f"a_{c}") for c in ["text", *payload]]).withColumn("key", F.xxhash64("key"))
-    b = nodes.select(F.explode(_keys(index_keys, k)("block", "text")).alias("key"), *[F.col(c).alias(f"b_{c}") for c in ["text", *payload]]).withColumn("key", F.xxhash64("key"))
-    near = F.expr(f"levenshtein(a_text, b_text, {2 * k})") >= 0  # a swap counts twice there
-    return a.join(b, "key").where(near).drop("key")
+        def forms(s, shift, key=key):
+            a, b = s["at"] + shift, s["at"] + shift + s.size
+            t = _letters(text, a, s.size)
+            first, last = F.when(a > 0, _letters(text, a - 1, F.lit(1))), F.when(b < size, _letters(text, b, F.lit(1)))
+            inner, begin = _letters(text, a + 1, s.size - 1), _letters(text, a, s.size - 1)
+            swapped = [F.concat(first, inner), F.concat(begin, last), F.when(s.size > 1, F.concat(first, _letters(text, a + 1, s.size - 2), last))]
+            whole = F.array(key(s, t), *[F.when(x.isNotNull(), key(s, x)) for x in swapped])
+            return F.when((a >= 0) & (b <= size), F.filter(whole, lambda x: x.isNotNull())).otherwise(none)
 
+        keys = F.flatten(F.transform(_segments(n, k), lambda s: F.flatten(F.transform(F.sequence(left, right), lambda d: forms(s, d)))))
+        found.append(F.when((n > 0) & (longer <= k), keys).otherwise(none))
+    return F.array_distinct(F.concat(*found))
 
-def _verified(kind: str):
-    def run(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        """a, b: surnames; x, y: given names, or kinds of publisher."""
-        out = []
-        for s, t, g, h in zip(a, b, x, y):
-            most = allowed(len(s), len(t))
-            d = edits(s, t, most)
-            ok = d <= most
-            if ok and kind == "author" and g != h:
-                if min(len(g), len(h)) > 1:
-                    both = g in GIVEN and h in GIVEN
-                    ok = not both and d + edits(g, h, min(allowed(len(g), len(h)), 2 - d)) <= min(2, d + allowed(len(g), len(h)))
-                    ok = ok and not (g + h).isspace()
-                else:
-                    ok = g[:1] == h[:1]
-            out.append(ok)
-        return pd.Series(out)
 
-    return F.pandas_udf(run, "boolean")
+def segment_join(probes: DataFrame, index: DataFrame, most: int, blocks: bool = True) -> DataFrame:
+    """Pairs (a_text, b_text, block) of ``probes`` and ``index`` (text, and block if ``blocks``), of which the first is the longer or of equal length,
+    that are at most as many edits apart as both lengths and ``most`` allow; equal texts among them. Both sides should be
+    distinct. Candidates are pairs that share a segment; each is verified."""
+    spread = lambda df: df.select("text", (F.col("block") if blocks else F.lit("")).alias("block")).repartition(shuffle_partitions(df.sparkSession))  # noqa: E731 - a small table may be one file, its keys are many
+    keyed = lambda df, keys, x: spread(df).withColumn("key", F.explode(keys(F.col("block"), F.col("text"), most))).select("key", F.col("text").alias(f"{x}_text"), F.col("block").alias(f"{x}_block"))
+    a, b = keyed(probes, probe_keys, "a"), keyed(index, index_keys, "b")
+    near = a.join(b, "key").where((F.col("a_block") == F.col("b_block")) & (F.expr(f"levenshtein(a_text, b_text, {2 * most})") >= 0))  # a swap counts twice there
+    near = near.select("a_text", "b_text", F.col("a_block").alias("block")).distinct()
+    limit = F.least(F.lit(most), _allowed(F.least(F.length("a_text"), F.length("b_text"))))
+    near = near.withColumn("most", limit).withColumn("sure", F.expr("levenshtein(a_text, b_text)") <= limit)
+    # Only where swaps must count once is the banded distance taken, outside of the JVM.
+    close = near.where("sure").unionByName(near.where("not sure").where(_within("a_text", "b_text", "most")))
+    return close.select("a_text", "b_text", *(["block"] if blocks else []))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _within(a: str, b: str, most: str) -> Column:
+    """Whether two texts are at most ``most`` edits apart, a swap of neighbours being one."""
+
+    def run(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
+        return pd.Series([edits(s, t, m) <= m for s, t, m in zip(a, b, most)], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")(a, b, most)
+
+
+def near_texts(texts: DataFrame, most: int, blocks: bool = True) -> DataFrame:
+    """(a_text, b_text[, block]): pairs of different ``texts`` (text[, block]) near each other, each once, in one order of the two."""
+    return segment_join(texts, texts, most, blocks).where("a_text <> b_text")
+
+
+def _both_ways(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    swap = {x: y for a, b in pairs for x, y in ((a, b), (b, a))}
+    return df.unionByName(df.select(*[F.col(swap.get(c, c)).alias(c) for c in df.columns]))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected component, for nodes that have an edge (a, b). Least labels spread
-    along edges and jump to the label of their label, so a chain halves every round; each round is a written table."""
+    along edges and jump to the label of their label, so a chain halves every round; each round is a written table, and the
+    rounds end when no label moves (labels only become less, so they do)."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = label.join(near, "node", "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
         jump = step.join(step.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left")
@@ -287,87 +300,113 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         label = new.select("node", "root")
         if not moved:
             return label
-    raise RuntimeError("components did not settle")
 
 
 def _parents(pairs: DataFrame) -> DataFrame:
     """(a, b): every name with a better one near it and the nearest of these. A misspelling is made once, on one form of a
-    name, so a spelling that stands in several forms (reordered, abbreviated, in capitals) is no misspelling: two such
-    are two names, however near, and nothing between them joins them, as each name follows one other only."""
+    name, so a spelling that stands in several forms (reordered, abbreviated, in capitals) is a name of its own unless the
+    other is far more common (RARER times): two such are two names, however near, and nothing between them joins them, as
+    each name follows one other only."""
     d = F.expr("levenshtein(a_text, b_text) + levenshtein(a_given, b_given)")
-    both = None
-    for x, y in (("a", "b"), ("b", "a")):
-        side = pairs.select(F.col(x).alias("a"), F.col(y).alias("b"), F.col(f"{x}_forms").alias("fa"), F.col(f"{y}_forms").alias("fb"), d.alias("d"))
-        both = side if both is None else both.unionByName(side)
-    up = both.where("not (fa > 1 and fb > 1) and (fb > fa or (fb = fa and b < a))")
-    return up.groupBy("a").agg(F.min_by("b", F.struct("d", -F.col("fb"), "b")).alias("b"))
+    both = _both_ways(pairs.withColumn("d", d), ("a", "b"), ("a_forms", "b_forms"), ("a_text", "b_text"), ("a_given", "b_given"))
+    up = both.where(f"not (a_forms > 1 and b_forms > 1 and b_forms < {RARER} * a_forms) and (b_forms > a_forms or (b_forms = a_forms and b < a))")
+    return up.groupBy("a").agg(F.min_by("b", F.struct("d", -F.col("b_forms"), "b")).alias("b"))
+
+
+def _full_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): full names (text, given, node) that may be one person: the same given name and surnames as many edits apart as
+    their length allows, or at most one edit in the surname and the rest of two in the given name."""
+    same = near_texts(nodes.select("text", F.col("given").alias("block")).distinct(), 2).withColumnRenamed("block", "given")
+    side = lambda x: nodes.select(F.col("text").alias(f"{x}_text"), F.col("given").alias(f"{x}_given"), F.col("node").alias(x))
+    same = same.join(side("a").withColumnRenamed("a_given", "given"), ["a_text", "given"]).join(side("b").withColumnRenamed("b_given", "given"), ["b_text", "given"]).select("a", "b")
+    texts = nodes.select("text").distinct()
+    close = near_texts(texts, 1, False)
+    close = close.unionByName(texts.select(F.col("text").alias("a_text"), F.col("text").alias("b_text")))
+    other = close.join(side("a"), "a_text").join(side("b"), "b_text").where("a_given <> b_given and levenshtein(a_given, b_given, 4) >= 0")
+    # Two known given names are two persons, however alike. An edit in the surname leaves one for the given name.
+    known = F.broadcast(nodes.sparkSession.createDataFrame([(g,) for g in sorted(GIVEN)], "g string"))
+    for x in "ab":
+        other = other.join(known.withColumnRenamed("g", f"{x}_g"), F.col(f"{x}_given") == F.col(f"{x}_g"), "left")
+    left = F.least(_allowed(F.least(F.length("a_given"), F.length("b_given"))), F.when(F.col("a_text") == F.col("b_text"), 2).otherwise(1))
+    other = other.where("a_g is null or b_g is null").withColumn("most", left).where(_within("a_given", "b_given", "most"))
+    return same.unionByName(other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def _initial_pairs(nodes: DataFrame) -> DataFrame:
+    """(i, p): names of an initial (given of one letter) and the names, full or not, of that first letter and a surname as near
+    as its length allows."""
+    first = nodes.withColumn("block", F.substring("given", 1, 1))
+    short, every = first.where("length(given) = 1"), first
+    s, e = short.select("text", "block").distinct(), every.select("text", "block").distinct()
+    pairs = segment_join(s, e, 2).select("block", F.col("a_text").alias("it"), F.col("b_text").alias("pt"))
+    pairs = pairs.unionByName(segment_join(e, s, 2).select("block", F.col("b_text").alias("it"), F.col("a_text").alias("pt"))).distinct()
+    out = pairs.join(short.select("block", F.col("text").alias("it"), F.col("node").alias("i")), ["block", "it"])
+    return out.join(every.select("block", F.col("text").alias("pt"), F.col("node").alias("p")), ["block", "pt"]).where("i <> p").select("i", "p")
+
+
+def _detailed(pairs: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Pairs of nodes with what is known of either."""
+    for x in (a, b):
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("text", "given", "forms", "second")]), x)
+    return pairs.where(f"{a}_second is null or {b}_second is null or {a}_second = {b}_second").drop(f"{a}_second", f"{b}_second")
+
+
+def _meant(read: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(name, to): of spellings with an initial, the one person they can mean: nearest surname first, then one whose second
+    initial agrees over one that has none; where several are as good, none."""
+    may = pairs.where("length(p_given) <> 1").select(F.col("i").alias("node"), F.col("p").alias("person"), F.expr("levenshtein(i_text, p_text)").alias("d"))
+    may = may.join(nodes.select(F.col("node").alias("person"), F.col("root").alias("to")), "person").groupBy("node", "to").agg(F.min("d").alias("d"))
+    second = read.where("length(given) > 1 and more <> ''").groupBy(F.col("root").alias("to")).agg(F.collect_set(F.substring("more", 1, 1)).alias("seconds"))  # single letters: of bounded number
+    tried = read.where("length(given) = 1").select("name", "node", "more").join(may, "node").join(second, "to", "left")
+    own = F.substring("more", 1, 1)
+    agrees = (F.col("more") == "") | F.col("seconds").isNull() | F.array_contains("seconds", own)
+    e = F.when(F.coalesce(F.array_contains("seconds", own), F.lit(False)) & (F.col("more") != ""), 0).otherwise(1)
+    tried = tried.where(agrees).withColumn("e", e)
+    best = tried.groupBy("name").agg(F.min(F.struct("e", "d")).alias("m"))
+    tied = tried.join(best, "name").where((F.col("e") == F.col("m.e")) & (F.col("d") == F.col("m.d"))).groupBy("name").agg(F.min("to").alias("to"), F.max("to").alias("other"))
+    return tied.where("to = other").select("name", "to")
 
 
 def link_names(names: DataFrame, kind: str, name_col: str = "name") -> DataFrame:
     """(name, entity): every distinct spelling of ``names`` that can be read, with the entity it means; ``kind`` is 'author'
-    or 'publisher'. Spellings of one entity share its id. Null, empty and blank names, names without letters and those
-    that stand for no one are left out; repeated rows count once; an empty table gives an empty result.
+    or 'publisher'. Spellings of one entity share its id, the parts of its first name in order of the letters. Null, empty and
+    blank names, names without letters and those that stand for no one are left out; repeated rows count once; an empty table
+    gives an empty result.
 
     Authors: two full names are one person if surname and given name (nicknames read as the formal name) are at most two
-    edits apart together, second initials do not differ, and not both stand in several forms, and an initial means the one person of that surname whose given name begins so; where it may
-    mean several, the second initial decides, or it is an entity of its own. Publishers: the kind of house must agree, and
-    its own words, in any order, be at most two edits apart.
+    edits apart together, fewer in short ones, second initials do not differ, and not both stand in several forms about as
+    often; an initial means the one person of that surname whose given name begins so; where it may mean several, the second
+    initial decides, or it is an entity of its own. Publishers: the kind of house must agree, and its own words, in any
+    order, be at most two edits apart.
     """
     if kind not in ("author", "publisher"):
         raise ValueError("kind must be 'author' or 'publisher'")
-    read = names.select(F.col(name_col).alias("name")).where("name is not null").distinct()
-    read = read.withColumn("r", _read(kind)("name")).select("name", "r.*").where("surname is not null")
-    read = _oriented(cut(read)) if kind == "author" else read.select("name", "surname", "given", "more")
-    to_formal = F.pandas_udf(lambda s: s.map(formal), "string") if kind == "author" else None
-    if to_formal is not None:
-        read = read.withColumn("given", to_formal("given"))
-    key = F.concat_ws("\x1f", "surname", "given")
-    read = cut(read.withColumn("node", F.xxhash64(key)))
-    nodes = cut(read.groupBy("node").agg(F.min("surname").alias("text"), F.min("given").alias("given"), F.count(F.lit(1)).alias("forms"), F.max(F.when(F.col("more") != "", F.substring("more", 1, 1))).alias("second")))
-    check = _verified(kind)("a_text", "b_text", "a_given", "b_given")
-    own = ["node", "given", "forms", "second"]
-    if kind == "author":
-        block = F.substring("given", 1, 1)
-        pairs = segment_join(nodes.withColumn("block", block), 2, own).where("a_node <> b_node and (a_given = b_given or length(a_given) < 2 or length(b_given) < 2 or levenshtein(a_given, b_given, 4) >= 0)")
-        # The first letter of a given name may be misspelt as well.
-        full = nodes.where("length(given) > 3").withColumn("block", F.lit("*"))
-        odd = segment_join(full, 1, own).where("a_node <> b_node and substring(a_given, 1, 1) <> substring(b_given, 1, 1) and levenshtein(a_given, b_given, 2) >= 0")
-        pairs = pairs.unionByName(odd)
-    else:
-        pairs = segment_join(nodes.withColumn("block", F.col("given")), 2, own).where("a_node <> b_node")
-    pairs = pairs.where("a_second is null or b_second is null or a_second = b_second").dropDuplicates(["a_node", "b_node"]).where(check)
-    pairs = cut(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_text", "b_text", "a_given", "b_given", "a_forms", "b_forms"))
-    whole = pairs.where("length(a_given) <> 1 and length(b_given) <> 1")
-    roots = components(_parents(whole))
-    nodes = nodes.join(roots, "node", "left").select("node", "text", "given", F.coalesce("root", "node").alias("root"))
+    spelled = cut(names.select(F.col(name_col).alias("name")).where("name is not null").distinct())
+    read = cut(spelled.repartition(shuffle_partitions(spelled.sparkSession)).withColumn("r", _read(kind)("name")).select("name", "r.*").where("surname is not null"))
     if kind == "author":
-        nodes = cut(nodes)
-        read = read.join(nodes.select("node", "root"), "node")
-        read = cut(read.select("name", "node", "root", "given", "more"))
-        # Initials: the persons they may mean, nearest spelling of the surname first; the second initial must not differ.
-        sides = [("a", "b"), ("b", "a")]
-        may = None
-        for i, p in sides:
-            one = pairs.where(f"length({i}_given) = 1 and length({p}_given) <> 1").select(F.col(i).alias("node"), F.col(p).alias("person"), F.expr(f"levenshtein({i}_text, {p}_text)").alias("d"))
-            may = one if may is None else may.unionByName(one)
-        may = may.join(nodes.select(F.col("node").alias("person"), F.col("root").alias("to")), "person").groupBy("node", "to").agg(F.min("d").alias("d"))
-        second = read.where("length(given) > 1 and more <> ''").groupBy(F.col("root").alias("to")).agg(F.collect_set(F.substring("more", 1, 1)).alias("seconds"))
-        short = read.where("length(given) = 1").select("name", "node", "more")
-        tried = short.join(may, "node").join(second, "to", "left")
-        agrees = (F.col("more") == "") | F.col("seconds").isNull() | F.array_contains("seconds", F.substring("more", 1, 1))
-        exact = F.coalesce(F.array_contains("seconds", F.substring("more", 1, 1)), F.lit(False)) & (F.col("more") != "")
-        best = tried.where(agrees).groupBy("name").agg(F.min(F.struct(F.when(exact, 0).otherwise(1).alias("e"), "d", "to")).alias("m"), F.collect_list(F.struct(F.when(exact, 0).otherwise(1).alias("e"), "d", "to")).alias("all"))
-        best = best.where(F.size(F.filter("all", lambda x: (x.e == F.col("m.e")) & (x.d == F.col("m.d")))) == 1).select("name", F.col("m.to").alias("to"))
-        # Initials that mean no full name: with each other, by surname and first letter.
-        alone = pairs.where("length(a_given) = 1 and length(b_given) = 1").select("a", "b")
-        alone = components(alone).select(F.col("node"), F.col("root").alias("own"))
-        out = read.join(best, "name", "left").join(alone, "node", "left")
-        return out.select("name", F.coalesce("to", F.when(F.length("given") == 1, F.col("own")), "root").alias("entity"))
-    return read.join(nodes.select("node", "root"), "node").select("name", F.col("root").alias("entity"))
+        read = _oriented(read)
+        read = read.withColumn("given", F.pandas_udf(lambda s: s.map(formal), "string")("given"))
+    read = cut(read.select("name", "surname", "given", "more", F.concat_ws("\x1f", "surname", "given").alias("node")))
+    nodes = read.groupBy("node").agg(F.min("surname").alias("text"), F.min("given").alias("given"), F.count(F.lit(1)).alias("forms"), F.max(F.when(F.col("more") != "", F.substring("more", 1, 1))).alias("second"))
+    nodes = cut(nodes)
+    if kind == "publisher":
+        pairs = near_texts(nodes.select("text", F.col("given").alias("block")), 2)
+        node = lambda x: F.concat_ws("\x1f", f"{x}_text", "block").alias(x)
+        roots = components(_parents(_detailed(pairs.select(node("a"), node("b")), nodes)))
+        return read.join(roots, "node", "left").select("name", F.coalesce("root", "node").alias("entity"))
+    roots = components(_parents(_detailed(_full_pairs(nodes.where("length(given) <> 1")), nodes)))
+    nodes = cut(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    read = cut(read.join(nodes.select("node", "root"), "node").select("name", "node", "root", "given", "more"))
+    short = cut(_detailed(_initial_pairs(nodes), nodes, "i", "p"))
+    best = _meant(read, short, nodes)
+    # Initials that mean no full name: with each other, by surname and first letter.
+    alone = components(short.where("length(p_given) = 1").select(F.col("i").alias("a"), F.col("p").alias("b"))).select("node", F.col("root").alias("own"))
+    out = read.join(best, "name", "left").join(alone, "node", "left")
+    return out.select("name", F.coalesce("to", F.when(F.length("given") == 1, F.col("own")), "root").alias("entity"))
 
 
 def same_entity_pairs(linked: DataFrame) -> DataFrame:
-    """(name_a, name_b), name_a < name_b: all pairs of spellings of an entity. Spellings are distinct, so a group is as large
-    as the ways one name is written."""
+    """(name_a, name_b), name_a < name_b: all pairs of spellings of an entity, where they are asked for; ``link_names`` is the
+    result of the operator. Spellings are distinct, so a group is as large as the ways one name is written."""
     a = linked.select("entity", F.col("name").alias("name_a"))
     return a.join(linked.select("entity", F.col("name").alias("name_b")), "entity").where("name_a < name_b").select("name_a", "name_b")
