@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -202,63 +205,87 @@ def _allowed(n: Column) -> Column:
     return F.when(n >= 7, 2).when(n >= 4, 1).otherwise(0)
 
 
-def _segments(n: Column, k: Column) -> Column:
-    """The k+1 nearly equal segments of a text of length n, as (i, at, size); of seven letters or more three, of four or more
-    two, so none is shorter than two letters, and shorter texts are one."""
-    parts = k + 1
-    size, late = F.floor(n / parts).cast("int"), parts - n % parts  # the segments from number ``late`` on have one letter more
-    return F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(i.alias("i"), (i * size + F.greatest(F.lit(0), i - late)).alias("at"), (size + F.when(i >= late, 1).otherwise(0)).alias("size")))
+def cuts(n: int, parts: int) -> list[tuple[int, int]]:
+    """Segments (start, length) of a text of length n, nearly equal."""
+    size, more = divmod(n, parts)
+    lengths = [size + (i >= parts - more) for i in range(parts)]
+    return [(sum(lengths[:i]), length) for i, length in enumerate(lengths)]
 
 
-def _letters(text: Column, at: Column, size: Column) -> Column:
-    return F.substring(text, at + 1, size)
+@lru_cache(maxsize=4096)
+def _index_places(size: int, most: int) -> list[tuple[str, int, int]]:
+    k = min(most, allowed(size))
+    return [(f"{size},{i},", p, p + n) for i, (p, n) in enumerate(cuts(size, k + 1))]
 
 
-def index_keys(block: Column, text: Column, most: int) -> Column:
-    """Keys of the segments of a text: block, length of the text, number of the segment, letters. ``most``: edits looked for;
-    a text allows no more than its length does."""
-    n = F.length(text)
-    k = F.least(F.lit(most), _allowed(n))
-    return F.transform(_segments(n, k), lambda s: F.xxhash64(block, n, s.i, _letters(text, s["at"], s.size)))
+@lru_cache(maxsize=4096)
+def _probe_places(size: int, most: int) -> list[tuple[str, int, int, bool, bool]]:
+    out = []
+    for longer in range(most + 1):
+        n = size - longer
+        k = min(most, allowed(n))
+        if n < 1 or longer > k:
+            continue
+        for i, (p, length) in enumerate(cuts(n, k + 1)):
+            for shift in range(-((k - longer) // 2), (k + longer) // 2 + 1):
+                a, b = p + shift, p + shift + length
+                if a >= 0 and b <= size:
+                    out += [(f"{n},{i},", a, b, x, y) for x in (False, True) for y in (False, True) if (not x or a > 0) and (not y or b < size) and (length > 1 or not (x and y))]
+    return out
 
 
-def probe_keys(block: Column, text: Column, most: int) -> Column:
+def index_keys(s: str, most: int) -> set[str]:
+    """Keys of the segments of a text: its length, the number of the segment, its letters. ``most``: edits looked for; a text
+    allows no more than its length does. Of seven letters or more there are three segments, of four or more two, so none is
+    shorter than two letters, and shorter texts are one."""
+    return {f"{head}{s[a:b]}" for head, a, b in _index_places(len(s), most)}
+
+
+def probe_keys(s: str, most: int) -> set[str]:
     """Keys of texts not longer than this one that it is as few edits from as they allow: each segment of a text of that
     length at its place, shifted as far as the edits left allow. A swap across the border of two segments would spoil both;
     so each substring is also looked up with its first or last letter taken from beyond the border, as such a swap leaves it."""
-    size, found = F.length(text), []
-    none = F.expr("cast(array() as array<bigint>)")
-    for longer in range(most + 1):
-        n = size - longer
-        k = F.least(F.lit(most), _allowed(n))
-        left, right = -F.floor((k - longer) / 2).cast("int"), F.floor((k + longer) / 2).cast("int")
+    out = set()
+    for head, a, b, before, after in _probe_places(len(s), most):
+        t = s[a - 1] + s[a + 1 : b] if before else s[a:b]
+        out.add(head + (t[:-1] + s[b] if after else t))
+    return out
+
+
+_KEYED = "key bigint, text string, block string"
+
+
+def _keyed(keys, most: int):
+    import pyarrow as pa
 
-        def key(s, t, n=n):
-            return F.xxhash64(block, n, s.i, t)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-        def forms(s, shift, key=key):
-            a, b = s["at"] + shift, s["at"] + shift + s.size
-            t = _letters(text, a, s.size)
-            first, last = F.when(a > 0, _letters(text, a - 1, F.lit(1))), F.when(b < size, _letters(text, b, F.lit(1)))
-            inner, begin = _letters(text, a + 1, s.size - 1), _letters(text, a, s.size - 1)
-            swapped = [F.concat(first, inner), F.concat(begin, last), F.when(s.size > 1, F.concat(first, _letters(text, a + 1, s.size - 2), last))]
-            whole = F.array(key(s, t), *[F.when(x.isNotNull(), key(s, x)) for x in swapped])
-            return F.when((a >= 0) & (b <= size), F.filter(whole, lambda x: x.isNotNull())).otherwise(none)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                found, counts = [], []
+                for s, block in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    seed = xxhash.xxh64_intdigest(block)
+                    own = [xxhash.xxh64_intdigest(k, seed) for k in keys(s, most)]
+                    found += own
+                    counts.append(len(own))
+                at = pa.array(np.repeat(np.arange(len(counts)), counts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64)), part.column(0).take(at), part.column(1).take(at)], ["key", "text", "block"])
 
-        keys = F.flatten(F.transform(_segments(n, k), lambda s: F.flatten(F.transform(F.sequence(left, right), lambda d: forms(s, d)))))
-        found.append(F.when((n > 0) & (longer <= k), keys).otherwise(none))
-    return F.array_distinct(F.concat(*found))
+    return run
 
 
 def segment_join(probes: DataFrame, index: DataFrame, most: int, blocks: bool = True) -> DataFrame:
     """Pairs (a_text, b_text, block) of ``probes`` and ``index`` (text, and block if ``blocks``), of which the first is the longer or of equal length,
     that are at most as many edits apart as both lengths and ``most`` allow; equal texts among them. Both sides should be
     distinct. Candidates are pairs that share a segment; each is verified."""
-    spread = lambda df: df.select("text", (F.col("block") if blocks else F.lit("")).alias("block")).repartition(shuffle_partitions(df.sparkSession))  # noqa: E731 - a small table may be one file, its keys are many
-    keyed = lambda df, keys, x: spread(df).withColumn("key", F.explode(keys(F.col("block"), F.col("text"), most))).select("key", F.col("text").alias(f"{x}_text"), F.col("block").alias(f"{x}_block"))
-    a, b = keyed(probes, probe_keys, "a"), keyed(index, index_keys, "b")
+    # A small table may be one file, its keys are many: it is spread before them.
+    plain = lambda df: df.select("text", (F.col("block") if blocks else F.lit("")).alias("block")).repartition(shuffle_partitions(df.sparkSession))
+    a = plain(probes).mapInArrow(_keyed(probe_keys, most), _KEYED).select("key", F.col("text").alias("a_text"), F.col("block").alias("a_block"))
+    b = plain(index).mapInArrow(_keyed(index_keys, most), _KEYED).select("key", F.col("text").alias("b_text"), F.col("block").alias("b_block"))
     near = a.join(b, "key").where((F.col("a_block") == F.col("b_block")) & (F.expr(f"levenshtein(a_text, b_text, {2 * most})") >= 0))  # a swap counts twice there
-    near = near.select("a_text", "b_text", F.col("a_block").alias("block")).distinct()
+    near = cut(near.select("a_text", "b_text", F.col("a_block").alias("block")).distinct())
     limit = F.least(F.lit(most), _allowed(F.least(F.length("a_text"), F.length("b_text"))))
     near = near.withColumn("most", limit).withColumn("sure", F.expr("levenshtein(a_text, b_text)") <= limit)
     # Only where swaps must count once is the banded distance taken, outside of the JVM.
@@ -280,16 +307,20 @@ def near_texts(texts: DataFrame, most: int, blocks: bool = True) -> DataFrame:
     return segment_join(texts, texts, most, blocks).where("a_text <> b_text")
 
 
-def _both_ways(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
-    swap = {x: y for a, b in pairs for x, y in ((a, b), (b, a))}
-    return df.unionByName(df.select(*[F.col(swap.get(c, c)).alias(c) for c in df.columns]))
+def _both_ways(df: DataFrame, *columns: str) -> DataFrame:
+    """Every pair in either order: ``columns`` stand for a_... and b_..., the others are of the pair."""
+    names = [x for c in columns for x in (("a", "b") if c == "" else (f"a_{c}", f"b_{c}"))]
+    rest = [c for c in df.columns if c not in names]
+    other = lambda n: ("b" if n[0] == "a" else "a") + n[1:]
+    sides = F.array(F.struct(*names), F.struct(*[F.col(other(n)).alias(n) for n in names]))
+    return df.select(*rest, F.explode(sides).alias("_s")).select(*rest, "_s.*")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected component, for nodes that have an edge (a, b). Least labels spread
     along edges and jump to the label of their label, so a chain halves every round; each round is a written table, and the
     rounds end when no label moves (labels only become less, so they do)."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    both = cut(_both_ways(edges.select("a", "b"), "").where("a <> b").distinct())
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")))
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
@@ -308,7 +339,7 @@ def _parents(pairs: DataFrame) -> DataFrame:
     other is far more common (RARER times): two such are two names, however near, and nothing between them joins them, as
     each name follows one other only."""
     d = F.expr("levenshtein(a_text, b_text) + levenshtein(a_given, b_given)")
-    both = _both_ways(pairs.withColumn("d", d), ("a", "b"), ("a_forms", "b_forms"), ("a_text", "b_text"), ("a_given", "b_given"))
+    both = _both_ways(pairs.select("a", "b", "a_forms", "b_forms", d.alias("d")), "", "forms")
     up = both.where(f"not (a_forms > 1 and b_forms > 1 and b_forms < {RARER} * a_forms) and (b_forms > a_forms or (b_forms = a_forms and b < a))")
     return up.groupBy("a").agg(F.min_by("b", F.struct("d", -F.col("b_forms"), "b")).alias("b"))
 
@@ -328,7 +359,8 @@ def _full_pairs(nodes: DataFrame) -> DataFrame:
     for x in "ab":
         other = other.join(known.withColumnRenamed("g", f"{x}_g"), F.col(f"{x}_given") == F.col(f"{x}_g"), "left")
     left = F.least(_allowed(F.least(F.length("a_given"), F.length("b_given"))), F.when(F.col("a_text") == F.col("b_text"), 2).otherwise(1))
-    other = other.where("a_g is null or b_g is null").withColumn("most", left).where(_within("a_given", "b_given", "most"))
+    other = cut(other.where("a_g is null or b_g is null").withColumn("most", left))
+    other = other.where(_within("a_given", "b_given", "most"))
     return same.unionByName(other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
@@ -339,7 +371,7 @@ def _initial_pairs(nodes: DataFrame) -> DataFrame:
     short, every = first.where("length(given) = 1"), first
     s, e = short.select("text", "block").distinct(), every.select("text", "block").distinct()
     pairs = segment_join(s, e, 2).select("block", F.col("a_text").alias("it"), F.col("b_text").alias("pt"))
-    pairs = pairs.unionByName(segment_join(e, s, 2).select("block", F.col("b_text").alias("it"), F.col("a_text").alias("pt"))).distinct()
+    pairs = cut(pairs.unionByName(segment_join(e, s, 2).select("block", F.col("b_text").alias("it"), F.col("a_text").alias("pt"))).distinct())
     out = pairs.join(short.select("block", F.col("text").alias("it"), F.col("node").alias("i")), ["block", "it"])
     return out.join(every.select("block", F.col("text").alias("pt"), F.col("node").alias("p")), ["block", "pt"]).where("i <> p").select("i", "p")
 
@@ -392,9 +424,9 @@ def link_names(names: DataFrame, kind: str, name_col: str = "name") -> DataFrame
     if kind == "publisher":
         pairs = near_texts(nodes.select("text", F.col("given").alias("block")), 2)
         node = lambda x: F.concat_ws("\x1f", f"{x}_text", "block").alias(x)
-        roots = components(_parents(_detailed(pairs.select(node("a"), node("b")), nodes)))
+        roots = components(_parents(cut(_detailed(pairs.select(node("a"), node("b")), nodes))))
         return read.join(roots, "node", "left").select("name", F.coalesce("root", "node").alias("entity"))
-    roots = components(_parents(_detailed(_full_pairs(nodes.where("length(given) <> 1")), nodes)))
+    roots = components(_parents(cut(_detailed(_full_pairs(nodes.where("length(given) <> 1")), nodes))))
     nodes = cut(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     read = cut(read.join(nodes.select("node", "root"), "node").select("name", "node", "root", "given", "more"))
     short = cut(_detailed(_initial_pairs(nodes), nodes, "i", "p"))
@@ -408,5 +440,6 @@ def link_names(names: DataFrame, kind: str, name_col: str = "name") -> DataFrame
 def same_entity_pairs(linked: DataFrame) -> DataFrame:
     """(name_a, name_b), name_a < name_b: all pairs of spellings of an entity, where they are asked for; ``link_names`` is the
     result of the operator. Spellings are distinct, so a group is as large as the ways one name is written."""
+    linked = cut(linked)
     a = linked.select("entity", F.col("name").alias("name_a"))
     return a.join(linked.select("entity", F.col("name").alias("name_b")), "entity").where("name_a < name_b").select("name_a", "name_b")

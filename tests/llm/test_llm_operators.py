@@ -136,16 +136,33 @@ def misspell(rng, s):
 
 
 def test_segment_keys_are_complete():
-    """Whatever is two edits away shares a key, whichever side is looked up; banded edits equal the full table."""
+    """Whatever is as many edits away as its length allows shares a key, whichever side is looked up, and no key is of one
+    letter; banded edits equal the full table."""
     rng = np.random.default_rng(3)
-    for _ in range(1500):
-        s = "".join(rng.choice(list("abcdefgh"), int(rng.integers(7, 15))))
-        t = misspell(rng, misspell(rng, s))
+    for _ in range(3000):
+        s = "".join(rng.choice(list("abcdefgh"), int(rng.integers(3, 15))))
+        t = misspell(rng, s) if rng.random() < 0.3 else misspell(rng, misspell(rng, s))
         want = slow_edits(s, t)
         assert names.edits(s, t, 2) == min(want, 3) and names.edits(s, t, 1) == min(want, 2)
         a, b = (s, t) if len(s) >= len(t) else (t, s)
-        if want <= 2:
-            assert set(names.probe_keys("x", a, 2)) & set(names.index_keys("x", b, 2)), (s, t)
+        for most in (1, 2):
+            if want <= min(most, names.allowed(len(s), len(t))):
+                assert names.probe_keys(a, most) & names.index_keys(b, most), (s, t)
+            assert all(len(k.split(",", 2)[2]) > 1 for k in names.index_keys(b, most))
+
+
+def test_near_texts_brute_force(spark):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcd"), int(rng.integers(2, 10)))) for _ in range(60)]
+    texts = sorted({x for t in texts for x in (t, misspell(rng, t + "xy"), misspell(rng, misspell(rng, t)))})
+    df = spark.createDataFrame([(t, "b" if i % 3 else "c") for i, t in enumerate(texts)], "text string, block string")
+    block = {t: "b" if i % 3 else "c" for i, t in enumerate(texts)}
+    near = lambda x, y, m: x != y and slow_edits(x, y) <= min(m, names.allowed(len(x), len(y)))
+    for most in (1, 2):
+        want = {frozenset((x, y)) for x in texts for y in texts if near(x, y, most)}
+        got = [frozenset((r.a_text, r.b_text)) for r in names.near_texts(df, most, False).collect()]
+        assert set(got) == want and len(want) > 20
+        assert {frozenset((r.a_text, r.b_text)) for r in names.near_texts(df, most).collect()} == {p for p in want if len({block[x] for x in p}) == 1}
 
 
 @pytest.mark.parametrize("name,want", [
