@@ -213,43 +213,41 @@ def cuts(n: int, parts: int) -> list[tuple[int, int]]:
 
 
 @lru_cache(maxsize=4096)
-def _index_places(size: int, most: int) -> list[tuple[str, int, int]]:
-    k = min(most, allowed(size))
-    return [(f"{size},{i},", p, p + n) for i, (p, n) in enumerate(cuts(size, k + 1))]
+def _places(n: int, most: int, longer: int, own: bool = False) -> list[tuple[str, int, int, bool]]:
+    """Where the segments of a text of length n stand in one that is ``longer`` by so much, and as few edits away as length n
+    allows: (key head, start, end, whether the letters count in any order); ``own``: in that text itself.
+
+    Some segment i is without edit such that i edits are before it and the rest, k - i, after it; so it is shifted by at most i, and what
+    it is shifted by differs from ``longer`` by at most k - i. A swap across the border of two segments spoils both and counts once:
+    then the two together keep their letters, or, after two such swaps, the whole text does."""
+    k = min(most, allowed(n))
+    if n < 1 or longer > k:
+        return []
+    parts, out = cuts(n, k + 1), []
+    for i, (p, length) in enumerate(parts):
+        out += [(f"{n},{i},", p + d, p + d + length, False) for d in (range(-i, i + 1) if not own else [0]) if abs(longer - d) <= k - i and p + d >= 0 and p + d + length <= n + longer]
+    if k == 2 and longer < 2:
+        (_, _), (second, _), (third, _) = parts
+        out += [(f"{n},<,", 0, third, True), (f"{n},>,", second + longer, n + longer, True)]
+    if k and not longer:
+        out.append((f"{n},*,", 0, n, True))
+    return out
 
 
-@lru_cache(maxsize=4096)
-def _probe_places(size: int, most: int) -> list[tuple[str, int, int, bool, bool]]:
-    out = []
-    for longer in range(most + 1):
-        n = size - longer
-        k = min(most, allowed(n))
-        if n < 1 or longer > k:
-            continue
-        for i, (p, length) in enumerate(cuts(n, k + 1)):
-            for shift in range(-((k - longer) // 2), (k + longer) // 2 + 1):
-                a, b = p + shift, p + shift + length
-                if a >= 0 and b <= size:
-                    out += [(f"{n},{i},", a, b, x, y) for x in (False, True) for y in (False, True) if (not x or a > 0) and (not y or b < size) and (length > 1 or not (x and y))]
-    return out
+def _keys(s: str, places: list[tuple[str, int, int, bool]]) -> set[str]:
+    return {head + ("".join(sorted(s[a:b])) if loose else s[a:b]) for head, a, b, loose in places}
 
 
 def index_keys(s: str, most: int) -> set[str]:
-    """Keys of the segments of a text: its length, the number of the segment, its letters. ``most``: edits looked for; a text
-    allows no more than its length does. Of seven letters or more there are three segments, of four or more two, so none is
-    shorter than two letters, and shorter texts are one."""
-    return {f"{head}{s[a:b]}" for head, a, b in _index_places(len(s), most)}
+    """Keys of the segments of a text: its length, the segment, its letters. ``most``: edits looked for; a text allows no more
+    than its length does. Of seven letters or more there are three segments, of four or more two, so none is shorter than
+    two letters, and shorter texts are one."""
+    return _keys(s, _places(len(s), most, 0, True))
 
 
 def probe_keys(s: str, most: int) -> set[str]:
-    """Keys of texts not longer than this one that it is as few edits from as they allow: each segment of a text of that
-    length at its place, shifted as far as the edits left allow. A swap across the border of two segments would spoil both;
-    so each substring is also looked up with its first or last letter taken from beyond the border, as such a swap leaves it."""
-    out = set()
-    for head, a, b, before, after in _probe_places(len(s), most):
-        t = s[a - 1] + s[a + 1 : b] if before else s[a:b]
-        out.add(head + (t[:-1] + s[b] if after else t))
-    return out
+    """Keys of texts not longer than this one that it is as few edits from as they allow."""
+    return set().union(*[_keys(s, _places(len(s) - longer, most, longer)) for longer in range(most + 1)])
 
 
 _KEYED = "key bigint, text string, block string"

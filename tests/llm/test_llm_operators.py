@@ -148,7 +148,7 @@ def test_segment_keys_are_complete():
         for most in (1, 2):
             if want <= min(most, names.allowed(len(s), len(t))):
                 assert names.probe_keys(a, most) & names.index_keys(b, most), (s, t)
-            assert all(len(k.split(",", 2)[2]) > 1 for k in names.index_keys(b, most))
+            assert len(b) < 2 or all(len(k.split(",", 2)[2]) > 1 for k in names.index_keys(b, most))
 
 
 def test_near_texts_brute_force(spark):
