@@ -37,6 +37,11 @@ def has_attrs(attrs: Column, wanted: Mapping[str, str]) -> Column:
     return out
 
 
+def digest() -> Column:
+    """A link's identity in 16 bytes, with nulls in their places."""
+    return F.unhex(F.substring(F.sha2(F.to_json(F.struct(*IDENTITY), {"ignoreNullFields": "false"}), 256), 1, 32))
+
+
 class Linkset:
     """A thin wrapper: ``df`` has the columns of ``LINK_SCHEMA`` and stays a DataFrame for everything else. Nothing is
     executed before ``df`` is; ``size`` and ``equals`` are the only methods that run a job."""
@@ -199,7 +204,7 @@ class Linkset:
         names its origin, rel and target."""
         from linkframe.schema import RDF_NS
 
-        rid = F.concat(F.lit(about), F.hex(F.xxhash64(*IDENTITY)))
+        rid = F.concat(F.lit(about), F.lower(F.hex(digest())))
         noted = self.df.where(F.size("attrs") > 0).withColumn("_rid", rid)
         parts = F.array(*[F.struct(F.lit(RDF_NS + n).alias("name"), F.col(c).alias("value")) for n, c in (("subject", "origin"), ("predicate", "rel"), ("object", "target"))])
         own = noted.select("_rid", F.explode(F.concat(parts, "attrs")).alias("a"))
@@ -207,8 +212,8 @@ class Linkset:
         return plain.union(Linkset.from_columns(own, F.col("_rid"), F.col("a.name"), F.col("a.value"), None, F.lit(False)), dedup=False)
 
     def hashed(self) -> DataFrame:
-        """With ``link_hash``, a hash of the link's identity."""
-        return self.df.withColumn("link_hash", F.xxhash64(*IDENTITY))
+        """With ``link_hash``, a digest of the link's identity in 32 hexadecimal digits."""
+        return self.df.withColumn("link_hash", F.lower(F.hex(digest())))
 
     def refinements(self, rel: str) -> DataFrame:
         """(broader, narrower): what refines each target, sorted."""
@@ -240,9 +245,21 @@ class Linkset:
             df = df.unionByName(x.df)
         return Linkset(df).unique() if dedup else Linkset(df)
 
-    def add(self, links: Linkset, dedup: bool = True) -> Linkset:
-        """``links`` after these; empty origins or rels are refused by ``Linkset.of``."""
-        return self.union(links, dedup=dedup)
+    def copy(self, contents: bool = True) -> Linkset:
+        """The same set, which nothing can change, or an empty one."""
+        return Linkset(self.df if contents else self.df.limit(0))
+
+    def add(self, links: Linkset, dedup: bool = True, index: int | None = None) -> Linkset:
+        """``links``, in their order, with ids after all that are there, or from ``index`` on, and then those from there on move up.
+        With ``dedup`` links that are there already, and repeated ones, are not added. Empty origins or rels are refused
+        by ``Linkset.of``."""
+        new = (links.minus(self).unique() if dedup else links).numbered()
+        if index is None:
+            start = F.coalesce(self.df.agg(F.max("link_id") + 1).scalar(), F.lit(0))
+            return Linkset(self.df.unionByName(new.df.withColumn("link_id", F.col("link_id") + start)))
+        count = new.df.agg(F.count(F.lit(1))).scalar()
+        moved = self.df.withColumn("link_id", F.when(F.col("link_id") >= index, F.col("link_id") + count).otherwise(F.col("link_id")))
+        return Linkset(moved.unionByName(new.df.withColumn("link_id", F.col("link_id") + index)))
 
     def minus(self, other: Linkset) -> Linkset:
         keys = other.df.select(*IDENTITY).distinct()

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +54,13 @@ class Env:
     links: list[DataFrame] = field(default_factory=list)
     made: list[DataFrame] = field(default_factory=list)
     resources: DataFrame | None = None  # (in_rid, mains)
+    id_helper: Callable[[Column, Column, Column], Column] | None = None
 
-    def emit(self, df: DataFrame, origin: Column, rel: Column, target: Column, is_iri: Column, attrs: Column | None = None) -> None:
-        row = df.select(origin.alias("origin"), rel.alias("rel"), target.alias("target"), is_iri.cast("boolean").alias("target_is_iri"), (attrs if attrs is not None else F.expr(NO_ATTRS)).alias("attrs"))
+    def emit(self, df: DataFrame, origin: Column, rel: Column, target: Column, is_iri: Column, attrs: Column | None = None, creates: Column | None = None) -> None:
+        """Links made; ``creates``: the entity that is created with them, None for links that are not part of a creation."""
+        attrs = attrs if attrs is not None else F.expr(NO_ATTRS)
+        by = creates if creates is not None else F.lit(None).cast("string")
+        row = df.select(origin.alias("origin"), rel.alias("rel"), target.alias("target"), is_iri.cast("boolean").alias("target_is_iri"), attrs.alias("attrs"), by.alias("_by"))
         self.links.append(row.where("origin is not null and rel is not null and target is not null and origin <> ''"))
 
     def absolute(self, rel: Column) -> Column:
@@ -183,9 +188,14 @@ class Contains(Action):
         return df, F.when(F.arrays_overlap(a, b), F.array(F.lit("true"))).otherwise(F.expr(_EMPTY))
 
 
+def _context_key(df: DataFrame) -> Column:
+    """What a context is, all of its columns with the nulls in their places, as a digest of 256 bits."""
+    return F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
+
+
 def _fan(df: DataFrame, values: Column, name: str) -> DataFrame:
     """A row per value, with ``_key`` to gather them again."""
-    return df.withColumn("_key", F.xxhash64(*[F.col(c) for c in df.columns])).withColumn(name, F.explode(values))
+    return df.withColumn("_key", _context_key(df)).withColumn(name, F.explode(values))
 
 
 def _gather(df: DataFrame, parts: DataFrame, values: Column, order: Column | None = None) -> tuple[DataFrame, Column]:
@@ -193,7 +203,7 @@ def _gather(df: DataFrame, parts: DataFrame, values: Column, order: Column | Non
     out, key = _new("v"), _new("k")
     item = F.struct(order if order is not None else F.lit(0), values.alias("v"))
     lists = parts.groupBy(F.col("_key").alias(key)).agg(F.flatten(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.v)).alias(out))
-    keyed = df.withColumn("_key2", F.xxhash64(*[F.col(c) for c in df.columns])).dropDuplicates(["_key2"])
+    keyed = df.withColumn("_key2", _context_key(df)).dropDuplicates(["_key2"])
     return keyed.join(lists, F.col("_key2") == F.col(key), "left").drop("_key2", key), F.coalesce(F.col(out), F.expr(_EMPTY))
 
 
@@ -311,14 +321,18 @@ def _exploded(df: DataFrame, env: Env, parts: Mapping[str, object]) -> DataFrame
 
 
 class ForEach(Action):
-    """``action`` for every combination of the given origins, rels and targets."""
+    """``action`` for every combination of the given origins, rels and targets; ``attributes`` (name -> values) are those of the
+    contexts made."""
 
     emits = True
 
-    def __init__(self, origin=None, rel=None, target=None, action=None):
-        self.origin, self.rel, self.target, self.action = origin, rel, target, action
+    def __init__(self, origin=None, rel=None, target=None, attributes: Mapping[str, object] | None = None, action=None):
+        self.origin, self.rel, self.target, self.attributes, self.action = origin, rel, target, attributes, action
 
     def contexts(self, df: DataFrame, env: Env) -> DataFrame:
+        if self.attributes is not None:
+            df, pairs = _attributes(df, env, self.attributes)
+            df = df.withColumn("_a", pairs)
         return _exploded(df, env, {"_o": self.origin, "_r": self.rel, "_t": self.target}).where("_o is not null and _o <> ''")
 
     def lower(self, df, env):
@@ -328,6 +342,52 @@ class ForEach(Action):
         return df, F.expr(_EMPTY)
 
 
+def _attributes(df: DataFrame, env: Env, given: Mapping[str, object]) -> tuple[DataFrame, Column]:
+    """Attributes of computed values, as a sorted array."""
+    pairs = []
+    for k, x in given.items():
+        df, v = _action(x).lower(df, env)
+        pairs.append(_named(v, k))
+    return df, F.array_sort(F.concat(*pairs)) if pairs else F.expr(NO_ATTRS)
+
+
+class UserFunction(Action):
+    """A Python function of one value, a text or None, in Arrow batches: for what no column expression can say. It gives a text,
+    None, or a list of texts."""
+
+    def __init__(self, fn: Callable[[str], str | list[str] | None], arg=None):
+        self.fn, self.arg = fn, arg
+
+    def lower(self, df, env):
+        df, v = _action(self.arg if self.arg is not None else target()).lower(df, env)
+        name, fn = _new("v"), self.fn
+
+        def run(s: pd.Series) -> pd.Series:
+            made = ([] if x is None else x if isinstance(x, list) else [x] for x in map(fn, s))
+            return pd.Series([[y for y in x if y is not None] for x in made], dtype=object)
+
+        df = df.withColumn(name, v)
+        # A Python function cannot stand inside a transform: values are taken one by one outside of it.
+        parts = _fan(df, F.col(name), "_x")
+        return _gather(df, parts, F.pandas_udf(run, "array<string>")(F.col("_x")), F.col("_x"))
+
+
+class Relation(Action):
+    """A function over batches of contexts (origin, rel, target) that gives batches of links (origin, rel, target,
+    target_is_iri): for rules that no other action can say."""
+
+    emits = True
+
+    def __init__(self, fn: Callable[[Iterable[pd.DataFrame]], Iterable[pd.DataFrame]]):
+        self.fn = fn
+
+    def lower(self, df, env):
+        here = df.select(F.col("_o").alias("origin"), F.col("_r").alias("rel"), F.col("_t").alias("target"))
+        made = here.mapInPandas(self.fn, "origin string, rel string, target string, target_is_iri boolean")
+        env.emit(made, F.col("origin"), env.absolute(F.col("rel")), F.col("target"), F.col("target_is_iri"))
+        return df, F.expr(_EMPTY)
+
+
 class MakeLink(Action):
     """A link for every combination of origins, rels and targets; parts not given are those of the context."""
 
@@ -338,12 +398,9 @@ class MakeLink(Action):
 
     def lower(self, df, env):
         here = self.source.contexts(df, env) if isinstance(self.source, ForEach) else df
-        pairs = []
-        for k, x in self.attributes.items():
-            here, v = _action(x).lower(here, env)
-            pairs.append(_named(v, k))
+        here, pairs = _attributes(here, env, self.attributes)
         name = _new("a")
-        here = here.withColumn(name, F.array_sort(F.concat(*pairs)) if pairs else F.expr(NO_ATTRS))
+        here = here.withColumn(name, pairs)
         plain = self.target is None
         here = _exploded(here, env, {"_o": self.origin, "_r": self.rel, "_t": self.target})
         is_iri = F.col("_ti") if plain else F.lit(bool(isinstance(self.target, (Materialize, Lookup, ToIri, Part)) and getattr(self.target, "column", "_o") == "_o"))
@@ -416,7 +473,7 @@ class Materialize(Action):
             # An entity of which nothing but its type is known gets an id of its own context, the same on every run.
             own = F.size(F.filter(k, lambda x: x != TYPE)) == 0
             anon = F.concat_ws("\x1f", F.lit("anon"), "_in", "_o", "_r", "_t", first)
-            df = df.withColumn(rid, F.when(own, hash_id(F.when(own, anon))).otherwise(entity_id(first, F.concat(F.col(k), F.array_repeat(F.lit(TYPE), F.size(extra))), F.concat(F.col(v), extra), None)))
+            df = df.withColumn(rid, F.when(own, hash_id(F.when(own, anon))).otherwise((env.id_helper or entity_id)(first, F.concat(F.col(k), F.array_repeat(F.lit(TYPE), F.size(extra))), F.concat(F.col(v), extra))))
             if env.base:
                 df = df.withColumn(rid, F.when(first.isNotNull(), resolve_col(F.col(rid), env.base)))
         if self.origin is not None:
@@ -430,12 +487,12 @@ class Materialize(Action):
             env.emit(at.withColumn("_x", F.explode(F.filter(rels, lambda x: x != ""))), F.col(o), env.absolute(F.col("_x")), F.col(rid), F.lit(True))
         if types is not None:
             full = resolve_col(F.get(F.col(ty), F.lit(0)), env.base) if env.base else F.get(F.col(ty), F.lit(0))
-            env.emit(df, F.col(rid), F.lit(TYPE), full, F.lit(True))
+            env.emit(df, F.col(rid), F.lit(TYPE), full, F.lit(True), None, F.col(rid))
             if self.preserve:
                 pairs = F.filter(F.arrays_zip(F.col(k).alias("name"), F.col(v).alias("value")), lambda p: p["name"] != TYPE)
                 pairs = F.transform(pairs, lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value")))
                 kept = F.array_sort(F.array_distinct(F.concat(pairs, F.transform(F.col(ty), lambda t: F.struct(F.lit(TYPE).alias("name"), t.alias("value"))))))
-                env.emit(df, F.col(rid), F.lit(FINGERPRINT), F.get(F.col(ty), F.lit(0)), F.lit(True), kept)
+                env.emit(df, F.col(rid), F.lit(FINGERPRINT), F.get(F.col(ty), F.lit(0)), F.lit(True), kept, F.col(rid))
         stem = _new("stem")
         inner = df.withColumn(stem, _one(F.col("_o"))).withColumn("_o", F.col(rid))
         vein = replace(env, vars=env.vars | {"@stem": stem})
@@ -458,7 +515,7 @@ class Materialize(Action):
                 here = here.withColumn("_lo", F.explode(oc))
                 origins = F.col("_lo")
             is_iri = isinstance(lt, (Materialize, Lookup, ToIri)) or (isinstance(lt, Var) and lt.name == "@stem") or (isinstance(lt, Part) and lt.column == "_o") or lr == TYPE
-            vein.emit(here, origins, vein.absolute(F.col("_r")), F.col(name), F.lit(bool(is_iri)))
+            vein.emit(here, origins, vein.absolute(F.col("_r")), F.col(name), F.lit(bool(is_iri)), None, F.col(rid))
         return df, F.col(rid)
 
 
@@ -537,9 +594,12 @@ def lookup(mapping, key=None, onmiss=None):
     return Lookup(mapping, key, onmiss)
 
 
-def regex_match_modify(pattern: str, group: int = 1, arg=None):
+def regex_match_modify(pattern: str, group: int | Callable[[Callable[[int], Column]], Column] = 1, arg=None):
+    """A group of the match at the start, or a column made of its groups (``lambda g: F.concat(g(2), g(1))``); values that do not
+    match stay as they are."""
     anchored = f"^(?:{pattern})"
-    return Mapped(lambda c: F.when(c.rlike(anchored), F.regexp_extract(c, anchored, group)).otherwise(c), arg)
+    made = group if callable(group) else lambda g: g(group)
+    return Mapped(lambda c: F.when(c.rlike(anchored), made(lambda i: F.regexp_extract(c, anchored, i))).otherwise(c), arg)
 
 
 def replace_from(patterns: Sequence[tuple[str, str]], arg=None):
@@ -551,6 +611,16 @@ def column_action(fn: Callable[[Column], Column], arg=None):
     return Mapped(fn, arg)
 
 
+def udf_action(fn: Callable[[str], str | list[str] | None], arg=None):
+    """A Python function of each value as an action."""
+    return UserFunction(fn, arg)
+
+
+def relation_action(fn):
+    """A function over batches of contexts that gives links, as an action."""
+    return Relation(fn)
+
+
 def compose(*actions):
     return Compose(*actions)
 
@@ -563,8 +633,8 @@ def toiri(arg=None, base=None, ignore_refs=True):
     return ToIri(arg, base, not ignore_refs)
 
 
-def foreach(origin=None, rel=None, target=None, action=None):
-    return ForEach(origin, rel, target, action)
+def foreach(origin=None, rel=None, target=None, attributes=None, action=None):
+    return ForEach(origin, rel, target, attributes, action)
 
 
 def link(origin=None, rel=None, target=None, value=None, attributes=None, source=None):
@@ -606,7 +676,7 @@ def action_template(proto: Action):
 class Result:
     """``output`` links; ``fingerprints`` (in_rid, out_rid, is_main); ``misses``: links of fingerprinted resources that no
     rule took; ``blank_labels`` (origin, type); ``complete``: False where the pipeline ended without any entity;
-    ``firings`` (rule, n): how often each transform rule was run."""
+    ``firings`` (rule, n): how often each transform rule was run; ``entities`` (out_rid): all that were met."""
 
     output: Linkset
     fingerprints: DataFrame
@@ -614,6 +684,7 @@ class Result:
     blank_labels: DataFrame
     complete: bool
     firings: DataFrame | None = None
+    entities: DataFrame | None = None
 
 
 def run_actions(contexts: Iterable[tuple[DataFrame, Action]], model: Linkset, base: str | None = None, extras: Mapping | None = None) -> Linkset:
@@ -628,14 +699,25 @@ def _contexts(df: DataFrame) -> DataFrame:
     return df.select(F.col("in_rid").alias("_in"), F.col("origin").alias("_o"), F.col("rel").alias("_r"), F.col("target").alias("_t"), F.col("target_is_iri").alias("_ti"), F.col("attrs").alias("_a"))
 
 
-def _collected(env: Env, model: Linkset) -> Linkset:
-    """One deduplication of all links made in a stage."""
+def _rows(env: Env, model: Linkset) -> DataFrame:
+    """All links made in a stage, with the entity that each is part of the creation of."""
     out = None
     for df in env.links:
         out = df if out is None else out.unionByName(df)
     if out is None:
-        return Linkset.empty(model.df.sparkSession)
-    return Linkset(out.withColumn("link_id", F.lit(None).cast("bigint")).select("link_id", *_OUT)).unique()
+        return Linkset.empty(model.df.sparkSession).df.select(*_OUT, F.lit(None).cast("string").alias("_by"))
+    return out
+
+
+def _deduplicated(rows: DataFrame, known: DataFrame | None = None) -> Linkset:
+    """One deduplication of all links made in a stage; without those that create an entity that is ``known``."""
+    if known is not None:
+        rows = rows.join(known.select(F.col("out_rid").alias("_known")), F.col("_by") == F.col("_known"), "left_anti")
+    return Linkset(rows.withColumn("link_id", F.lit(None).cast("bigint")).select("link_id", *_OUT)).unique()
+
+
+def _collected(env: Env, model: Linkset) -> Linkset:
+    return _deduplicated(_rows(env, model))
 
 
 def _rules(rule) -> list:
@@ -644,14 +726,19 @@ def _rules(rule) -> list:
 
 class Pipeline:
     """Three kinds of rules. Fingerprint: type -> action(s) that materialize. Transform: rel, or (rel, output type, ...) ->
-    action. Labelize: output type -> action whose values are labels."""
+    action. Labelize: output type -> action whose values are labels. ``id_helper`` makes the id of an entity from columns
+    of its type and its fingerprint's keys and values (two parallel arrays)."""
 
-    def __init__(self, fingerprint_rules: Mapping, transform_rules: Mapping | None = None, labelize_rules: Mapping | None = None, base: str | None = None, extras: Mapping | None = None, hooks: Sequence[Callable[[DataFrame], Linkset]] = (), label_rel: str = LABEL):
+    def __init__(self, fingerprint_rules: Mapping, transform_rules: Mapping | None = None, labelize_rules: Mapping | None = None, base: str | None = None, extras: Mapping | None = None, hooks: Sequence[Callable[[DataFrame], Linkset]] = (), label_rel: str = LABEL, id_helper=None):
         self.fingerprint_rules, self.transform_rules, self.labelize_rules = fingerprint_rules, transform_rules or {}, labelize_rules or {}
-        self.base, self.extras, self.hooks, self.label_rel = base, extras or {}, hooks, label_rel
+        self.base, self.extras, self.hooks, self.label_rel, self.id_helper = base, extras or {}, hooks, label_rel, id_helper
+
+    def _env(self, model: Linkset, **more) -> Env:
+        return Env(model, base=self.base, extras=self.extras, id_helper=self.id_helper, **more)
 
-    def fingerprint(self, model: Linkset) -> tuple[Linkset, DataFrame]:
-        env, mains = Env(model, base=self.base, extras=self.extras), []
+    def fingerprint(self, model: Linkset) -> tuple[DataFrame, DataFrame]:
+        """(links with the entities they create, fingerprints), both written."""
+        env, mains = self._env(model), []
         typed = model.match(None, TYPE).df
         for typ, rules in self.fingerprint_rules.items():
             for rule in _rules(rules):
@@ -664,40 +751,51 @@ class Pipeline:
         if rows is None:
             rows = model.df.sparkSession.createDataFrame([], "in_rid string, out_rid string, is_main boolean")
         fingerprints = cut(rows.groupBy("in_rid", "out_rid").agg(F.max("is_main").alias("is_main")))
-        return Linkset(cut(_collected(env, model).df)), fingerprints
+        return cut(_rows(env, model)), fingerprints
+
+    def dispatched(self, model: Linkset, made: DataFrame, fingerprints: DataFrame) -> tuple[DataFrame, dict]:
+        """The contexts of all transform rules from one join of the links with the fingerprints, written once, and for each rule's
+        key the condition by which it takes its own of them."""
+        keys = {k: (k, None) if isinstance(k, str) else (k[0], list(k[1:])) for k in self.transform_rules}
+        types = made.where(F.col("rel") == TYPE).groupBy(F.col("origin").alias("_to")).agg(F.collect_set("target").alias("types"))
+        outs = fingerprints.join(types, F.col("out_rid") == F.col("_to"), "left").select("in_rid", "out_rid", "is_main", "types")
+        links = model.match(None, {r for r, _ in keys.values()}).df if keys else model.df.limit(0)
+        table = cut(links.join(outs, F.col("origin") == F.col("in_rid")).select("in_rid", F.col("out_rid").alias("origin"), "rel", "target", "target_is_iri", "attrs", "is_main", "types"))
+        mine = {}
+        for k, (r, kinds) in keys.items():
+            gate = F.col("is_main") if kinds is None else F.coalesce(F.arrays_overlap("types", F.array(*[F.lit(t) for t in kinds])), F.lit(False))
+            mine[k] = (F.col("rel") == r) & gate
+        return table, mine
 
-    def transform(self, model: Linkset, made: Linkset, fingerprints: DataFrame) -> tuple[Linkset, DataFrame, DataFrame, DataFrame]:
-        """(links, entities made, misses, firings)."""
+    def transform(self, model: Linkset, made: DataFrame, fingerprints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """(links with the entities they create, entities made, misses, firings)."""
+        spark = model.df.sparkSession
         resources = fingerprints.where("is_main").groupBy("in_rid").agg(F.array_sort(F.collect_list("out_rid")).alias("mains"))
-        env = Env(model, base=self.base, extras=self.extras, resources=resources)
-        types = made.match(None, TYPE).df.select(F.col("origin").alias("_to"), F.col("target").alias("_tt"))
-        taken = fired = None
+        env = self._env(model, resources=resources)
+        table, mine = self.dispatched(model, made, fingerprints)
         for key, rules in self.transform_rules.items():
-            r, kinds = (key, None) if isinstance(key, str) else (key[0], list(key[1:]))
-            outs = fingerprints.where("is_main").select("in_rid", "out_rid") if kinds is None else fingerprints.join(types.where(F.col("_tt").isin(kinds)).select("_to").distinct(), F.col("out_rid") == F.col("_to"), "left_semi").select("in_rid", "out_rid")
-            ctx = model.match(None, r).df.join(outs, F.col("origin") == F.col("in_rid"))
-            hit = ctx.select("in_rid", "rel").distinct()
-            taken = hit if taken is None else taken.unionByName(hit)
-            n = ctx.agg((F.count(F.lit(1)) * len(_rules(rules))).alias("n")).select(F.lit(key if isinstance(key, str) else " ".join(key)).alias("rule"), "n")
-            fired = n if fired is None else fired.unionByName(n)
-            ctx = ctx.select("in_rid", F.col("out_rid").alias("origin"), "rel", "target", "target_is_iri", "attrs")
             for rule in _rules(rules):
-                first = _contexts(ctx).withColumn("_input", F.array("_in"))
+                first = _contexts(table.where(mine[key])).withColumn("_input", F.array("_in"))
                 _action(rule).lower(first, replace(env, vars={"input-resource": "_input"}))
         misses = model.df.join(fingerprints.select("in_rid").distinct(), F.col("origin") == F.col("in_rid"), "left_semi")
-        if taken is not None:
-            misses = misses.join(taken.select(F.col("in_rid").alias("_mo"), F.col("rel").alias("_mr")).distinct(), (F.col("origin") == F.col("_mo")) & (F.col("rel") == F.col("_mr")), "left_anti")
+        fired = spark.createDataFrame([], "rule string, n bigint")
+        if mine:
+            any_rule = F.lit(False)
+            for c in mine.values():
+                any_rule |= c
+            taken = table.where(any_rule).select(F.col("in_rid").alias("_mo"), F.col("rel").alias("_mr")).distinct()
+            misses = misses.join(taken, (F.col("origin") == F.col("_mo")) & (F.col("rel") == F.col("_mr")), "left_anti")
+            counts = [F.struct(F.lit(k if isinstance(k, str) else " ".join(k)).alias("rule"), (F.count_if(c) * len(_rules(self.transform_rules[k]))).alias("n")) for k, c in mine.items()]
+            fired = table.agg(F.array(*counts).alias("all")).select(F.explode("all").alias("f")).select("f.*")
         entities = None
         for m in env.made:
             entities = m if entities is None else entities.unionByName(m)
         if entities is None:
             entities = fingerprints.limit(0).select("in_rid", "out_rid")
-        if fired is None:
-            fired = model.df.sparkSession.createDataFrame([], "rule string, n bigint")
-        return _collected(env, model), entities, misses, fired
+        return cut(_rows(env, model)), entities, misses, fired
 
     def labelize(self, output: Linkset) -> tuple[Linkset, DataFrame]:
-        env, rows = Env(output, base=self.base, extras=self.extras), None
+        env, rows = self._env(output), None
         for typ, rules in self.labelize_rules.items():
             for rule in _rules(rules):
                 ctx = output.match(None, TYPE, typ).df.select(F.col("origin").alias("in_rid"), "origin", "rel", "target", "target_is_iri", "attrs").distinct()
@@ -713,22 +811,22 @@ class Pipeline:
         return labels, rows.where("label = ''").select(F.col("_o").alias("origin"), "type").distinct()
 
     def run(self, model: Linkset, known: DataFrame | None = None) -> Result:
-        """The stages in order. ``known`` (out_rid): entities of earlier runs; links whose origin is one are left out."""
+        """The stages in order. ``known`` (out_rid): entities of earlier runs, which are not created again: their type, fingerprint
+        and own links are left out, but what transform rules say of them is not."""
         spark = model.df.sparkSession
         made, fingerprints = self.fingerprint(model)
         none = spark.createDataFrame([], "origin string, type string")
         if not fingerprints.limit(1).count():
             return Result(Linkset.empty(spark), fingerprints, model.df.limit(0), none, False)
         more, entities, misses, firings = self.transform(model, made, fingerprints)
-        output = Linkset(cut(made.union(more).df))
+        rows = made.unionByName(more)
+        output = Linkset(cut(_deduplicated(rows).df))
         labels, blank = self.labelize(output)
-        output = output.union(labels)
         ids = fingerprints.select("out_rid").unionByName(entities.select("out_rid")).distinct()
-        for hook in self.hooks:
-            output = output.union(hook(ids))
         if known is not None:
-            output = Linkset(output.df.join(known.select(F.col("out_rid").alias("_known")), F.col("origin") == F.col("_known"), "left_anti"))
-        return Result(output, fingerprints, misses, blank, True, firings)
+            output = _deduplicated(rows, known)
+        output = output.union(labels, *[hook(ids) for hook in self.hooks])
+        return Result(output, fingerprints, misses, blank, True, firings, ids)
 
 
 def stage(key: int):

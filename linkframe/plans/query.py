@@ -224,7 +224,7 @@ def bindings(links: Linkset, query, variables: Mapping[str, str] | None = None,
             continue
         shared = sorted(set(out.columns) & set(b.columns))
         if not shared:
-            raise QueryError("the patterns of an and must share a variable")
+            raise QueryError("the patterns of an and must share a variable; var_sets(..., compat=True) gives the values of each by itself")
         out = out.join(b, shared)
     if out is None:
         raise QueryError("not needs something before it: A and not B")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkframe.operators.linkset import NO_ATTRS, Linkset
+from linkframe.schema import cut
 
 
 def from_two_tables(relationship: DataFrame, attribute: DataFrame | None, origin: str = "origin", rel: str = "rel", target: str = "target", is_iri: Column | None = None) -> Linkset:
@@ -50,9 +51,11 @@ def load(spark: SparkSession, path: str) -> Linkset:
     return Linkset(spark.read.parquet(path).select(*[f.name for f in LINK_SCHEMA.fields]))
 
 
-def save_table(links: Linkset, name: str, buckets: int, mode: str = "overwrite") -> None:
-    """As a table bucketed by origin: joins and groupings by origin then need no shuffle."""
-    links.df.write.mode(mode).bucketBy(buckets, "origin").sortBy("origin", "rel").saveAsTable(name)
+def save_table(links: Linkset, name: str, buckets: int, mode: str = "overwrite", path: str | None = None) -> None:
+    """As a table bucketed by origin: joins and groupings by origin then need no shuffle, a lookup of one origin reads one
+    bucket. ``path``: where, if not in the warehouse."""
+    w = links.df.write.mode(mode).bucketBy(buckets, "origin").sortBy("origin", "rel")
+    (w.option("path", path) if path else w).saveAsTable(name)
 
 
 def drop_table(spark: SparkSession, name: str) -> None:
@@ -67,6 +70,13 @@ def read_jdbc(spark: SparkSession, url: str, space: str = "", properties: Mappin
     return from_two_tables(spark.read.jdbc(url, f"{prefix}relationship", properties=props, **split), spark.read.jdbc(url, f"{prefix}attribute", properties=props, **split))
 
 
+def match_jdbc(spark: SparkSession, url: str, space: str = "", properties: Mapping[str, str] | None = None, **parts) -> DataFrame:
+    """``match_two_tables`` on the tables of a database, which gets the equalities as its own filters."""
+    prefix = f"{space}_" if space else ""
+    read = lambda name: spark.read.jdbc(url, prefix + name, properties=dict(properties or {}))
+    return match_two_tables(read("relationship"), read("attribute"), **parts)
+
+
 def write_jdbc(links: Linkset, url: str, space: str = "", properties: Mapping[str, str] | None = None, mode: str = "append") -> None:
     prefix = f"{space}_" if space else ""
     for df, name in zip(to_two_tables(links), ("relationship", "attribute")):
@@ -82,7 +92,8 @@ def shortened(links: Linkset, parts: Iterable[str] = ("rel", "target")) -> tuple
     for p in parts:
         x = links.df.select(head(F.col(p)).alias("prefix")).where("prefix <> ''")
         seen = x if seen is None else seen.unionByName(x)
-    table = seen.groupBy("prefix").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select("prefix", F.abs(F.xxhash64("prefix")).alias("n"))
+    table = seen.groupBy("prefix").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select("prefix", F.monotonically_increasing_id().alias("n"))
+    table = cut(table)  # the numbers are given once
     df = links.df
     doubled = lambda c: F.replace(F.replace(c, F.lit("{"), F.lit("{{")), F.lit("}"), F.lit("}}"))
     for p in parts:

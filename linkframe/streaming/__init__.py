@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from linkframe.operators.linkset import Linkset
+from linkframe.operators.linkset import Linkset, digest
 from linkframe.plans.pipeline import Pipeline
+from linkframe.schema import cut
 from linkframe.sources.formats import ntriples
 
 
@@ -42,22 +43,36 @@ def unseen(links: DataFrame, at: str, late: str, keys: list[str]) -> DataFrame:
     return links.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
+def _earlier(spark: SparkSession, path: str, schema: str, n: int) -> DataFrame | None:
+    """What batches before ``n`` wrote; None before the first."""
+    try:
+        return spark.read.schema(f"{schema}, batch bigint").parquet(path).where(F.col("batch") < n).drop("batch")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
 def run_pipeline(links: Linkset, pipeline: Pipeline, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """A pipeline over a stream of links, a batch at a time: links are appended to ``out/links`` and the ids made to
-    ``out/ids``; entities of earlier batches are not written again. Every batch has its own folder, which a rerun of that
-    batch overwrites, so a failure leaves nothing twice."""
+    """A pipeline over a stream of links, a batch at a time: links are appended to ``out/links``, each once over all batches.
+    Entities of earlier batches are not created again, but new links that rules make of them are written. ``out/ids`` and
+    ``out/seen`` hold what was made, only what is new in each batch: an id, or a digest of 16 bytes a link. Every batch has
+    its own folders, which a rerun of that batch overwrites, so a failure leaves nothing twice."""
 
     def batch(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
-        known = None
-        try:
-            known = spark.read.schema("out_rid string, batch bigint").parquet(f"{out}/ids").where(F.col("batch") < n).select("out_rid")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        known, seen = _earlier(spark, f"{out}/ids", "out_rid string", n), _earlier(spark, f"{out}/seen", "link_digest binary", n)
         r = pipeline.run(Linkset(df), known)
-        r.output.df.write.mode("overwrite").parquet(f"{out}/links/batch={n}")
-        r.output.df.select(F.col("origin").alias("out_rid")).distinct().write.mode("overwrite").parquet(f"{out}/ids/batch={n}")
+        made = r.output.df.withColumn("link_digest", digest())
+        ids = r.entities if r.entities is not None else spark.createDataFrame([], "out_rid string")
+        if known is not None:
+            ids = ids.join(known, "out_rid", "left_anti")
+        if seen is not None:
+            made = made.join(seen, "link_digest", "left_anti")
+        made = cut(made)
+        made.drop("link_digest").write.mode("overwrite").parquet(f"{out}/links/batch={n}")
+        made.select("link_digest").write.mode("overwrite").parquet(f"{out}/seen/batch={n}")
+        ids.write.mode("overwrite").parquet(f"{out}/ids/batch={n}")
 
     return links.df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

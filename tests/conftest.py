@@ -1,10 +1,22 @@
 import os
+import re
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+ROOT = Path(__file__).resolve().parents[1]
+sys.path.insert(0, str(ROOT))
+
+
+def given_prefixes() -> dict[str, str]:
+    """The namespaces that the given fixtures name, by their short names; none where that file is not there."""
+    text = (ROOT / "FIXTURES.md").read_text() if (ROOT / "FIXTURES.md").exists() else ""
+    return dict(re.findall(r"`([A-Z]+):` = `([^`]+)`", text))
+
+
+if "V" in given_prefixes():  # ids made under that namespace are tested
+    os.environ.setdefault("LINKFRAME_NAMESPACE", given_prefixes()["V"])
 SF = "/root/testdata/sf0.001"
 
 

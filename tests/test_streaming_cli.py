@@ -46,6 +46,21 @@ def test_incremental_pipeline(spark, tmp_path):
         assert made.select("target").distinct().count() == made.count() == (1 if n < 2 else 2)
 
 
+def test_incremental_pipeline_is_one_run(spark, tmp_path):
+    """New facts about an entity that is known are not lost: two batches give what one run over both does."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    p = Pipeline({"T": materialize("U", fprint=[("n", follow("name"))], links=[("own", "o")])}, {"name": link(rel="n"), ("born", "U"): link(rel="b")}, {"U": follow("n")})
+    batches = [[("x", TYPE, "T"), ("x", "name", "N")], [("y", TYPE, "T"), ("y", "name", "N"), ("y", "born", "1970")], [("z", TYPE, "T"), ("z", "name", "M")]]
+    for b in batches:
+        Linkset.of(spark, b).df.write.mode("append").parquet(src)
+        run_pipeline(read_links(spark, src), p, out, str(tmp_path / "c")).awaitTermination()
+    cols = ["origin", "rel", "target"]
+    made = sorted(map(tuple, spark.read.parquet(out + "/links").select(*cols).collect()))
+    whole = p.run(Linkset.of(spark, [x for b in batches for x in b])).output
+    assert made == sorted(map(tuple, whole.df.select(*cols).collect())) and [t for _, r, t in made if r == "b"] == ["1970"]
+    assert spark.read.parquet(out + "/ids").count() == 2
+
+
 def test_cli(spark, tmp_path, capsys):
     src = tmp_path / "in.vlit"
     src.write_text("# http://a [http://T]\n\n* <http://name>: N\n")
