@@ -1,6 +1,7 @@
 """Command line: ``python -m linkframe.cli parse IN OUT``, ``transform RULES IN OUT``, ``query IN QUERY``, ``atom IN OUT``.
 
-Formats go by extension: .vlit and .md literate, .nt N-Triples, .json dumps, .parquet tables, .mmd (writing) diagrams.
+Formats go by extension: .vlit and .md literate, .nt N-Triples, .json dumps, .parquet tables, .html (reading) their
+RDFa Lite statements, .ttl (writing) Turtle, .mmd (writing) diagrams.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ def read(spark: SparkSession, path: str) -> Linkset:
         return formats.read_json_dump(spark, path)
     if ext == "parquet":
         return storage.load(spark, path)
+    if ext in ("html", "htm"):
+        return formats.html_links(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("html")))
     raise SystemExit(f"cannot read {path}")
 
 
@@ -41,6 +44,8 @@ def write(links: Linkset, path: str) -> None:
         literate.write(links, path)
     elif ext == "nt":
         formats.to_ntriples(links).write.text(path)
+    elif ext == "ttl":
+        formats.turtle(links).select("value").write.text(path)
     elif ext == "json":
         formats.to_json_lines(links).write.text(path)
     elif ext == "mmd":

@@ -84,6 +84,10 @@ class Linkset:
     def count(self) -> DataFrame:
         return self.df.agg(F.count(F.lit(1)).alias("n_links"))
 
+    def counts(self, by: str) -> DataFrame:
+        """(by, n): links of each value of a part; a few values that hold most of the links leave a task as one state each."""
+        return self.df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+
     def at(self, link_id: int) -> DataFrame:
         return self.df.where(F.col("link_id") == link_id)
 

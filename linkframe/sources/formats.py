@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from linkframe.functions.hashing import id_of
 from linkframe.functions.iri import resolve
 from linkframe.operators.linkset import Linkset
-from linkframe.schema import LABEL, LINK_SCHEMA, NS, PROPERTIES, RDF_TYPE, RDFS_NS, REFINES, TYPE, VALUE
+from linkframe.schema import LABEL, LINK_SCHEMA, NS, PROPERTIES, RDF_TYPE, RDFS_NS, REFINES, TYPE, VALUE, cut
 
 # --- N-Triples
 
@@ -70,6 +70,16 @@ def to_ntriples(links: Linkset) -> DataFrame:
     return links.df.where(F.col("origin") != "@docheader").select(F.concat(F.lit("<"), "origin", F.lit("> <"), named("rel"), F.lit("> "), target, F.lit(" .")).alias("value"))
 
 
+def turtle(links: Linkset) -> DataFrame:
+    """(origin, value): a Turtle block per resource, its statements sorted; attributes are lost. Blocks can stand in any order."""
+    from linkframe.functions.text import lookup
+
+    named = lambda c: F.concat(F.lit("<"), lookup(F.col(c), RDF_NAMES, F.col(c)), F.lit(">"))
+    target = F.when(F.coalesce("target_is_iri", F.lit(False)), named("target")).otherwise(F.concat(F.lit('"'), _escaped(F.col("target")), F.lit('"')))
+    rows = links.df.where("target is not null").select("origin", F.concat(F.lit("    "), named("rel"), F.lit(" "), target).alias("line"))
+    return rows.groupBy("origin").agg(F.array_join(F.array_sort(F.collect_set("line")), " ;\n").alias("lines")).select("origin", F.concat(F.lit("<"), "origin", F.lit(">\n"), "lines", F.lit(" .\n")).alias("value"))
+
+
 # --- JSON dump
 
 def to_json_lines(links: Linkset) -> DataFrame:
@@ -96,8 +106,9 @@ def load_json(text: str) -> list[tuple]:
     return out
 
 
-def read_json_dump(spark: SparkSession, path: str) -> Linkset:
-    """Dump files, a JSON array each or an item a line, parsed where they lie."""
+def read_json_dump(spark: SparkSession, path: str, by_line: bool = False) -> Linkset:
+    """Dump files, a JSON array each or an item a line, parsed where they lie. ``by_line`` for files of an item a line, which are
+    then read in splits; otherwise a file is read as one text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -112,12 +123,19 @@ def read_json_dump(spark: SparkSession, path: str) -> Linkset:
                     rows.append((i, o, r, t, iri or None, [{"name": k, "value": v} for k, v in sorted(attrs.items())]))
             yield pd.DataFrame(rows, columns=[f.name for f in LINK_SCHEMA.fields])
 
-    return Linkset(spark.read.text(path, wholetext=True).mapInPandas(run, LINK_SCHEMA))
+    return Linkset(spark.read.text(path, wholetext=not by_line).mapInPandas(run, LINK_SCHEMA))
 
 
 # --- JSON-LD
 
 
+def _objects(rows: DataFrame) -> DataFrame:
+    """(origin, body, n): the members of each object as JSON text, from (origin, k, v)."""
+    vals = rows.groupBy("origin", "k").agg(F.array_sort(F.collect_list("v")).alias("vs"))
+    member = F.concat(_json(F.col("k")), F.lit(":"), F.when(F.size("vs") == 1, F.get("vs", F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join("vs", ","), F.lit("]"))))
+    return vals.groupBy("origin").agg(F.array_join(F.array_sort(F.collect_list(member)), ",").alias("body"), F.count_if(F.col("k") != "@type").alias("n"))
+
+
 def jsonld(links: Linkset, vocab: str = "", ignore_types: Iterable[str] = (), type_rel: str = TYPE) -> DataFrame:
     """(origin, value): a JSON object per resource that no other one refers to. A resource it refers to is put in its place,
     one level deep; further references stay ids. Several values are a list; keys are relative to ``vocab``; resources of
@@ -130,20 +148,52 @@ def jsonld(links: Linkset, vocab: str = "", ignore_types: Iterable[str] = (), ty
         df = df.join(bad, "origin", "left_anti")
     key = F.when(F.col("rel") == type_rel, F.lit("@type")).otherwise(short(F.col("rel")))
 
-    def objects(rows: DataFrame) -> DataFrame:
-        """(origin, body, n): the members of each object as JSON text, from (origin, k, v)."""
-        vals = rows.groupBy("origin", "k").agg(F.array_sort(F.collect_list("v")).alias("vs"))
-        member = F.concat(_json(F.col("k")), F.lit(":"), F.when(F.size("vs") == 1, F.get("vs", F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join("vs", ","), F.lit("]"))))
-        return vals.groupBy("origin").agg(F.array_join(F.array_sort(F.collect_list(member)), ",").alias("body"), F.count_if(F.col("k") != "@type").alias("n"))
-
     known = df.select("origin").distinct()
     plain = df.join(known.select(F.col("origin").alias("_known")), F.col("target") == F.col("_known"), "left")
     leaf = plain.select("origin", key.alias("k"), F.when(F.col("_known").isNotNull(), F.concat(F.lit('{"@id":'), _json(F.col("target")), F.lit("}"))).otherwise(_json(F.when(F.col("rel") == type_rel, short(F.col("target"))).otherwise(F.col("target")))).alias("v"))
-    inner = objects(leaf).select(F.col("origin").alias("_at"), F.concat(F.lit('{"@id":'), _json(F.col("origin")), F.lit(","), "body", F.lit("}")).alias("nested"))
+    inner = _objects(leaf).select(F.col("origin").alias("_at"), F.concat(F.lit('{"@id":'), _json(F.col("origin")), F.lit(","), "body", F.lit("}")).alias("nested"))
     top = df.join(df.where("target <> origin").select(F.col("target").alias("_t")).distinct(), F.col("origin") == F.col("_t"), "left_anti")
     put = top.join(inner, F.col("target") == F.col("_at"), "left")
     rows = put.select("origin", key.alias("k"), F.coalesce("nested", _json(F.when(F.col("rel") == type_rel, short(F.col("target"))).otherwise(F.col("target")))).alias("v"))
-    return objects(rows).where("n > 0").select("origin", F.concat(F.lit('{"@id":'), _json(F.col("origin")), F.lit(","), "body", F.lit("}")).alias("value"))
+    return _objects(rows).where("n > 0").select("origin", F.concat(F.lit('{"@id":'), _json(F.col("origin")), F.lit(","), "body", F.lit("}")).alias("value"))
+
+
+def jsonld_tree(links: Linkset, vocab: str = "", ignore_types: Iterable[str] = (), type_rel: str = TYPE) -> DataFrame:
+    """(origin, value): like ``jsonld``, but nested to any depth, each object once: a resource that others refer to stands whole in
+    the first of them (in order of ids, and there at the first of the rels), and as its id in the rest; what no other holds is
+    at the top. Objects are put together from the innermost outwards, a round a level; where resources hold each other in a
+    circle, the references from a later to an earlier id stay ids."""
+    short = lambda c: F.when(c.startswith(vocab), F.substring(c, len(vocab) + 1, 1 << 30)).otherwise(c) if vocab else c
+    df = links.df.where("target is not null").select("origin", "rel", "target").distinct()
+    if ignored := list(ignore_types):
+        df = df.join(df.where((F.col("rel") == type_rel) & F.col("target").isin(ignored)).select("origin"), "origin", "left_anti")
+    df = cut(df)
+    known = df.select(F.col("origin").alias("_known")).distinct()
+    refs = df.where((F.col("rel") != type_rel) & (F.col("target") != F.col("origin"))).join(known, F.col("target") == F.col("_known"), "left_semi")
+    held = cut(refs.groupBy(F.col("target").alias("child")).agg(F.min(F.struct("origin", "rel")).alias("m")).select("child", F.col("m.origin").alias("holder"), F.col("m.rel").alias("at")))
+    value = F.when(F.col("rel") == type_rel, _json(short(F.col("target")))).when(F.col("_known").isNotNull(), F.concat(F.lit('{"@id":'), _json(F.col("target")), F.lit("}"))).otherwise(_json(F.col("target")))
+    key = F.when(F.col("rel") == type_rel, F.lit("@type")).otherwise(short(F.col("rel")))
+    flat = cut(df.join(known, F.col("target") == F.col("_known"), "left").select("origin", "rel", "target", key.alias("k"), value.alias("v")))
+    left, done = cut(known.select(F.col("_known").alias("origin"))), None
+    while True:
+        waits = held.join(left.select(F.col("origin").alias("child")), "child", "left_semi").select(F.col("holder").alias("origin"))
+        ready = cut(left.join(waits, "origin", "left_anti"))
+        if not ready.limit(1).count():
+            if not left.limit(1).count():
+                break
+            circle = held.join(left.select(F.col("origin").alias("child")), "child", "left_semi").where("child < holder").select("child")
+            held = cut(held.join(circle, "child", "left_anti"))
+            continue
+        rows = flat.join(ready, "origin", "left_semi")
+        if done is not None:
+            inner = held.join(done, F.col("child") == F.col("origin")).select(F.col("holder").alias("_h"), F.col("at").alias("_r"), F.col("child").alias("_c"), "value")
+            rows = rows.join(inner, (F.col("origin") == F.col("_h")) & (F.col("rel") == F.col("_r")) & (F.col("target") == F.col("_c")), "left").select("origin", "k", F.coalesce("value", "v").alias("v"))
+        new = cut(_objects(rows.select("origin", "k", "v")).select("origin", F.concat(F.lit('{"@id":'), _json(F.col("origin")), F.lit(","), "body", F.lit("}")).alias("value"), "n"))
+        done = new if done is None else done.unionByName(new)
+        left = cut(left.join(ready, "origin", "left_anti"))
+    if done is None:
+        return links.df.limit(0).select("origin", F.lit("").alias("value"))
+    return done.join(held.select(F.col("child").alias("origin")), "origin", "left_anti").where("n > 0").drop("n")
 
 
 def unwrapped(objects: DataFrame, column: str = "value") -> DataFrame:

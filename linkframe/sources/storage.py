@@ -77,10 +77,12 @@ def match_jdbc(spark: SparkSession, url: str, space: str = "", properties: Mappi
     return match_two_tables(read("relationship"), read("attribute"), **parts)
 
 
-def write_jdbc(links: Linkset, url: str, space: str = "", properties: Mapping[str, str] | None = None, mode: str = "append") -> None:
+def write_jdbc(links: Linkset, url: str, space: str = "", properties: Mapping[str, str] | None = None, mode: str = "append", column_types: tuple[str, str] | None = None) -> None:
+    """``column_types``: of the two tables where they are created, such as ``('origin VARCHAR(2000)', 'name VARCHAR(500)')``; in some
+    databases texts of unbounded length cannot be compared."""
     prefix = f"{space}_" if space else ""
-    for df, name in zip(to_two_tables(links), ("relationship", "attribute")):
-        df.write.jdbc(url, prefix + name, mode=mode, properties=dict(properties or {}))
+    for df, name, types in zip(to_two_tables(links), ("relationship", "attribute"), column_types or (None, None)):
+        (df.write.option("createTableColumnTypes", types) if types else df.write).jdbc(url, prefix + name, mode=mode, properties=dict(properties or {}))
 
 
 def shortened(links: Linkset, parts: Iterable[str] = ("rel", "target")) -> tuple[Linkset, DataFrame]:

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from linkframe import queries_links, queries_pipeline
+from linkframe import queries_links, queries_more, queries_pipeline  # noqa: F401 - queries_more adds to queries_links
 from linkframe.operators.linkset import Linkset
 from linkframe.schema import table
 from linkframe.sources import storage
@@ -32,6 +32,16 @@ def test_match_reaches_the_scan(spark):
     assert re.search(r"ReadSchema: struct<origin:string,rel:string,target:string>", text)
 
 
+def test_match_reaches_the_database(spark):
+    from linkframe.queries_more import _database
+
+    url, props = _database(spark, Linkset.of(spark, [("a", "r", "t", {"n": "v"}), ("b", "r", "t", {"n": "w"})]), "name VARCHAR(500), value VARCHAR(500)")
+    df = storage.match_jdbc(spark, url, "x", props, origin="a", attrs={"n": "v"})
+    text = plan(df)
+    assert re.search(r"PushedFilters: \[.*EqualTo\(origin,a\)", text) and re.search(r"PushedFilters: \[.*EqualTo\(value,v\)", text)
+    assert [r.origin for r in df.collect()] == ["a"]
+
+
 def test_follow_star_is_one_aggregation(spark):
     from linkframe.operators.graph import follow_star
 
