@@ -179,7 +179,7 @@ class Encoder:
             raw = [b for _, b in group]
             if size == -1:
                 ids = [self.byte_id[[b[0]]].astype(np.int32) for b in raw]
-            elif len(raw) < FEW and 1 << size >= LONG:
+            elif 1 << size >= LONG and sum(map(len, raw)) < FEW * max(map(len, raw)):  # by the merges of all against those of the longest
                 ids = [self.merge_one(b) for b in raw]
             else:
                 step = max(1, (1 << 21) >> max(size, 1))  # bounds the memory of the trees

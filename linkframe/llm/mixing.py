@@ -9,9 +9,10 @@ to whole copies so that the tokens of every source still meet their target.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkframe.llm.encoding import VOCABULARY, count_tokens
@@ -50,31 +51,35 @@ def read_targets(targets: DataFrame) -> dict[str, Target]:
     return out
 
 
-def _of(source: Column, values: dict[str, float]) -> Column:
-    """A bounded map of the sources, as an expression."""
-    return F.try_element_at(F.map_from_entries(F.array(*[F.struct(F.lit(k), F.lit(float(v))) for k, v in values.items()])), source)
+def _with(docs: DataFrame, t: dict[str, Target], **values: Callable[[str, Target], float]) -> DataFrame:
+    """``docs`` of the sources ``t`` with a column of each of the values. The sources are at most MOST_SOURCES, so their table is
+    broadcast."""
+    rows = [(s, *[float(v(s, x)) for v in values.values()]) for s, x in t.items()]
+    table = docs.sparkSession.createDataFrame(rows, "source string, " + ", ".join(f"{c} double" for c in values))
+    return docs.join(F.broadcast(table), "source")
 
 
-def _rate(t: dict[str, Target]) -> Column:
-    size = F.col("n_tokens") / _of(F.col("source"), {s: max(1.0, x.tokens / max(1, x.docs)) for s, x in t.items()})
-    return F.least(_of(F.col("source"), {s: x.repeats for s, x in t.items()}), F.exp(F.least(_of(F.col("source"), {s: x.tilt for s, x in t.items()}) * size, F.lit(60.0))))
+def _rated(docs: DataFrame, t: dict[str, Target]) -> DataFrame:
+    """With ``cap``, ``z`` (size against the mean of the source) and ``r``, the rate."""
+    docs = _with(docs, t, cap=lambda _, x: x.repeats, mean=lambda _, x: max(1.0, x.tokens / max(1, x.docs)), tilt=lambda _, x: x.tilt)
+    z = F.col("n_tokens") / F.col("mean")
+    return docs.withColumns({"z": z, "r": F.least("cap", F.exp(F.least(F.col("tilt") * z, F.lit(60.0))))}).drop("mean", "tilt")
 
 
-def balance(docs: DataFrame, t: dict[str, Target], rounds: int = 60, close: float = 1e-7) -> None:
-    """Set the tilts. ``docs``: source, n_tokens. The dual falls apart by source, so the Hessian is diagonal; a step that
-    leaves the bracket of its source is replaced by bisection, so it always ends."""
-    open_ = {}
+def balance(docs: DataFrame, t: dict[str, Target], close: float = 1e-9) -> int:
+    """Set the tilts; gives the rounds it took. ``docs``: source, n_tokens. The dual falls apart by source, so the Hessian is
+    diagonal; a step that leaves the bracket of its source is replaced by bisection. A source is done when its tokens are
+    within ``close`` of the goal, or no number is left between the ends of its bracket, so it always ends, and never before."""
+    open_, rounds = {}, 0
     for s, x in t.items():
         if x.goal >= x.cap * (1 - 1e-12):
             x.tilt = 1e6  # every document as often as is allowed
         else:
             open_[s] = x
-    for _ in range(rounds):
-        if not open_:
-            return
-        r, cap = _rate(t), _of(F.col("source"), {s: x.repeats for s, x in t.items()})
-        size = F.col("n_tokens") / _of(F.col("source"), {s: max(1.0, x.tokens / max(1, x.docs)) for s, x in t.items()})
-        sums = docs.where(F.col("source").isin(list(open_))).withColumns({"r": r, "z": size, "cap": cap}).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("r")).alias("g"), F.sum(F.when(F.col("r") < F.col("cap"), F.col("n_tokens") * F.col("z") * F.col("r")).otherwise(0.0)).alias("h"))
+    while open_:
+        rounds += 1
+        n = F.col("n_tokens")
+        sums = _rated(docs, open_).groupBy("source").agg(F.sum(n * F.col("r")).alias("g"), F.sum(F.when(F.col("r") < F.col("cap"), n * F.col("z") * F.col("r")).otherwise(0.0)).alias("h"))
         for row in sums.collect():
             x = open_[row.source]
             gap = row.g - x.goal
@@ -85,39 +90,44 @@ def balance(docs: DataFrame, t: dict[str, Target], rounds: int = 60, close: floa
             step = x.tilt - gap / row.h if row.h > 0 else math.nan
             if not x.lo < step < x.hi:
                 step = (x.lo + x.hi) / 2 if math.isfinite(x.lo + x.hi) else (x.lo * 2 + 1 if math.isfinite(x.lo) else x.hi * 2 - 1)
+            if not x.lo < step < x.hi:
+                del open_[row.source]
+                continue
             x.tilt = step
+    return rounds
 
 
-def _thresholds(docs: DataFrame, t: dict[str, Target], levels: int = 3) -> dict[str, float]:
-    """Below which value of ``g`` a document gets its extra copy, so that the tokens of the source meet their goal: by
-    histograms, each a finer view of the bin in which the goal lies."""
+def _thresholds(docs: DataFrame, t: dict[str, Target]) -> dict[str, float]:
+    """Below which value of ``g`` a document gets its extra copy, so that the tokens of the source meet their goal to the size
+    of a document: by histograms, each a finer view of the bin in which the goal lies, until that bin holds one document (or
+    is as narrow as the hashes that ``g`` is made of are apart)."""
     lo, width, need = {s: -1.0 for s in t}, 2.0, {}
-    base = docs.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("whole")).alias("n"))
-    for r in base.collect():
+    for r in docs.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("whole")).alias("n")).collect():
         need[r.source] = t[r.source].goal - r.n
-    best = dict.fromkeys(t, -1.0)
-    for _ in range(levels):
+    best, open_ = dict.fromkeys(t, -1.0), {s: x for s, x in t.items() if s in need}
+    while open_ and width > 2.0**-41:
         step = width / BINS
-        b = F.floor((F.col("g") - _of(F.col("source"), lo)) / step).cast("int")
-        bins = docs.where("spare").withColumn("bin", b).where((F.col("bin") >= 0) & (F.col("bin") < BINS)).groupBy("source", "bin").agg(F.sum("n_tokens").alias("n"))
-        per: dict[str, dict[int, int]] = {}
+        looked = _with(docs.where("spare"), open_, lo=lambda s, _: lo[s]).withColumn("bin", F.floor((F.col("g") - F.col("lo")) / step).cast("int"))
+        bins = looked.where((F.col("bin") >= 0) & (F.col("bin") < BINS)).groupBy("source", "bin").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("d"))
+        per: dict[str, dict[int, tuple[int, int]]] = {}
         for r in bins.collect():
-            per.setdefault(r.source, {})[r.bin] = r.n
-        for s in t:
+            per.setdefault(r.source, {})[r.bin] = (r.n, r.d)
+        for s in list(open_):
             got = 0
             for i in range(BINS):
-                n = per.get(s, {}).get(i, 0)
-                if got + n > need.get(s, 0):
+                n, d = per.get(s, {}).get(i, (0, 0))
+                if got + n > need[s]:
                     # the goal lies in this bin: the nearer of its two ends for now, and a finer look
                     best[s] = lo[s] + (i + 1) * step if got + n - need[s] < need[s] - got else lo[s] + i * step
                     lo[s] += i * step
-                    need[s] = need.get(s, 0) - got
+                    need[s] -= got
+                    if d <= 1:
+                        del open_[s]
                     break
                 got += n
-            else:
+            else:  # all that can be had is not too much
                 best[s] = lo[s] + width
-                lo[s] += width - step
-                need[s] = need.get(s, 0) - got + per.get(s, {}).get(BINS - 1, 0)
+                del open_[s]
         width = step
     return best
 
@@ -134,8 +144,9 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     copy is decided by a hash of the id: the same input gives the same mix.
     """
     t = read_targets(targets)
-    wished = documents.where(F.col(source_col).isin(list(t))) if t else documents.limit(0)
-    rows = count_tokens(wished.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.col(text_col).alias("_text")), ["_id", "source"], "_text", vocabulary)
+    wished = targets.select(F.col("source").alias("_wished")).where("source is not null")
+    wanted = documents.join(F.broadcast(wished), F.col(source_col) == F.col("_wished"), "left_semi")  # at most MOST_SOURCES
+    rows = count_tokens(wanted.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.col(text_col).alias("_text")), ["_id", "source"], "_text", vocabulary)
     rows = cut(rows)
     for r in rows.where("n_tokens > 0").groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("d")).collect():
         t[r.source].tokens, t[r.source].docs = r.n, r.d
@@ -145,19 +156,22 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     size = min(size, float(total_tokens)) if total_tokens is not None else size
     for x in able.values():
         x.goal = min(float(x.cap), size * x.weight / all_weight)
-    used = rows.where("n_tokens > 0").where(F.col("source").isin(list(able))) if able else rows.limit(0)
+    unused = [F.lit(0.0).alias("rate"), F.lit(0).cast("bigint").alias("n_copies")]
     if able:
+        used = rows.where("n_tokens > 0")
         balance(used, able)
-        used = used.withColumn("rate", _rate(able)).withColumn("whole", F.floor("rate").cast("bigint"))
+        used = _rated(used, able).withColumn("whole", F.floor("r").cast("bigint"))
         u = F.pmod(F.xxhash64(F.col("_id"), F.lit(17)), F.lit(1 << 40)) / float(1 << 40)
-        used = used.withColumn("g", u - (F.col("rate") - F.col("whole"))).withColumn("spare", F.col("whole") + 1 <= _of(F.col("source"), {s: x.repeats for s, x in able.items()}))
+        used = used.withColumn("g", u - (F.col("r") - F.col("whole"))).withColumn("spare", F.col("whole") + 1 <= F.col("cap"))
         below = _thresholds(used, able)
-        extra = F.when(F.col("spare") & (F.col("g") < _of(F.col("source"), below)), 1).otherwise(0)
-        used = used.withColumn("n_copies", F.col("whole") + extra).select("_id", "source", "n_tokens", "rate", "n_copies")
+        used = _with(used, able, below=lambda s, _: below[s])
+        extra = F.when(F.col("spare") & (F.col("g") < F.col("below")), 1).otherwise(0)
+        used = used.select("_id", "source", "n_tokens", F.col("r").alias("rate"), (F.col("whole") + extra).alias("n_copies"))
+        names = documents.sparkSession.createDataFrame([(s,) for s in able], "_able string")
+        rest = rows.join(F.broadcast(names), (F.col("source") == F.col("_able")) & (F.col("n_tokens") > 0), "left_anti")
+        out = used.unionByName(rest.select("_id", "source", "n_tokens", *unused))
     else:
-        used = used.select("_id", "source", "n_tokens", F.lit(0.0).alias("rate"), F.lit(0).cast("bigint").alias("n_copies"))
-    rest = rows.where((F.col("n_tokens") <= 0) | ~F.col("source").isin(list(able))) if able else rows
-    out = used.unionByName(rest.select("_id", "source", "n_tokens", F.lit(0.0).alias("rate"), F.lit(0).cast("bigint").alias("n_copies")))
+        out = rows.select("_id", "source", "n_tokens", *unused)
     sums = out.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_copies")).alias("tokens"), F.count_if(F.col("n_copies") > 0).alias("n_docs"), F.max("n_copies").alias("most_copies"))
     total = sums.agg(F.sum("tokens")).scalar()
     shares = targets.where("source is not null").select("source", "weight", "max_repeats").join(sums, "source", "left")
