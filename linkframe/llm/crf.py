@@ -24,7 +24,7 @@ def forward_backward(nodes: np.ndarray, length: np.ndarray, start: np.ndarray, s
     n, most, labels = nodes.shape
     shift = nodes.max(axis=2, keepdims=True)
     emit = np.exp(nodes - shift)
-    trans = np.exp(step)
+    trans = np.exp(step).astype(nodes.dtype)
     alpha, scale = np.empty_like(emit), np.ones((n, most), emit.dtype)
     alpha[:, 0] = np.exp(start) * emit[:, 0]
     for t in range(most):
@@ -129,7 +129,7 @@ class Crf:
                 b += 1
             part, a = order[a:b], b
             length = np.array([len(nodes[i]) for i in part])
-            x = np.zeros((len(part), int(length.max()), len(self.labels)))
+            x = np.zeros((len(part), int(length.max()), len(self.labels)), np.float32)  # its probabilities are scaled at every step
             for k, i in enumerate(part):
                 x[k, : length[k]] = nodes[i]
             belief, _, _ = forward_backward(x, length, self.start, self.step)
@@ -143,7 +143,8 @@ class Crf:
         (or for so many rounds, where the messages swing)."""
         labels = len(self.labels)
         psi = np.exp(same)
-        offset = np.concatenate([[0], np.cumsum([len(x) for x in nodes])])
+        size = np.array([len(x) for x in nodes])
+        offset = np.concatenate([[0], np.cumsum(size)])
         a, b = offset[edges[:, 0]] + edges[:, 1], offset[edges[:, 2]] + edges[:, 3]
         src, dst = np.concatenate([a, b]), np.concatenate([b, a])
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
@@ -163,6 +164,11 @@ class Crf:
             moved = np.flatnonzero(np.maximum.reduceat(np.abs(told - used).max(axis=1), offset[:-1]) > settled)
             if not len(moved):
                 break
+            alone = offset[moved[size[moved] == 1]]  # the nodes of all mentions: their beliefs need no pass along a chain
+            own = base[alone] + extra[alone] + self.start
+            own = np.exp(own - own.max(axis=1, keepdims=True))
+            belief[alone], used[alone] = own / own.sum(axis=1, keepdims=True), told[alone]
+            moved = moved[size[moved] > 1]
             for k, b in zip(moved, self.beliefs([base[offset[k] : offset[k + 1]] + extra[offset[k] : offset[k + 1]] for k in moved])):
                 at = slice(offset[k], offset[k + 1])
                 belief[at], used[at] = b, told[at]

@@ -109,21 +109,24 @@ class Finder:
 
     def nodes(self, classes: tuple) -> np.ndarray:
         """``model.nodes``; windows of classes come again in other chains."""
+        return np.array([self.rows[w] for w in windows(classes)])
+
+    def weigh(self, chains: list[tuple]) -> None:
+        """Have the potentials of all windows of the chains at hand."""
         if len(self.rows) > MOST_WINDOWS:
             self.rows.clear()
-        out = []
-        for w in windows(classes):
-            row = self.rows.get(w)
-            if row is None:
-                row = self.rows[w] = self.model.weights[[self.model.index.get(f, 0) for f in features(w)]].sum(axis=0)
-            out.append(row)
-        return np.array(out)
+        new = list({w for c in chains for w in windows(c)}.difference(self.rows))
+        if new:
+            get = self.model.index.get
+            of = np.array([[get(f, 0) for f in features(w)] for w in new])
+            self.rows.update(zip(new, self.model.weights[of].sum(axis=1)))
 
     def learn(self, chains: set[tuple]) -> None:
         if self.places > MOST_PLACES:
             self.known.clear()
             self.places = 0
         new = [c for c in chains if c not in self.known]
+        self.weigh(new)
         for c, b in zip(new, self.model.beliefs([self.nodes(c) for c in new])):
             self.known[c] = Chain(c, b)
             self.places += len(c)
@@ -135,13 +138,16 @@ class Finder:
         docs = [joined(t, d, lambda c: self.known[c].goes_on) if any(self.known[c].goes_on for *_, c in d) else d for t, d in zip(texts, docs)]
         self.learn({c for d in docs for *_, c in d})
         nodes, first, edges, place = [], [], [], {}
+        groups_of = [self.groups(texts[k], chains) if any(self.known[c].unclear for *_, c in chains) else [] for k, chains in enumerate(docs)]
+        self.weigh([docs[k][n][2] for k, groups in enumerate(groups_of) for g in groups for n, _ in g])
+        first_of_hub = np.exp(self.hub + self.model.start)
+        first_of_hub /= first_of_hub.sum()
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         for k, chains in enumerate(docs):
-            groups = self.groups(texts[k], chains) if any(self.known[c].unclear for *_, c in chains) else []
-            for mentions in groups:
+            for mentions in groups_of[k]:
                 hub = len(nodes)
                 nodes.append(self.hub)
-                first.append(np.exp(self.hub + self.model.start) / np.exp(self.hub + self.model.start).sum())
+                first.append(first_of_hub)
                 for n, i in mentions:
                     if (k, n) not in place:
                         place[k, n] = len(nodes)
@@ -168,12 +174,13 @@ class Finder:
                 for i in self.known[classes].joint:
                     by.setdefault(folded(words[i]) if classes[i] != "CODE" else words[i], []).append((n, i))
         groups = [g for g in by.values() if len(g) > 1]
-        differ = []
-        for g in groups:
-            if any(self.known[chains[n][2]].unclear for n, _ in g):
-                b = np.array([self.known[chains[n][2]].belief[i] for n, i in g])
-                if (b.max(axis=0) - b.min(axis=0)).max() > UNEQUAL:
-                    differ.append(g[0][0])
+        open_ = [g for g in groups if any(self.known[chains[n][2]].unclear for n, _ in g)]
+        if not open_:
+            return []
+        rows = np.array([self.known[chains[n][2]].belief[i] for g in open_ for n, i in g])
+        starts = np.cumsum([0, *map(len, open_)])[:-1]
+        apart = (np.maximum.reduceat(rows, starts) - np.minimum.reduceat(rows, starts)).max(axis=1)
+        differ = [g[0][0] for g, far in zip(open_, apart) if far > UNEQUAL]
         if not differ:
             return []
         root = list(range(len(chains)))

@@ -7,6 +7,8 @@ words are tokens by themselves. The model sees only classes: words of a closed l
 from __future__ import annotations
 
 import re
+from itertools import chain
+from operator import and_
 
 from linkframe.llm.names import FORMAL, NICKNAMES, fold
 
@@ -183,12 +185,55 @@ def token_texts(line: str) -> list[str]:
     return (SPLIT if MAIL_SIGN.search(line) else SPLIT_PLAIN).findall(line)
 
 
+#: What may hold the sign of an e-mail address.
+_MAIL = ("@", "＠", "(", "[", "AT")
+_CAPITAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_NUMERIC = re.compile(r"[0-9.,;:%/+\-°]+").fullmatch
+_SAME = str.maketrans("23456789", "11111111")
+
+
+class Chunks(dict):
+    """What stands between two spaces -> (classes of its tokens, how it may go on into the next one, how into the one before).
+    Numbers, postcodes and codes may go on over a space: after a digit, bracket or capital with a digit or bracket, after a
+    digit with a single capital."""
+
+    def __missing__(self, chunk: str) -> tuple[tuple[str, ...], int, int]:
+        if len(self) > MOST_KEPT:
+            self.clear()
+        if not chunk:
+            got = ((), 0, 0)
+        elif _NUMERIC(chunk) and (like := chunk.translate(_SAME)) != chunk:  # such classes depend on zeros and numbers of digits only
+            return self[like]
+        else:
+            last, first = chunk[-1], chunk[0]
+            digit = last.isdigit()
+            after = (1 if digit or last in ")）" or last in _CAPITAL else 0) | (2 if digit else 0)
+            before = (1 if first.isdigit() or first in "(（" else 0) | (2 if first in _CAPITAL and not chunk[1:2].isalnum() else 0)
+            got = (tokens(chunk)[1], after, before)
+        self[chunk] = got
+        return got
+
+
+CHUNKS = Chunks()
+
+
 def line_classes(line: str) -> tuple[str, ...]:
-    """``tokens(line)[1]`` of one line, by the texts of its tokens."""
-    if "Ã" in line:  # the mark before a character that makes it a letter
+    """``tokens(line)[1]`` of one line. No token goes over a space but e-mail addresses, which have a sign, and numbers and codes;
+    so what stands between the spaces is looked up, and only where such a token might go on, the text is taken together."""
+    if "Ã" in line or (any(x in line for x in _MAIL) and MAIL_SIGN.search(line)):
         return tokens(line)[1]
-    got = tuple(map(CLASSES.__getitem__, token_texts(line)))
-    return tokens(line)[1] if None in got else got
+    parts = line.split(" ")
+    got = [CHUNKS[c] for c in parts]
+    if not any(map(and_, [g[1] for g in got], [g[2] for g in got[1:]])):
+        return tuple(chain.from_iterable([g[0] for g in got]))
+    out, i = [], 0
+    while i < len(got):
+        j = i
+        while j + 1 < len(got) and got[j][1] & got[j + 1][2]:
+            j += 1
+        out.append(got[i][0] if i == j else tokens(" ".join(parts[i : j + 1]))[1])
+        i = j + 1
+    return tuple(chain.from_iterable(out))
 
 
 STREETS = {"STREET", "STREETX", "BOX"}
