@@ -89,21 +89,20 @@ class Crf:
             for i, ((_, labels), _) in enumerate(part):
                 f[i, : length[i]] = feats[a + i]
                 y[i, : length[i]] = labels
-            blocks.append((f, y, length, np.array([w for _, w in part])))
+            ids, at = np.unique(f, return_inverse=True)  # the features of a block are few of all
+            blocks.append((f, y, length, np.array([w for _, w in part]), ids, at.ravel()))
         params = [self.weights, self.start, self.step]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         eye = np.eye(width)
         for r in range(1, rounds + 1):
             g = [-decay * total * p for p in params]
-            for f, y, length, w in blocks:
+            for f, y, length, w, ids, at in blocks:
                 nodes = self.weights[f].sum(axis=2)
                 belief, parts, _ = forward_backward(nodes, length, self.start, self.step)
                 inside = np.arange(f.shape[1])[None, :] < length[:, None]
                 diff = (eye[y] - belief) * (inside * w[:, None])[:, :, None]
-                flat = diff.reshape(-1, width)
-                ids = f.reshape(-1, f.shape[2])
-                for j in range(width):
-                    g[0][:, j] += np.bincount(ids.ravel(), np.repeat(flat[:, j], ids.shape[1]), len(self.weights))
+                flat = np.repeat(diff.reshape(-1, width), f.shape[2], axis=0)
+                g[0][ids] += np.stack([np.bincount(at, flat[:, j], len(ids)) for j in range(width)], axis=1)
                 g[1] += diff[:, 0].sum(axis=0)
                 pair = inside[:, 1:] * w[:, None]
                 np.add.at(g[2], (y[:, :-1].ravel(), y[:, 1:].ravel()), pair.ravel())

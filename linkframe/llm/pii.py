@@ -20,8 +20,8 @@ from linkframe.llm.pii_lexer import STREETS, joined, segments, token_texts, toke
 from linkframe.llm.pii_training import LABELS, NUMBER, Grammar, label
 
 #: Lines drawn from the grammar for training; the bound of the training sample.
-TRAINING_LINES = 20_000
-ROUNDS = 110
+TRAINING_LINES = 12_000
+ROUNDS = 90
 #: Log potential of two mentions having the same type.
 AGREEMENT = 1.2
 #: Mentions disagree if their beliefs differ by more than this.

@@ -10,7 +10,7 @@ import re
 from itertools import chain
 from operator import and_
 
-from linkframe.llm.names import FORMAL, NICKNAMES, fold
+from linkframe.llm.names import FORMAL, NICKNAMES, PARTICLES, fold
 
 # Characters that write foreign names in Chinese.
 TRANSLIT = "阿埃安奥巴鲍贝比波伯博布达戴丹德迪蒂杜恩尔法菲费弗福盖戈格古哈海汉赫亨胡基吉加杰卡凯坎科克库拉莱兰劳勒雷里利丽莲林琳卢鲁伦罗洛马玛麦曼梅米莫穆纳娜南内尼诺帕佩皮普奇乔琼萨赛桑森沙莎舍史斯思苏索塔泰坦特廷图托瓦万威韦维沃西希夏肖谢辛雅亚延扬耶伊因尤约泽詹珍朱"
@@ -18,8 +18,8 @@ TRANSLIT = "阿埃安奥巴鲍贝比波伯博布达戴丹德迪蒂杜恩尔法
 WORDS = {
     "PERSON": "inventor inventors inventeur inventeurs erfinder erfinderin agent agents vertreter vertreterin mandataire signed declared witness witnesses zeuge zeugin temoin attorney anwalt attested sworn applicant signe gezeichnet unterzeichnet",
     "TITLE": "dr prof mr mrs ms sir dame mme mlle herr frau dipl ing monsieur madame",
-    "PHONE": "tel fax phone telephone telefon telefax telecopie call called reached ruckruf mobile mobil fon",
-    "MAIL": "mailto mail email courriel correspondence contact ruckfragen questions sheets",
+    "PHONE": "tel fax phone telephone telefon telefax telecopie call called reach reached reachable erreichbar joignable ruckruf mobile mobil fon",
+    "MAIL": "mailto mail email courriel correspondence contact ruckfragen kontakt",
     "IDNUM": "ssn passport taxpayer card identity social security steuer personalausweis ausweis piece identite securite sociale reisepass passeport licence license",
     "ADDRESS": "residing residence resident wohnhaft anschrift adresse address demeurant domicilie domiciled",
     "STREET": "street road lane avenue ave rue quai weg strasse str boulevard place chemin drive square allee platz gasse ring flat apt apartment box po",
@@ -29,9 +29,12 @@ WORDS = {
     "DIR": "north south east west",
     "UNIT": "mm cm kg g ml kpa rpm h s c hours stunden heures gramm wt degrees um",
 }
-PLAIN = "the a an of in on by and et und is was were are at to for from with between as who has have had all from taken made observed that hat die der das den dem les la le l ont ete menes par fourni durch fuhrte gegossen joint thank we holder van der de von unter before during office may be n d or also not such sold since under name here where bis ter des rue this these it its one each when upon ein eine ist am im zum on une est dans si".split()
+# Function words of English, German and French.
+PLAIN = """the a an of in on by and is was were are at to for from with between as who has have had all under before during may be or also not it its one each when upon since here where this these such made then than can will into other no any we i
+der die das den dem des ein eine und ist sind im am zum von mit bei auf nach vor unter hat durch nicht auch wird werden bis aus zur dass so wie wenn dann kann sowie zwischen ohne um ins beim er sie es
+le la les un une du de et est dans sur par au aux ont ete qui ne pas pour avec ce cette si chez l d n plus sans entre comme il elle sont ou leur""".split()
 WORD_CLASS = {w: k for k, ws in WORDS.items() for w in ws.split()}
-KNOWN = set(PLAIN) | set(WORD_CLASS)
+KNOWN = set(PLAIN) | set(WORD_CLASS) | PARTICLES
 GIVEN = set(NICKNAMES) | set(FORMAL)
 
 _W = r"(?:[^\W\d_　-鿿가-힯ｦ-ﾟ]|(?<=Ã)[\x80-\xbf])"
