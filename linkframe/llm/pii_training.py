@@ -165,8 +165,10 @@ class Grammar:
         for i in range(r.randint(least, most)):
             x = r.random()
             out.append(r.choice(plain) if x < 0.45 else self.word() if x < 0.88 else self.digits(r.randint(1, 3)) if x < 0.94 else self.name() if x < 0.98 or self.lang != "de" else self.name() + "-" + self.name())
-            if self.lang == "de" and x < 0.88 and x > 0.68:
+            if self.lang == "de" and 0.68 < x < 0.88:
                 out[-1] = self.name()  # a noun
+            if out[-1][:1].isupper() and i and (i == 1 and self.lang != "de" or i > 1 and out[-2][:1].isupper()):
+                out[-1] = r.choice(plain)  # two capitalised words in a row are a name, but where a German sentence begins
         return " ".join(out)
 
     def citation(self) -> str:
