@@ -87,6 +87,7 @@ class Chain:
     """What is known of a chain by its classes: beliefs, whether it has a label, and the places that skip edges join."""
 
     def __init__(self, classes: tuple, belief: np.ndarray):
+        self.classes = classes
         self.belief = belief.astype(np.float32)
         self.labelled = bool((belief.argmax(axis=1) > 0).any())
         self.joint = [i for i, c in enumerate(classes) if c in ("Xx", "XX", "GIVEN", "CNAME", "CODE", "EMAIL") or c[0] == "M"]
@@ -137,9 +138,11 @@ class Finder:
         self.learn({c for d in docs for *_, c in d})
         docs = [joined(t, d, lambda c: self.known[c].goes_on) if any(self.known[c].goes_on for *_, c in d) else d for t, d in zip(texts, docs)]
         self.learn({c for d in docs for *_, c in d})
+        # Looked up once a line: the classes of a long line are as long as it is, and so is their hash.
+        docs = [[(start, end, self.known[c]) for start, end, c in d] for d in docs]
         nodes, first, edges, place = [], [], [], {}
-        groups_of = [self.groups(texts[k], chains) if any(self.known[c].unclear for *_, c in chains) else [] for k, chains in enumerate(docs)]
-        self.weigh([docs[k][n][2] for k, groups in enumerate(groups_of) for g in groups for n, _ in g])
+        groups_of = [self.groups(texts[k], chains) if any(c.unclear for *_, c in chains) else [] for k, chains in enumerate(docs)]
+        self.weigh([docs[k][n][2].classes for k, groups in enumerate(groups_of) for n in {n for g in groups for n, _ in g}])
         first_of_hub = np.exp(self.hub + self.model.start)
         first_of_hub /= first_of_hub.sum()
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
@@ -151,33 +154,33 @@ class Finder:
                 for n, i in mentions:
                     if (k, n) not in place:
                         place[k, n] = len(nodes)
-                        nodes.append(self.nodes(chains[n][2]))
-                        first.append(self.known[chains[n][2]].belief)
+                        nodes.append(self.nodes(chains[n][2].classes))
+                        first.append(chains[n][2].belief)
                     edges.append((place[k, n], i, hub, 0))
         agreed = self.model.loopy(nodes, first, np.array(edges), self.same) if edges else first
         for k, chains in enumerate(docs):
-            for n, (start, end, classes) in enumerate(chains):
+            for n, (start, end, chain) in enumerate(chains):
                 at = place.get((k, n))
                 if at is not None:
-                    out[k] += decode(tokens(texts[k], start, end)[0], classes, agreed[at])
-                elif self.known[classes].labelled:
-                    out[k] += decode(tokens(texts[k], start, end)[0], classes, self.known[classes].belief)
+                    out[k] += decode(tokens(texts[k], start, end)[0], chain.classes, agreed[at])
+                elif chain.labelled:
+                    out[k] += decode(tokens(texts[k], start, end)[0], chain.classes, chain.belief)
         return out
 
-    def groups(self, text: str, chains: list[tuple[int, int, tuple]]) -> list[list[tuple[int, int]]]:
+    def groups(self, text: str, chains: list[tuple[int, int, Chain]]) -> list[list[tuple[int, int]]]:
         """The mentions (chain, place) of every word that stands again, of the parts of the document (chains that words join) in
         which mentions of some word disagree. In other parts there is nothing to bring into agreement."""
         by: dict[str, list[tuple[int, int]]] = {}
-        for n, (start, end, classes) in enumerate(chains):
-            if self.known[classes].joint:
+        for n, (start, end, chain) in enumerate(chains):
+            if chain.joint:
                 words = words_of(text, start, end)
-                for i in self.known[classes].joint:
-                    by.setdefault(folded(words[i]) if classes[i] != "CODE" else words[i], []).append((n, i))
+                for i in chain.joint:
+                    by.setdefault(folded(words[i]) if chain.classes[i] != "CODE" else words[i], []).append((n, i))
         groups = [g for g in by.values() if len(g) > 1]
-        open_ = [g for g in groups if any(self.known[chains[n][2]].unclear for n, _ in g)]
+        open_ = [g for g in groups if any(chains[n][2].unclear for n, _ in g)]
         if not open_:
             return []
-        rows = np.array([self.known[chains[n][2]].belief[i] for g in open_ for n, i in g])
+        rows = np.array([chains[n][2].belief[i] for g in open_ for n, i in g])
         starts = np.cumsum([0, *map(len, open_)])[:-1]
         apart = (np.maximum.reduceat(rows, starts) - np.minimum.reduceat(rows, starts)).max(axis=1)
         differ = [g[0][0] for g, far in zip(open_, apart) if far > UNEQUAL]

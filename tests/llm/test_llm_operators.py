@@ -359,6 +359,20 @@ def test_long_odd_lines_take_linear_time(unit):
     assert took[1] < 8 * took[0] + 1
 
 
+def test_a_line_is_looked_up_once_not_once_a_mention():
+    """What a mention costs does not grow with the mentions of its line."""
+    f, asked = Finder(default_model()), Counter()
+
+    class Known(dict):
+        def __getitem__(self, classes):
+            asked[len(classes)] += 1
+            return super().__getitem__(classes)
+
+    f.known = Known()
+    f.find(["Inventor: " + "Ax, " * 500])
+    assert sum(asked.values()) < 20
+
+
 TEXT = "Inventor: Robert M. Kelard\nTel. +44 (0)1632 960187\nresiding at Flat 4, 3 Drovappo Road\nDaikashaw\nQX6 4ZQ\nmail kel [at] post.drih.example today, SSN 901 50 8669 (to be struck out)\nTests 555-11-246 and 2032-09-304 by Kelard GmbH gave a@b = b@a + 5."
 
 
