@@ -44,6 +44,33 @@ def forward_backward(nodes: np.ndarray, length: np.ndarray, start: np.ndarray, s
     return belief, (alpha, beta, emit, trans, scale, inside), log_z
 
 
+def marginals(nodes: np.ndarray, length: np.ndarray, start: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Marginals alone, of chains by rising length; nodes and result: (T, n, L). Of every step only chains that reach it are worked."""
+    most, n, labels = nodes.shape
+    emit = np.exp(nodes - nodes.max(axis=2, keepdims=True))
+    trans, ones = np.exp(step).astype(nodes.dtype), np.ones((labels, 1), nodes.dtype)
+    from_ = np.searchsorted(length, np.arange(most), side="right")  # the first chain that has a place t
+    belief = np.empty_like(emit)
+    a = np.exp(start).astype(nodes.dtype) * emit[0]
+    a /= a @ ones
+    belief[0] = a
+    for t in range(1, most):
+        k = from_[t]
+        a = (belief[t - 1, k:] @ trans) * emit[t, k:]
+        a /= a @ ones
+        belief[t, k:] = a
+    back, b = np.ascontiguousarray(trans.T), np.ones((n, labels), nodes.dtype)
+    for t in range(most - 2, -1, -1):
+        k = from_[t + 1]
+        c = (emit[t + 1, k:] * b[k:]) @ back
+        c /= c @ ones
+        b[k:] = c
+        c = belief[t, k:] * c
+        c /= c @ ones
+        belief[t, k:] = c
+    return belief
+
+
 def edge_sums(parts, weight: np.ndarray) -> np.ndarray:
     alpha, beta, emit, trans, scale, inside = parts
     w = np.where(inside[:, 1:], weight[:, None] / scale[:, 1:], 0.0)
@@ -119,21 +146,30 @@ class Crf:
 
     def beliefs(self, nodes: list[np.ndarray]) -> list[np.ndarray]:
         """Marginals of chains without skip edges."""
-        out: list = [None] * len(nodes)
-        order = sorted(range(len(nodes)), key=lambda i: len(nodes[i]))
+        if not nodes:
+            return []
+        size = np.array([len(x) for x in nodes])
+        offset = np.concatenate([[0], np.cumsum(size)])
+        out = self.beliefs_at(np.concatenate(nodes), offset, size, np.arange(len(nodes)))
+        return [out[s:e] for s, e in zip(offset, offset[1:])]
+
+    def beliefs_at(self, base: np.ndarray, offset: np.ndarray, size: np.ndarray, which: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+        """Marginals of the chains ``which`` of chains that stand one after another in ``base``, written to their places of ``out``."""
+        if out is None:
+            out = np.zeros(base.shape, np.float32)
+        order = which[np.argsort(size[which], kind="stable")]
         a = 0
         while a < len(order):
             b = a + 1
-            while b < len(order) and (b + 1 - a) * len(nodes[order[b]]) <= BLOCK:
+            while b < len(order) and (b + 1 - a) * size[order[b]] <= BLOCK:
                 b += 1
             part, a = order[a:b], b
-            length = np.array([len(nodes[i]) for i in part])
-            x = np.zeros((len(part), int(length.max()), len(self.labels)), np.float32)  # its probabilities are scaled at every step
-            for k, i in enumerate(part):
-                x[k, : length[k]] = nodes[i]
-            belief, _, _ = forward_backward(x, length, self.start, self.step)
-            for k, i in enumerate(part):
-                out[i] = belief[k, : length[k]]
+            length = size[part]
+            places = np.arange(length[-1])[:, None]
+            inside = places < length
+            at = np.where(inside, offset[part] + places, 0)
+            x = base[at].astype(np.float32)  # its probabilities are scaled at every step
+            out[at[inside]] = marginals(x, length, self.start, self.step)[inside]
         return out
 
     def loopy(self, nodes: list[np.ndarray], first: list[np.ndarray], edges: np.ndarray, same: np.ndarray, rounds: int = 200, damp: float = 0.5, settled: float = 1e-3) -> list[np.ndarray]:
@@ -148,27 +184,31 @@ class Crf:
         src, dst = np.concatenate([a, b]), np.concatenate([b, a])
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
         message = np.full((len(src), labels), 1.0 / labels)
-        base = np.concatenate(nodes)
-        belief, used = np.concatenate(first), np.ones_like(base)
+        # Only places of edges are told anything; the messages to one of them stand together.
+        order = np.argsort(dst, kind="stable")
+        places, begin = np.unique(dst[order], return_index=True)
+        chain_of = np.searchsorted(offset, places, side="right") - 1
+        nodes = np.concatenate(nodes)
+        base, own = nodes.copy(), nodes[places]
+        belief, used = np.concatenate(first), np.ones_like(own)
         for _ in range(rounds):
             out = belief[src] / np.maximum(message[back], 1e-12)
             out /= out.sum(axis=1, keepdims=True)
             new = np.einsum("ij,jk->ik", out, psi)  # no BLAS: its threads spin on after such a small product
             new /= new.sum(axis=1, keepdims=True)
             message = damp * message + (1 - damp) * new
-            extra = np.zeros_like(base)
-            np.add.at(extra, dst, np.log(message))
+            extra = np.add.reduceat(np.log(message)[order], begin)
             # Chains whose messages stay as they were keep their beliefs.
             told = np.exp(extra - extra.max(axis=1, keepdims=True))  # of many messages a sum, so compared as what it tells
-            moved = np.flatnonzero(np.maximum.reduceat(np.abs(told - used).max(axis=1), offset[:-1]) > settled)
+            moved = np.unique(chain_of[np.abs(told - used).max(axis=1) > settled])
             if not len(moved):
                 break
+            base[places] = own + extra
             alone = offset[moved[size[moved] == 1]]  # the nodes of all mentions: their beliefs need no pass along a chain
-            own = base[alone] + extra[alone] + self.start
-            own = np.exp(own - own.max(axis=1, keepdims=True))
-            belief[alone], used[alone] = own / own.sum(axis=1, keepdims=True), told[alone]
-            moved = moved[size[moved] > 1]
-            for k, b in zip(moved, self.beliefs([base[offset[k] : offset[k + 1]] + extra[offset[k] : offset[k + 1]] for k in moved])):
-                at = slice(offset[k], offset[k + 1])
-                belief[at], used[at] = b, told[at]
+            b = base[alone] + self.start
+            b = np.exp(b - b.max(axis=1, keepdims=True))
+            belief[alone] = b / b.sum(axis=1, keepdims=True)
+            self.beliefs_at(base, offset, size, moved[size[moved] > 1], belief)
+            now = np.isin(chain_of, moved)
+            used[now] = told[now]
         return [belief[s:e] for s, e in zip(offset, offset[1:])]

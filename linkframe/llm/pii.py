@@ -7,16 +7,18 @@ agreement, so that a name that is clear in one place is found in all others.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain as chained
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from linkframe.llm.crf import Crf
-from linkframe.llm.names import fold
-from linkframe.llm.pii_lexer import STREETS, joined, segments, token_texts, tokens
+from linkframe.llm.names import MARKS, fold
+from linkframe.llm.pii_lexer import STREETS, alike, joined, line_classes, segments, token_spans, token_texts, tokens
 from linkframe.llm.pii_training import LABELS, NUMBER, Grammar, label
 
 #: Lines drawn from the grammar for training; the bound of the training sample.
@@ -34,7 +36,17 @@ PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "idnum": "[IDNUM]", "pers
 #: Kept per worker: so many places of chains already met, by their classes.
 MOST_PLACES = 2_000_000
 MOST_WINDOWS = 200_000
-folded = lru_cache(maxsize=200_000)(fold)
+#: Lines of up to LONG_LINE characters are kept with their chains, about so many; a batch begins anew when there are more.
+MOST_LINES = 200_000
+LONG_LINE = 400
+#: So many words of a document are sought in its text before its lines are read; more would take longer than reading them.
+MOST_SOUGHT = 40
+
+
+@lru_cache(maxsize=200_000)
+def folded(w: str) -> str:
+    return w.lower() if w.isascii() else fold(w)
+
 
 
 def windows(classes: tuple) -> list[tuple]:
@@ -93,8 +105,8 @@ class Chain:
         self.joint = [i for i, c in enumerate(classes) if c in ("Xx", "XX", "GIVEN", "CNAME", "CODE", "EMAIL") or c[0] == "M"]
         #: A line with a street or box that may be an address; the lines after it can make it one only if it is not ruled out.
         self.goes_on = not STREETS.isdisjoint(classes) and bool(belief[:, ADDRESS].max() > POSSIBLE)
-        #: Beliefs of two clear places can differ by no more than half of what makes mentions disagree.
-        self.unclear = bool((1 - belief[self.joint, 0] > UNEQUAL / 2).any())
+        #: Of clear places, whose beliefs in any item are together less than makes mentions disagree, no two do.
+        self.unclear = [i for i in self.joint if 1 - belief[i, 0] > 0.98 * UNEQUAL]
 
 
 class Finder:
@@ -106,6 +118,7 @@ class Finder:
         self.hub = -model.start[None, :] - np.log([[KINDS_OF.count(x) for x in KINDS_OF]])
         self.known: dict[tuple, Chain] = {}
         self.places = 0
+        self.lines: dict[str, Chain | None] = {}
         self.rows: dict[tuple, np.ndarray] = {}
 
     def nodes(self, classes: tuple) -> np.ndarray:
@@ -132,14 +145,28 @@ class Finder:
             self.known[c] = Chain(c, b)
             self.places += len(c)
 
+    def chains(self, texts: list[str | None]) -> list[list[tuple[int, int, Chain]]]:
+        """Of every text, the chains of its lines. A line is looked up as it is written, once: the classes of a long line are as long
+        as it is, and so is their hash."""
+        if len(self.lines) > MOST_LINES:
+            self.lines.clear()
+        docs = [alike(t).split("\n") if t else [] for t in texts]
+        new = {line: line_classes(line) for line in set(chained.from_iterable(docs)).difference(self.lines)}
+        self.learn(set(new.values()) - {()})
+        self.lines.update((line, self.known[c] if c else None) for line, c in new.items())
+        out = [segments(d, self.lines) for d in docs]
+        for line in new:
+            if len(line) > LONG_LINE:
+                del self.lines[line]
+        return out
+
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """Of every text, the items (start, end, kind)."""
-        docs = [segments(t) if t else [] for t in texts]
-        self.learn({c for d in docs for *_, c in d})
-        docs = [joined(t, d, lambda c: self.known[c].goes_on) if any(self.known[c].goes_on for *_, c in d) else d for t, d in zip(texts, docs)]
-        self.learn({c for d in docs for *_, c in d})
-        # Looked up once a line: the classes of a long line are as long as it is, and so is their hash.
-        docs = [[(start, end, self.known[c]) for start, end, c in d] for d in docs]
+        docs = self.chains(texts)
+        more = {k: joined(texts[k], d, lambda c: c.goes_on, lambda c: c.classes) for k, d in enumerate(docs) if any([c.goes_on for *_, c in d])}
+        self.learn({c for d in more.values() for *_, c in d if isinstance(c, tuple)})
+        for k, d in more.items():
+            docs[k] = [(start, end, self.known[c] if isinstance(c, tuple) else c) for start, end, c in d]
         nodes, first, edges, place = [], [], [], {}
         groups_of = [self.groups(texts[k], chains) if any(c.unclear for *_, c in chains) else [] for k, chains in enumerate(docs)]
         self.weigh([docs[k][n][2].classes for k, groups in enumerate(groups_of) for n in {n for g in groups for n, _ in g}])
@@ -162,30 +189,44 @@ class Finder:
             for n, (start, end, chain) in enumerate(chains):
                 at = place.get((k, n))
                 if at is not None:
-                    out[k] += decode(tokens(texts[k], start, end)[0], chain.classes, agreed[at])
+                    out[k] += decode(token_spans(texts[k], start, end, chain.classes), chain.classes, agreed[at])
                 elif chain.labelled:
-                    out[k] += decode(tokens(texts[k], start, end)[0], chain.classes, chain.belief)
+                    out[k] += decode(token_spans(texts[k], start, end, chain.classes), chain.classes, chain.belief)
         return out
 
     def groups(self, text: str, chains: list[tuple[int, int, Chain]]) -> list[list[tuple[int, int]]]:
         """The mentions (chain, place) of every word that stands again, of the parts of the document (chains that words join) in
         which mentions of some word disagree. In other parts there is nothing to bring into agreement."""
+        words = Words(text, chains)
+        # A word of clear mentions alone, or one that stands nowhere else, cannot disagree: only others are looked for in all lines.
+        doubtful = {w for n, (*_, c) in enumerate(chains) if c.unclear for w in words.of(n, c.unclear)}
+        keys = None  # of many words, all lines are read
+        if len(doubtful) <= MOST_SOUGHT:
+            whole = bare(text)
+            sought = {w: k for w, k in ((w, bare(w)) for w in doubtful) if whole.count(k) > 1}
+            doubtful, keys = set(sought), set(sought.values())
+        if not doubtful:
+            return []
         by: dict[str, list[tuple[int, int]]] = {}
         for n, (start, end, chain) in enumerate(chains):
-            if chain.joint:
-                words = words_of(text, start, end)
-                for i in chain.joint:
-                    by.setdefault(folded(words[i]) if chain.classes[i] != "CODE" else words[i], []).append((n, i))
-        groups = [g for g in by.values() if len(g) > 1]
-        open_ = [g for g in groups if any(chains[n][2].unclear for n, _ in g)]
-        if not open_:
+            if chain.joint and (keys is None or holds(bare(text[start:end]), keys)):
+                for w, i in zip(words.of(n, chain.joint), chain.joint):
+                    if w in doubtful:
+                        by.setdefault(w, []).append((n, i))
+        shared = [(w, g) for w, g in by.items() if len(g) > 1]
+        if not shared:
             return []
-        rows = np.array([chains[n][2].belief[i] for g in open_ for n, i in g])
-        starts = np.cumsum([0, *map(len, open_)])[:-1]
+        rows = np.array([chains[n][2].belief[i] for _, g in shared for n, i in g])
+        starts = np.cumsum([0, *[len(g) for _, g in shared]])[:-1]
         apart = (np.maximum.reduceat(rows, starts) - np.minimum.reduceat(rows, starts)).max(axis=1)
-        differ = [g[0][0] for g, far in zip(open_, apart) if far > UNEQUAL]
+        differ = [w for (w, _), far in zip(shared, apart) if far > UNEQUAL]
         if not differ:
             return []
+        by = {}
+        for n, (*_, chain) in enumerate(chains):
+            for w, i in zip(words.of(n, chain.joint), chain.joint):
+                by.setdefault(w, []).append((n, i))
+        groups = [g for g in by.values() if len(g) > 1]
         root = list(range(len(chains)))
 
         def top(n: int) -> int:
@@ -196,7 +237,7 @@ class Finder:
         for g in groups:
             for n, _ in g[1:]:
                 root[top(n)] = top(g[0][0])
-        parts = {top(n) for n in differ}
+        parts = {top(by[w][0][0]) for w in differ}
         return [g for g in groups if top(g[0][0]) in parts]
 
 
@@ -206,10 +247,43 @@ def finder_of(model: Crf) -> Finder:
     return Finder(model)
 
 
-def words_of(text: str, start: int, end: int) -> list[str]:
-    """The texts of the tokens of a chain."""
-    part = text[start:end]
-    return token_texts(part) if "\n" not in part else [text[s:e] for s, e in tokens(text, start, end)[0]]
+class Words:
+    """The words at places of the chains of a document, as mentions share them; a chain is read when it is first asked for."""
+
+    def __init__(self, text: str, chains: list[tuple[int, int, Chain]]):
+        self.text, self.chains = text, chains
+        self.read: dict[int, list[str]] = {}
+
+    def of(self, n: int, places: list[int]) -> list[str]:
+        if not places:
+            return []
+        start, end, chain = self.chains[n]
+        if n not in self.read:
+            self.read[n] = token_texts(self.text[start:end], chain.classes)
+        words, classes = self.read[n], chain.classes
+        return [folded(words[i]) if classes[i] != "CODE" else words[i] for i in places]
+
+
+_MARKED = [(chr(c), to) for c, to in MARKS.items()]
+
+
+def bare(text: str) -> str:
+    """The ASCII letters of ``fold(text)``, without looking at each: words that are folded alike are bare alike, and a text holds the
+    bare form of each of its words."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFKD", text.lower())
+    for c, to in _MARKED:
+        if c in text:
+            text = text.replace(c, to)
+    return text.encode("ascii", "ignore").decode()
+
+
+def holds(text: str, keys: set[str]) -> bool:
+    for k in keys:
+        if k in text:
+            return True
+    return False
 
 
 def decode(spans: list[tuple[int, int]], classes: tuple, belief: np.ndarray) -> list[tuple[int, int, str]]:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from itertools import chain
-from operator import and_
 
 from linkframe.llm.names import FORMAL, NICKNAMES, PARTICLES, fold
 
@@ -90,7 +89,7 @@ def word_class(w: str) -> str:
         if len(_WORDS) > MOST_KEPT:
             _WORDS.clear()
         raw, w = w, mended(w)
-        f = fold(w)
+        f = w.lower() if w.isascii() else fold(w)
         if re.match("[dl]['’]", f):
             f = f[2:]
         if len(w) == 1:
@@ -175,24 +174,63 @@ class Classes(dict):
 #: A single character of NUM, WORD, KANA or HAN is always taken by these: OTHER, which takes any, comes last.
 ALONE = [re.compile(p, re.X | re.S) for k, p in KINDS.items() if k not in ("SPACE", "OTHER")]
 CLASSES = Classes()
-#: The tokens of a line as texts. Without a sign of an e-mail address that pattern, the slowest, is left out; a small word before
-#: anything but a letter, digit, hyphen or apostrophe can only be a word.
-_LINE = [p for k, p in KINDS.items() if k not in ("EMAIL", "NL", "SPACE", "OTHER")] + [r"\S"]
-SPLIT = re.compile("|".join(f"(?:{p})" for p in [KINDS["EMAIL"], *_LINE]), re.X | re.S)
-SPLIT_PLAIN = re.compile("|".join(f"(?:{p})" for p in [r"[a-z]++(?![^\W_]|['’\-])", *_LINE]), re.X | re.S)
+#: The tokens of a line as texts. Without a sign of an e-mail address that pattern, the slowest, is left out; small letters, also
+#: after a capital, before anything but a letter, digit, hyphen or apostrophe can only be a word.
+_LINE = {k: p for k, p in KINDS.items() if k not in ("EMAIL", "NL", "SPACE", "OTHER")} | {"OTHER": r"\S|\n"}
+_SMALL = r"[A-Z]?[a-z]++(?![^\W_]|['’\-])"
+SPLIT = re.compile("|".join(f"(?:{p})" for p in [KINDS["EMAIL"], *_LINE.values()]), re.X | re.S)
+SPLIT_PLAIN = re.compile("|".join(f"(?:{p})" for p in [_SMALL, *_LINE.values()]), re.X | re.S)
+#: Without what every name or address in Chinese or Japanese writing has, such characters are tokens by themselves and taken together.
+SPLIT_HAN = re.compile("|".join(f"(?:{p})" for p in [r"[㐀-鿿]++", _SMALL, *[p for k, p in _LINE.items() if k not in ("CADDR", "CNAME", "HAN")]]), re.X | re.S)
+HAN_MARK = re.compile("[・･·]|省.*号|丁目", re.S)
+SPACE_NL = re.compile(r"(?<=\s)\n")
 MAIL_SIGN = re.compile(r"[@＠]|[\[(]\s?(?:at|AT)|\sAT\s")
 
 
-def token_texts(line: str) -> list[str]:
-    """The texts of the tokens of one line."""
-    return (SPLIT if MAIL_SIGN.search(line) else SPLIT_PLAIN).findall(line)
+def token_texts(line: str, classes: tuple[str, ...] | None = None) -> list[str]:
+    """The texts of the tokens of a line, or of joined lines, of such classes if known."""
+    if SPACE_NL.search(line):
+        return [line[s:e] for s, e in tokens(line)[0]]
+    return (SPLIT if (MAIL_SIGN.search(line) if classes is None else "EMAIL" in classes) else SPLIT_PLAIN).findall(line)
+
+
+def token_spans(text: str, start: int, end: int, classes: tuple[str, ...]) -> list[tuple[int, int]]:
+    """``tokens(text, start, end)[0]``, of such classes."""
+    if SPACE_NL.search(text, start, end):
+        return tokens(text, start, end)[0]
+    return [m.span() for m in (SPLIT if "EMAIL" in classes else SPLIT_PLAIN).finditer(text, start, end)]
+
+
+class HanClasses(dict):
+    def __missing__(self, c: str) -> str:
+        self[c] = got = "h:" + c if c in HAN_KEPT else "han"
+        return got
+
+
+HAN_CLASSES = HanClasses()
+
+
+def piece_classes(piece: str, mail: bool = False) -> tuple[str, ...]:
+    """``tokens(piece)[1]`` of a part of one line; ``mail``: it may hold the sign of an e-mail address."""
+    if "Ã" in piece:
+        return tokens(piece)[1]
+    if mail:
+        got = [CLASSES[w] for w in SPLIT.findall(piece)]
+    elif piece.isascii() or HAN_MARK.search(piece):
+        got = [CLASSES[w] for w in SPLIT_PLAIN.findall(piece)]
+    else:
+        got = []
+        for w in SPLIT_HAN.findall(piece):
+            if "㐀" <= w[0] <= "鿿":
+                got += [HAN_CLASSES[c] for c in w]
+            else:
+                got.append(CLASSES[w])
+    return tokens(piece)[1] if None in got else tuple(got)
 
 
 #: What may hold the sign of an e-mail address.
 _MAIL = ("@", "＠", "(", "[", "AT")
 _CAPITAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-_NUMERIC = re.compile(r"[0-9.,;:%/+\-°]+").fullmatch
-_SAME = str.maketrans("23456789", "11111111")
 
 
 class Chunks(dict):
@@ -205,57 +243,101 @@ class Chunks(dict):
             self.clear()
         if not chunk:
             got = ((), 0, 0)
-        elif _NUMERIC(chunk) and (like := chunk.translate(_SAME)) != chunk:  # such classes depend on zeros and numbers of digits only
-            return self[like]
         else:
             last, first = chunk[-1], chunk[0]
             digit = last.isdigit()
             after = (1 if digit or last in ")）" or last in _CAPITAL else 0) | (2 if digit else 0)
             before = (1 if first.isdigit() or first in "(（" else 0) | (2 if first in _CAPITAL and not chunk[1:2].isalnum() else 0)
-            got = (tokens(chunk)[1], after, before)
-        self[chunk] = got
+            got = (piece_classes(chunk), after, before)
+        if len(chunk) <= LONG:
+            self[chunk] = got
         return got
 
 
-CHUNKS = Chunks()
+class Pieces(dict):
+    """Text of chunks that may go on into each other -> classes of its tokens."""
+
+    def __missing__(self, piece: str) -> tuple[str, ...]:
+        if len(self) > MOST_KEPT:
+            self.clear()
+        got = piece_classes(piece)
+        if len(piece) <= LONG:
+            self[piece] = got
+        return got
+
+
+#: Longer ones are not kept.
+LONG = 100
+CHUNKS, PIECES = Chunks(), Pieces()
 
 
 def line_classes(line: str) -> tuple[str, ...]:
     """``tokens(line)[1]`` of one line. No token goes over a space but e-mail addresses, which have a sign, and numbers and codes;
     so what stands between the spaces is looked up, and only where such a token might go on, the text is taken together."""
-    if "Ã" in line or (any(x in line for x in _MAIL) and MAIL_SIGN.search(line)):
-        return tokens(line)[1]
-    parts = line.split(" ")
+    if "Ã" in line or (any([x in line for x in _MAIL]) and MAIL_SIGN.search(line)):
+        return piece_classes(line, True)
+    parts, out, last = line.split(" "), [], 0
+    for c in parts:
+        classes, after, before = CHUNKS[c]
+        if last & before:
+            break
+        out += classes
+        last = after
+    else:
+        return tuple(out)
     got = [CHUNKS[c] for c in parts]
-    if not any(map(and_, [g[1] for g in got], [g[2] for g in got[1:]])):
-        return tuple(chain.from_iterable([g[0] for g in got]))
     out, i = [], 0
     while i < len(got):
         j = i
         while j + 1 < len(got) and got[j][1] & got[j + 1][2]:
             j += 1
-        out.append(got[i][0] if i == j else tokens(" ".join(parts[i : j + 1]))[1])
+        out += got[i][0] if i == j else PIECES[" ".join(parts[i : j + 1])]
         i = j + 1
-    return tuple(chain.from_iterable(out))
+    return tuple(out)
+
+
+#: The classes of numbers and codes depend on zeros, ones (as scanned letters) and how many digits there are.
+_SAME = bytes.maketrans(b"3456789", b"2222222")
+_PAT = re.compile(rb"\([57]")
+
+
+def alike(text: str) -> str:
+    """A text of the same tokens, place by place, and classes, that more texts share: 2 for every larger digit, but not where 7 or
+    5 may begin PAT."""
+    raw = text.encode("utf-8", "surrogatepass")
+    got = raw.translate(_SAME)
+    if b"(5" in raw or b"(7" in raw:
+        got = bytearray(got)
+        for m in _PAT.finditer(raw):
+            got[m.end() - 1] = raw[m.end() - 1]
+    return got.decode("utf-8", "surrogatepass")
 
 
 STREETS = {"STREET", "STREETX", "BOX"}
 
 
-def segments(text: str) -> list[tuple[int, int, tuple[str, ...]]]:
-    """Chains of a text (start, end, classes), one a line; blank lines have none."""
+def segments(lines: list[str], of: dict) -> list[tuple[int, int, object]]:
+    """Chains (start, end, ``of`` the line) of the lines of a text; lines of which there is nothing have none."""
     out, start = [], 0
-    for line in text.split("\n"):
+    for line in lines:
         end = start + len(line)
-        if classes := line_classes(line):
-            out.append((start, end, classes))
+        if (what := of[line]) is not None:
+            out.append((start, end, what))
         start = end + 1
     return out
 
 
-def joined(text: str, chains: list[tuple[int, int, tuple[str, ...]]], goes_on) -> list[tuple[int, int, tuple[str, ...]]]:
-    """The chains, those for which ``goes_on`` joined with the two lines after the last of them, as an address may go on; a blank
-    line ends it."""
+def lines_classes(text: str, start: int, end: int, lines: list[tuple[str, ...]]) -> tuple[str, ...]:
+    """``tokens(text, start, end)[1]`` of lines of such classes. Over a line break go only e-mail addresses, and what PAT
+    looks for after it; white space before it takes it in."""
+    if any("PAT" in c for c in lines) or SPACE_NL.search(text, start, end) or MAIL_SIGN.search(text, start, end):
+        return tokens(text, start, end)[1]
+    return tuple(chain(lines[0], *[("NL", *c) for c in lines[1:]]))
+
+
+def joined(text: str, chains: list, goes_on, classes_of) -> list:
+    """The chains (start, end, what), those for which ``goes_on`` joined with the two lines after the last of them, as an address
+    may go on; a blank line ends it. Joined ones are (start, end, classes)."""
     out, i = [], 0
     while i < len(chains):
         j, last = i, i + 2 if goes_on(chains[i][2]) else i
@@ -264,6 +346,6 @@ def joined(text: str, chains: list[tuple[int, int, tuple[str, ...]]], goes_on) -
             if goes_on(chains[j][2]):
                 last = j + 2
         start, end = chains[i][0], chains[j][1]
-        out.append(chains[i] if i == j else (start, end, tokens(text, start, end)[1]))
+        out.append(chains[i] if i == j else (start, end, lines_classes(text, start, end, [classes_of(c) for *_, c in chains[i : j + 1]])))
         i = j + 1
     return out

@@ -13,7 +13,7 @@ from linkframe.llm.crf import forward_backward  # noqa: E402
 from linkframe.llm.encoding import VOCABULARY, Encoder, count_tokens, encode_corpus, read_ranks  # noqa: E402
 from linkframe.llm.mixing import mix  # noqa: E402
 from linkframe.llm.pii import Finder, default_model, find_items, redact  # noqa: E402
-from linkframe.llm.pii_lexer import line_classes, token_texts, tokens  # noqa: E402
+from linkframe.llm.pii_lexer import alike, line_classes, lines_classes, segments, token_spans, token_texts, tokens  # noqa: E402
 from linkframe.llm.pii_training import LABELS, Grammar  # noqa: E402
 from linkframe.operators.widen import canon_text  # noqa: E402
 from linkframe.schema import table  # noqa: E402
@@ -373,6 +373,50 @@ def test_a_line_is_looked_up_once_not_once_a_mention():
     assert sum(asked.values()) < 20
 
 
+ODD = [*"ABXabe0123579 .,-()+/@'é", "  ", "\n", " \n", "(57) ", "(72)5", "[at]", " AT ", " DOT ", "ア", "・", "阿", "斯", "省", "市", "号", "県", "丁目", "番", "５", "（", "Ã", "\x80", "©", "²", "\t", "\r", "\x85", "QX6 4ZQ", "AB-123-4567", "AB12345678", "the", "l'", "한", "🙂", "_"]
+
+
+def test_what_is_kept_of_lines_is_what_tokens_are():
+    """Lines looked up by parts and by texts alike, the texts and places of their tokens, and joined lines."""
+    rng = np.random.default_rng(3)
+    for _ in range(8000):
+        text = "".join(rng.choice(ODD, rng.integers(1, 20)))
+        want, at = [], 0
+        for line in text.split("\n"):
+            spans, classes = tokens(text, at, at + len(line))
+            if classes:
+                want.append((at, at + len(line), classes))
+                assert token_spans(text, at, at + len(line), classes) == spans and token_texts(line, classes) == [text[s:e] for s, e in spans]
+            at += len(line) + 1
+        lines = alike(text).split("\n")
+        assert segments(lines, {x: line_classes(x) or None for x in lines}) == want
+        spans, classes = tokens(text)
+        assert token_spans(text, 0, len(text), classes) == spans and token_texts(text, classes) == [text[s:e] for s, e in spans]
+        for a, b in zip(want, want[1:]):
+            if b[0] == a[1] + 1:
+                assert lines_classes(text, a[0], b[1], [a[2], b[2]]) == tokens(text, a[0], b[1])[1]
+
+
+def test_lines_alike_and_clear_lines_are_read_once(monkeypatch):
+    """Lines that differ in digits above one are one line; the words of lines without a doubtful mention are not looked for."""
+    from linkframe.llm import pii
+
+    read = Counter()
+    monkeypatch.setattr(pii, "token_texts", lambda line, *of: read.update([line]) or token_texts(line, *of))
+    f = Finder(default_model())
+    f.find(["\n".join(f"The valve {a}{b} of the Kelard GmbH closes at {b}.{a} mm." for a in range(2, 10) for b in range(2, 10)) + "\nInventor: Robert M. Tabraim"] * 3)
+    assert len(f.lines) == 2 and all("Tabraim" in line for line in read)
+
+
+def test_marginals_against_forward_backward():
+    rng = np.random.default_rng(1)
+    m = default_model()
+    size = rng.integers(1, 30, 50)
+    nodes = [rng.normal(size=(n, len(m.labels))) * 3 for n in size]
+    for x, got in zip(nodes, m.beliefs(nodes)):
+        assert np.allclose(forward_backward(x[None], np.array([len(x)]), m.start, m.step)[0][0], got, atol=1e-5)
+
+
 TEXT = "Inventor: Robert M. Kelard\nTel. +44 (0)1632 960187\nresiding at Flat 4, 3 Drovappo Road\nDaikashaw\nQX6 4ZQ\nmail kel [at] post.drih.example today, SSN 901 50 8669 (to be struck out)\nTests 555-11-246 and 2032-09-304 by Kelard GmbH gave a@b = b@a + 5."
 
 
