@@ -44,10 +44,23 @@ def forward_backward(nodes: np.ndarray, length: np.ndarray, start: np.ndarray, s
     return belief, (alpha, beta, emit, trans, scale, inside), log_z
 
 
+def largest(a: np.ndarray) -> np.ndarray:
+    """Largest of the last axis, which is kept; halves against each other, as numpy is slow along a short axis."""
+    while (n := a.shape[-1]) > 1:
+        half = n // 2
+        a = np.maximum(a[..., :half], a[..., half : 2 * half]) if n % 2 == 0 else np.concatenate([np.maximum(a[..., :half], a[..., half : 2 * half]), a[..., -1:]], axis=-1)
+    return a
+
+
+def total(a: np.ndarray) -> np.ndarray:
+    """Sum of the last axis, which is kept."""
+    return np.einsum("...j->...", a)[..., None]
+
+
 def marginals(nodes: np.ndarray, length: np.ndarray, start: np.ndarray, step: np.ndarray) -> np.ndarray:
     """Marginals alone, of chains by rising length; nodes and result: (T, n, L). Of every step only chains that reach it are worked."""
     most, n, labels = nodes.shape
-    emit = np.exp(nodes - nodes.max(axis=2, keepdims=True))
+    emit = np.exp(nodes - largest(nodes))
     trans, ones = np.exp(step).astype(nodes.dtype), np.ones((labels, 1), nodes.dtype)
     from_ = np.searchsorted(length, np.arange(most), side="right")  # the first chain that has a place t
     belief = np.empty_like(emit)
@@ -193,14 +206,14 @@ class Crf:
         belief, used = np.concatenate(first), np.ones_like(own)
         for _ in range(rounds):
             out = belief[src] / np.maximum(message[back], 1e-12)
-            out /= out.sum(axis=1, keepdims=True)
+            out /= total(out)
             new = np.einsum("ij,jk->ik", out, psi)  # no BLAS: its threads spin on after such a small product
-            new /= new.sum(axis=1, keepdims=True)
+            new /= total(new)
             message = damp * message + (1 - damp) * new
             extra = np.add.reduceat(np.log(message)[order], begin)
             # Chains whose messages stay as they were keep their beliefs.
-            told = np.exp(extra - extra.max(axis=1, keepdims=True))  # of many messages a sum, so compared as what it tells
-            moved = np.unique(chain_of[np.abs(told - used).max(axis=1) > settled])
+            told = np.exp(extra - largest(extra))  # of many messages a sum, so compared as what it tells
+            moved = np.unique(chain_of[largest(np.abs(told - used))[:, 0] > settled])
             if not len(moved):
                 break
             base[places] = own + extra

@@ -133,7 +133,7 @@ class Finder:
         if new:
             get = self.model.index.get
             of = np.array([[get(f, 0) for f in features(w)] for w in new])
-            self.rows.update(zip(new, self.model.weights[of].sum(axis=1)))
+            self.rows.update(zip(new, np.einsum("ijk->ik", self.model.weights[of])))
 
     def learn(self, chains: set[tuple]) -> None:
         if self.places > MOST_PLACES:
@@ -186,12 +186,12 @@ class Finder:
                     edges.append((place[k, n], i, hub, 0))
         agreed = self.model.loopy(nodes, first, np.array(edges), self.same) if edges else first
         for k, chains in enumerate(docs):
-            for n, (start, end, chain) in enumerate(chains):
-                at = place.get((k, n))
-                if at is not None:
-                    out[k] += decode(token_spans(texts[k], start, end, chain.classes), chain.classes, agreed[at])
-                elif chain.labelled:
-                    out[k] += decode(token_spans(texts[k], start, end, chain.classes), chain.classes, chain.belief)
+            if groups_of[k]:
+                told = [(x, agreed[place[k, n]] if (k, n) in place else x[2].belief) for n, x in enumerate(chains) if (k, n) in place or x[2].labelled]
+            else:
+                told = [(x, x[2].belief) for x in chains if x[2].labelled]
+            for (start, end, c), belief in told:
+                out[k] += decode(token_spans(texts[k], start, end, c.classes), c.classes, belief)
         return out
 
     def groups(self, text: str, chains: list[tuple[int, int, Chain]]) -> list[list[tuple[int, int]]]:

@@ -60,6 +60,7 @@ KINDS = {
 TOKEN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()), re.X | re.S)
 HAN_KEPT = set("由人先生氏电话電話号番証证身份旅券住所地址联系邮箱連絡明発发者測量测定")
 DIGITS = str.maketrans("０１２３４５６７８９", "0123456789")
+STREET_ENDS = ("strasse", "weg", "hof", "gasse", "platz", "allee", "ring")
 _WORDS: dict[str, str] = {}
 _NUMS: dict[str, str] = {}
 MOST_KEPT = 400_000
@@ -90,7 +91,7 @@ def word_class(w: str) -> str:
             _WORDS.clear()
         raw, w = w, mended(w)
         f = w.lower() if w.isascii() else fold(w)
-        if re.match("[dl]['’]", f):
+        if f[:2] in ("d'", "l'", "d’", "l’"):
             f = f[2:]
         if len(w) == 1:
             got = "I" if w.isupper() else "w:" + f if f in KNOWN else "x1"
@@ -101,7 +102,7 @@ def word_class(w: str) -> str:
         elif f in KNOWN:
             got = "w:" + f
         elif w[0].isupper():
-            tail = re.search(r"(strasse|weg|hof|gasse|platz|allee|ring)$", f)
+            tail = f.endswith(STREET_ENDS) and re.search(rf"({'|'.join(STREET_ENDS)})$", f)
             got = "STREETX" if tail and len(f) > len(tail[0]) + 2 and not w.isupper() else "XX" if w.isupper() and len(w) > 2 else "X2" if w.isupper() else "Xx"
             if "-" in w and got == "Xx":
                 got = "Xx" if all(p[:1].isupper() for p in w.split("-")) else "Xx-"
@@ -189,14 +190,14 @@ MAIL_SIGN = re.compile(r"[@＠]|[\[(]\s?(?:at|AT)|\sAT\s")
 
 def token_texts(line: str, classes: tuple[str, ...] | None = None) -> list[str]:
     """The texts of the tokens of a line, or of joined lines, of such classes if known."""
-    if SPACE_NL.search(line):
+    if "\n" in line and SPACE_NL.search(line):
         return [line[s:e] for s, e in tokens(line)[0]]
     return (SPLIT if (MAIL_SIGN.search(line) if classes is None else "EMAIL" in classes) else SPLIT_PLAIN).findall(line)
 
 
 def token_spans(text: str, start: int, end: int, classes: tuple[str, ...]) -> list[tuple[int, int]]:
     """``tokens(text, start, end)[0]``, of such classes."""
-    if SPACE_NL.search(text, start, end):
+    if text.find("\n", start, end) >= 0 and SPACE_NL.search(text, start, end):
         return tokens(text, start, end)[0]
     return [m.span() for m in (SPLIT if "EMAIL" in classes else SPLIT_PLAIN).finditer(text, start, end)]
 
@@ -248,7 +249,13 @@ class Chunks(dict):
             digit = last.isdigit()
             after = (1 if digit or last in ")）" or last in _CAPITAL else 0) | (2 if digit else 0)
             before = (1 if first.isdigit() or first in "(（" else 0) | (2 if first in _CAPITAL and not chunk[1:2].isalnum() else 0)
-            got = (piece_classes(chunk), after, before)
+            if chunk.isascii() and chunk.isalpha():
+                classes = (word_class(chunk),)
+            elif last in ",;:" and chunk[-2:-1].isalnum() or last == "." and chunk[-2:-1].isalpha():  # POST looks for a point after its digits
+                classes = (*self[chunk[:-1]][0], last)
+            else:
+                classes = piece_classes(chunk)
+            got = (classes, after, before)
         if len(chunk) <= LONG:
             self[chunk] = got
         return got
