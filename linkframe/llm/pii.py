@@ -14,6 +14,7 @@ from itertools import chain as chained
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from linkframe.llm.crf import Crf
@@ -39,6 +40,9 @@ MOST_WINDOWS = 200_000
 #: Lines of up to LONG_LINE characters are kept with their chains, about so many; a batch begins anew when there are more.
 MOST_LINES = 200_000
 LONG_LINE = 400
+#: Rows and bytes of text that are worked at once.
+MOST_ROWS = 2000
+MOST_BYTES = 32 << 20
 #: So many words of a document are sought in its text before its lines are read; more would take longer than reading them.
 MOST_SOUGHT = 40
 
@@ -320,12 +324,24 @@ def whole_name(classes: tuple) -> bool:
     return len(words) > 1 and any(c != "I" for c in words)
 
 
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most MOST_ROWS rows and, but for single longer texts, MOST_BYTES of text: what is at hand of them at once is some times their size."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    start = held = 0
+    for i, n in enumerate(size):
+        if i > start and (i - start == MOST_ROWS or held + n > MOST_BYTES):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(size):
+        yield batch.slice(start)
+
+
 def _run(shared, how: str, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = finder_of(shared.value)
         for b in batches:
-            for start in range(0, b.num_rows, 2000):
-                part = b.slice(start, 2000)
+            for part in parts_of(b):
                 texts = part.column(1).to_pylist()
                 found = finder.find(texts)
                 if how == "redact":

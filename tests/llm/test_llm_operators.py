@@ -408,6 +408,22 @@ def test_lines_alike_and_clear_lines_are_read_once(monkeypatch):
     assert len(f.lines) == 2 and all("Tabraim" in line for line in read)
 
 
+def test_long_texts_are_worked_in_parts(monkeypatch):
+    """Few long texts or many short ones at once; none lost, none twice."""
+    import pyarrow as pa
+
+    from linkframe.llm import pii
+
+    def sizes(texts):
+        parts = list(pii.parts_of(pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["id", "text"])))
+        assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+        return [p.num_rows for p in parts]
+
+    assert sizes([]) == [] and sizes(["x"] * 4001) == [2000, 2000, 1]
+    monkeypatch.setattr(pii, "MOST_BYTES", 100)
+    assert sizes(["é" * 30, None, "x" * 40, "y", "z" * 500, "", "w"]) == [3, 1, 1, 2]
+
+
 def test_marginals_against_forward_backward():
     rng = np.random.default_rng(1)
     m = default_model()
