@@ -129,8 +129,8 @@ def dropped_table(spark, d):
 
 
 def _database(spark, ls: Linkset, attribute: str = "name VARCHAR(500)") -> tuple[str, dict]:
-    """An embedded database that only this process has; other databases are reached by their URLs. It compares texts of bounded
-    length only, and takes nulls only in the others."""
+    """An embedded database that only this process has, for a local master; other databases are reached by their URLs. It compares
+    texts of bounded length only, and takes nulls only in the others."""
     url, props = f"jdbc:derby:memory:l{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     storage.write_jdbc(ls, url, "x", props, "overwrite", ("origin VARCHAR(2000), rel VARCHAR(500)", attribute))
     return url, props
@@ -138,7 +138,8 @@ def _database(spark, ls: Linkset, attribute: str = "name VARCHAR(500)") -> tuple
 
 @query("SELECT r.origin, r.rel, r.target, a.name, a.value FROM relationship r LEFT JOIN attribute a ON a.rawid = r.rawid")
 def database_round_trip(spark, d):
-    return storage.read_jdbc(spark, *(lambda u, p: (u, "x", p))(*_database(spark, links(spark, d, True)))).flatten()
+    sqlite.write(links(spark, d, True), path := shared_dir(spark))
+    return sqlite.read(spark, path).flatten()
 
 
 @query("SELECT origin, target FROM relationship r WHERE rel = '{V}label' AND EXISTS (SELECT 1 FROM attribute a WHERE a.rawid = r.rawid AND name = '@lang' AND value = 'en')")

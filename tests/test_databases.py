@@ -59,7 +59,7 @@ def ordered(rows):
     return sorted((tuple(r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", ["database_match"])
+@pytest.mark.parametrize("name", ["database_match", "database_round_trip"])
 def test_executors_reach_the_databases(name, tmp_path):
     got = on_a_cluster(name, tmp_path)
     assert got and ordered(got) == ordered(by_sql(name))
